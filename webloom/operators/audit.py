@@ -184,14 +184,11 @@ def local_findings() -> Column:
 
 def _incomplete(block: Column) -> Column:
     """Findings for the types of a structured-data block that lack required properties."""
-    kinds = F.coalesce(F.from_json(F.get_json_object(block, "$['@type']"), "array<string>"), F.array(F.get_json_object(block, "$['@type']")))
+    props = F.from_json(block, "map<string,string>")
+    kind = F.element_at(props, F.lit("@type"))
+    kinds = F.coalesce(F.from_json(kind, "array<string>"), F.array(kind))
     table = F.create_map(*[F.lit(x) for k, v in REQUIRED.items() for x in (k, v)])
-
-    def missing(kind: Column) -> Column:
-        need = F.split(F.element_at(table, kind), " ")
-        return F.filter(need, lambda p: F.coalesce(F.get_json_object(block, F.concat(F.lit("$['"), p, F.lit("']"))) == "", F.lit(True)))
-
-    # one finding per type with something missing
+    missing = lambda k: F.filter(F.split(F.element_at(table, k), " "), lambda p: F.coalesce(F.element_at(props, p) == "", F.lit(True)))
     own = F.filter(F.array_compact(kinds), lambda k: F.coalesce(F.map_contains_key(table, k), F.lit(False)))
     found = F.filter(F.transform(own, lambda k: F.struct(k.alias("type"), missing(k).alias("missing"))), lambda x: F.size(x["missing"]) > 0)
     return F.transform(found, lambda x: _finding("schema.incomplete", "warning", F.concat(x["type"], F.lit(" lacks "), F.array_join(x["missing"], ", ")), type=x["type"], missing=x["missing"]))
