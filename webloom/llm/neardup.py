@@ -7,8 +7,9 @@
    many, plus one).  Within a list each class is paired with one pivot, not with all others.
 3. The sketch of the union estimates the similarity and filters the pairs; the exact Jaccard coefficient of the whole sets
    verifies them, from the texts.
-4. Verified pairs give components.  Lists whose classes still belong to several components are gone through again with other
-   pivots, and at last all their pairs across components are tested in bounded blocks, so no link is lost to the pivots.
+4. Verified pairs give components.  In lists whose classes still belong to several of them all pairs across components are
+   tested: as pairs in small lists, and in large ones in bounded blocks that give out only the links that join components.  So no
+   link is lost to the choice of pivots, and no group's pairs are ever emitted.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpointed, shingle_hashes, space_words, utf8
 from .graph import components
@@ -26,7 +27,7 @@ from .graph import components
 K, WIDTH = 48, 5
 #: At most this many values count as hot; they are the only ones that are broadcast.
 MAX_HOT = 100_000
-LIST_SPLIT, BLOCK = 100_000, 4096
+LIST_SPLIT, SMALL, BLOCK, BLOCK_SHINGLES = 100_000, 16, 2048, 1_500_000
 
 
 def least_shared(size: int, k: int = K) -> int:
@@ -127,41 +128,107 @@ def _first_pairs(lists: DataFrame) -> DataFrame:
 
 
 def _labelled(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The lists with each class's component, without lists that are within one component."""
-    members = lists.join(roots.withColumnRenamed("node", "id"), "id", "left").select("v", "rank", "id", F.coalesce("root", "id").alias("comp"))
-    mixed = members.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("v", "size")
+    """(v, id, comp, size): the lists of three classes or more with each class's component, without lists within one component."""
+    members = lists.join(roots.withColumnRenamed("node", "id"), "id", "left").select("v", "id", F.coalesce("root", "id").alias("comp"))
+    mixed = members.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y and size > 2").select("v", "size")
     return members.join(mixed, "v")
 
 
-def _later_pivots(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs across components with the most central class of the turn-th component of each list."""
-    heads = members.groupBy("v", "comp").agg(F.min(F.struct("rank", "id")).alias("head"))
-    pick = heads.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("head"))).where(F.col("n") == turn).select("v", F.col("head.id").alias("hub"), F.col("comp").alias("own"))
-    return members.join(pick, "v").where("comp <> own").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-
-
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """Every pair of a list across components.  Lists longer than BLOCK are dealt in pairs of blocks, so a group is bounded."""
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "id"
-    )
+def _small_list_pairs(members: DataFrame) -> DataFrame:
+    """Every pair across components of the lists of at most SMALL classes: at most SMALL / 2 for each of their rows."""
+    small = members.where(F.col("size") <= SMALL)
+    one = small.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("id", "comp"))).alias("m"))  # at most SMALL elements
+    pairs = one.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["id"] > F.col("x.id")) & (y["comp"] != F.col("x.comp")))).alias("y"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _shares(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left with the right sets, by products of slices of the incidence matrix.  Shingles of one
+    set only take no part."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = counts[column] > 1
+    owner, column = owner[keep], (np.cumsum(counts > 1) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    width = max(64, min(4096, (8 << 20) // max(1, len(sets))))
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [c, c + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[lo:hi], column[lo:hi] - c] = 1
+        out += part[left] @ part[right].T
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> list[int]:
+    """Positions of the pairs that join labels not yet joined; the others add nothing to the components."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append(k)
+    return out
+
+
+def _block_links(percent: int):  # noqa: ANN202
+    def links(group: pa.Table) -> pa.Table:
+        import zstandard
 
-    def pairs(group: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
-        own, comp, ident = (group.column(n).to_numpy() for n in ("own", "comp", "id"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        unpack = zstandard.ZstdDecompressor().decompress
+        own, comp, ident, n = (group.column(x).to_numpy() for x in ("own", "comp", "id", "n"))
+        v, i, j = (group.column(x)[0].as_py() for x in ("v", "i", "j"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out_a, out_b = [], []
-        for x in left:
-            y = right[comp[right] != comp[x]]
-            y = y[ident[y] > ident[x]] if i == j else y
-            out_a.append(np.minimum(ident[x], ident[y]))
-            out_b.append(np.maximum(ident[x], ident[y]))
-        cat = lambda z: np.concatenate(z) if z else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(cat(out_a), pa.int64()), "b": pa.array(cat(out_b), pa.int64())})
-
-    return dealt.groupBy("v", "i", "j").applyInArrow(pairs, "a bigint, b bigint").distinct()
+        # a pair that shares several lists is tested in that of the least value
+        open_pairs = comp[left][:, None] != comp[right][None, :]
+        open_pairs &= (100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :]))
+        lists: dict[int, list[int]] = {}
+        for k, values in enumerate(group.column("values").to_pylist()):
+            for x in values:
+                if x < v:
+                    lists.setdefault(x, []).append(k)
+        for rows in lists.values():
+            if len(rows) > 1:
+                has = np.zeros(len(own), bool)
+                has[rows] = True
+                open_pairs &= ~(has[left][:, None] & has[right][None, :])
+        out_a, out_b = np.empty(0, np.int64), np.empty(0, np.int64)
+        if open_pairs.any():
+            used = np.zeros(len(own), bool)
+            used[left[open_pairs.any(1)]] = used[right[open_pairs.any(0)]] = True
+            packed = group.column("z")
+            none = np.empty(0, np.uint64)
+            sets = [shingle_hashes(space_words(unpack(packed[k].as_py()).decode("utf-8", "surrogatepass"), lower=True), WIDTH) if used[k] else none for k in range(len(own))]
+            inter = _shares(sets, left, right)
+            size = np.array([len(x) for x in sets])
+            union = size[left][:, None] + size[right][None, :] - inter
+            x, y = np.nonzero(open_pairs & (100 * inter >= percent * union))
+            a, b = left[x], right[y]
+            kept = _forest(a, b, comp)
+            out_a, out_b = np.minimum(ident[a[kept]], ident[b[kept]]), np.maximum(ident[a[kept]], ident[b[kept]])
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return links
+
+
+def _large_list_links(members: DataFrame, classes: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
+    """Links across components in the lists of more than SMALL classes: all their pairs are tested on the whole sets, in pairs of
+    blocks of bounded rows and shingles, and only the links that join components are given out."""
+    large = members.where(F.col("size") > SMALL).join(classes.select("id", F.col("n_shingles").alias("n")), "id")
+    totals = large.groupBy("v").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    values = large.groupBy("id").agg(F.collect_set("v").alias("values"))  # at most K
+    rows = large.join(totals, "v").join(values, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "id", "n", "values")
+    return dealt.join(packed, "id").groupBy("v", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint").distinct()
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, least: float, k: int = K) -> DataFrame:
@@ -189,13 +256,17 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, th bigint, z binary")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union on the whole sets, computed from the texts."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "rep"), "id").select("id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
+def _packed(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, z): the compressed texts of the classes in ``nodes(id)``; one pass over the documents."""
+    own = nodes.join(classes.select("id", "rep"), "id").select("id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
     text = _texts(docs)
-    match = text["doc_id"].eqNullSafe(nodes["doc_id"]) & (text["th"] == nodes["th"])
-    # rows repeat where a document does: one of each is enough
-    packed = checkpointed(text.join(nodes, match).select("id", "z").dropDuplicates(["id"]))
+    match = text["doc_id"].eqNullSafe(own["doc_id"]) & (text["th"] == own["th"])
+    # where documents repeat so do the rows; one of each is enough
+    return checkpointed(text.join(own, match).select("id", "z").dropDuplicates(["id"]))
+
+
+def verified(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
+    """The pairs with 100 * intersection >= percent * union on the whole sets, computed from the texts ``packed(id, z)``."""
     both = pairs.join(packed.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b").join(packed.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").select("a", "b", "za", "zb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +289,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, max_rounds: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, th, n_shingles, component_id and kept.
 
     Linked: 100 * intersection >= percent * union of the sets of 5-word shingles (``percent`` >= 80).  ``component_id`` is the
@@ -232,25 +303,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, max_rounds:
     hot = _hot(classes)
     lists = checkpointed(_shared_lists(_lists(classes, hot, k)))
     floor = 26 / 48 - 1e-9
-    check = lambda pairs: verified(checkpointed(estimated(pairs, classes, floor, k)), classes, docs, percent)
     tested = checkpointed(_first_pairs(lists))
-    links = checkpointed(check(tested))
-    roots = components(links)
-    budget = 4 * classes.count() + 10_000
-    for turn in range(2, max_rounds + 1):
-        members = checkpointed(_labelled(lists, roots))
-        sizes = members.groupBy("v", "comp").agg(F.count("*").alias("n")).groupBy("v").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        left = sizes.agg(F.sum("pairs").alias("n")).first().n or 0
-        if not left:
-            break
-        last = left <= budget or turn == max_rounds
-        fresh = checkpointed((_all_pairs(members) if last else _later_pivots(members, turn)).join(tested, ["a", "b"], "left_anti"))
-        found = checkpointed(check(fresh))
-        links = links.unionByName(found)
+    likely = checkpointed(estimated(tested, classes, floor, k))
+    shared = lists.groupBy("v").agg(F.count("*").alias("n")).where("n > 2")
+    nodes = likely.select(F.explode(F.array("a", "b")).alias("id")).unionByName(lists.join(shared, "v", "left_semi").select("id")).distinct()
+    packed = _packed(docs, classes, nodes)
+    roots = components(verified(likely, packed, percent))
+    members = checkpointed(_labelled(lists, roots))
+    if not members.isEmpty():
+        more = checkpointed(estimated(_small_list_pairs(members).join(tested, ["a", "b"], "left_anti"), classes, floor, k))
+        found = verified(more, packed, percent).unionByName(_large_list_links(members, classes, packed, percent))
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-        if last:
-            break
-        tested = tested.unionByName(fresh)
     return _membership(signed, classes, roots)
 
 
