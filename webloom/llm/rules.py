@@ -114,7 +114,6 @@ def ablation(book: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     The ledger is first reduced to counts of distinct masks (at most 2**len(RULES) rows), whatever its size.
     """
     masks = book.groupBy("fail_bits").agg(F.count("*").alias("n"))
-    bit = F.shiftleft(F.lit(1).cast("bigint"), F.col("rule_bit"))
     enforced = F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
     rules = F.array(*[F.struct(F.lit(RULES.index(r)).alias("rule_bit"), F.lit(r).alias("rule")) for r in policy.rules])
     at = masks.withColumn("r", F.explode(rules)).select("fail_bits", "n", "r.rule_bit", "r.rule").withColumn("bit", F.expr("shiftleft(1L, rule_bit)"))
