@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from webloom.functions.mathx import clamp, js_round
-from webloom.functions.text import content_tokens, sentences, stem, stem_set, tokens
+from webloom.functions.text import content_tokens, stem, stem_set, tokens
 from webloom.functions.url import slash_key
 from webloom.operators.similarity import checkpointed, count_phrase
 
@@ -107,8 +107,8 @@ def link_opportunities(pages: DataFrame, targets: list[str] | None = None, max_p
     cand = need.join(rarest, ["to", "anchor"]).join(words, "t").where("node <> to").join(hay, "node")
     linked = F.exists("links", lambda x: x["internal"] & (slash_key(x["url"]) == F.col("to")))
     hit = cand.where(~linked & (F.size(F.array_except("needle", "hay")) == 0)).where(count_phrase("hay", "needle") > 0)
-    short = F.filter(sentences(F.col("text")), lambda s: (F.length(s) <= 500) & (F.size(F.array_except(F.col("needle"), F.transform(tokens(s), stem))) == 0))
-    context = hit.withColumn("context", F.get(short, F.lit(0))).where("context is not null")
+    short = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: (F.length(s) <= 500) & (F.size(F.array_except(F.col("needle"), F.transform(tokens(s), stem))) == 0))
+    context = hit.withColumn("context", F.trim(F.get(short, F.lit(0)))).where("context is not null")
     a, b = stem_set(F.col("topic")), stem_set(F.col("to_topic"))
     overlap = F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.sqrt(F.greatest(F.size(a) * F.size(b), F.lit(1))))
     one = context.withColumn("n", F.row_number().over(Window.partitionBy("to", "node").orderBy("pos"))).where("n = 1")
