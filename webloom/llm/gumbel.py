@@ -20,7 +20,6 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from .common import mix64
 
 SPACE = "▁"
 SAMPLES, POWER, OFFSET = 2, 1.5, 100.0
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 1_500_000
 _U = np.uint64
 #: Units: spaces with the word after them, or a line end.  No piece crosses these; units end after UNIT_CHARS characters.
 UNIT_CHARS = 256
@@ -41,239 +40,287 @@ LITERAL = "\ud800"
 
 
 class Vocabulary:
-    """Pieces, their log weights and the byte pieces of a SentencePiece model file."""
+    """Pieces, their log weights, the byte pieces and a trie of the pieces of a SentencePiece model file."""
 
     def __init__(self, path: str, power: float = POWER, offset: float = OFFSET) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.pieces = [model.id_to_piece(k) for k in range(n)]
-        self.byte = {int(p[3:5], 16): k for k, p in enumerate(self.pieces) if model.is_byte(k)}
+        pieces = [model.id_to_piece(k) for k in range(n)]
+        self.byte = {int(p[3:5], 16): k for k, p in enumerate(pieces) if model.is_byte(k)}
         normal = [k for k in range(n) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k) or model.is_unused(k))]
         crossing = re.compile(f"[^{SPACE}]{SPACE}|\n")
-        self.ids = {self.pieces[k]: k for k in normal if not crossing.search(self.pieces[k])}
-        rank = {k: r for r, k in enumerate(sorted(normal, key=model.get_score, reverse=True))}
-        self.weight = {k: (rank.get(k, n) + offset) ** -power for k in range(n)}
-        self.longest = max(map(len, self.ids))
-        self.text = {k: p.replace(SPACE, " ") for p, k in self.ids.items()}
-        self.of_byte = {k: b for b, k in self.byte.items()}
+        ids = {pieces[k]: k for k in normal if not crossing.search(pieces[k])}
+        rank = np.full(n, n)
+        rank[sorted(normal, key=model.get_score, reverse=True)] = np.arange(len(normal))
+        self.log_weight = -power * np.log(rank + offset)
+        self.text = {k: p.replace(SPACE, " ").encode("utf-8") for p, k in ids.items()} | {k: bytes([b]) for b, k in self.byte.items()}
+        steps: dict[int, int] = {}
+        ends = [-1]
+        for piece, k in ids.items():
+            at = 0
+            for c in piece:
+                key = at << 21 | ord(c)
+                if key not in steps:
+                    steps[key] = len(ends)
+                    ends.append(-1)
+                at = steps[key]
+            ends[at] = k
+        self.piece_at = np.array(ends, np.int64)
+        # the steps in a hash table with open addressing, four slots a step and more
+        self.bits = max(8, (4 * len(steps)).bit_length())
+        self.slot_key, self.slot_to = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        keys, to = np.array(list(steps), np.int64), np.array(list(steps.values()), np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.slot_key[slot] < 0
+            self.slot_key[slot[free]] = keys[free]  # of several steps for a slot the last stays
+            done = self.slot_key[slot] == keys
+            self.slot_to[slot[done]] = to[done]
+            keys, to, slot = keys[~done], to[~done], (slot[~done] + 1) & (1 << self.bits) - 1
+        self.runs: dict[int, int] = {}  # characters without a piece
+        self.run_list: list[list[int]] = [[]]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(_U) * _U(0x9E3779B97F4A7C15) >> _U(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The trie's states after a character, or -1."""
+        key = state << 21 | code
+        slot = self._slot(key)
+        there = self.slot_key[slot]
+        out = np.where(there == key, self.slot_to[slot], -1)
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (1 << self.bits) - 1
+            there = self.slot_key[slot[open_]]
+            out[open_[there == key[open_]]] = self.slot_to[slot[open_[there == key[open_]]]]
+            open_ = open_[(there != key[open_]) & (there >= 0)]
+        return out
+
+    def run(self, code: int) -> int:
+        """The byte pieces of a character: the piece if it is one, else the negative number of a run."""
+        ids = [self.byte[b] for b in (SPACE if code == ord(LITERAL) else chr(code)).encode("utf-8", "surrogatepass")]
+        if len(ids) == 1:
+            return ids[0]
+        if code not in self.runs:
+            self.runs[code] = len(self.run_list)
+            self.run_list.append(ids)
+        return -self.runs[code]
 
     def decode(self, ids: list[int]) -> str:
         """The text of pieces; the space that encoding puts in front is dropped."""
-        out = bytearray()
-        for k in ids:
-            if k in self.of_byte:
-                out.append(self.of_byte[k])
-            else:
-                out += self.text[k].encode("utf-8", "surrogatepass")
-        return bytes(out[1:]).decode("utf-8", "surrogatepass")
+        return b"".join([self.text[k] for k in ids])[1:].decode("utf-8", "surrogatepass")
 
 
 class Lattices:
-    """Lattices of distinct units as one graph in arrays.
+    """The lattices of distinct units as one graph in arrays.
 
-    A node is a unit and a position; its edges are neighbours in the arrays.  ``key`` of an edge is its node plus the cumulated
-    probability up to it, so a sorted search for node + u draws an edge.
+    A node is a character of a unit; its edges are neighbours in the arrays.  ``to`` is -1 at the end of a unit.
     """
 
-    LIMIT = 700_000
-
-    def __init__(self, vocab: Vocabulary) -> None:
-        self.vocab = vocab
-        self.runs: dict[tuple[int, ...], int] = {}
-        self.run_list: list[tuple[int, ...]] = [()]
-        self.clear()
-
-    def clear(self) -> None:
-        self.units: dict[str, int] = {}
-        self.nodes = 0
-        self.prob, self.to, self.piece, self.node = array("d"), array("i"), array("i"), array("i")
-        self.built = -1
-
-    def _edges(self, unit: str) -> list[list[tuple[int, int, float]]]:
-        """Per position the edges (target, piece, weight).  A character without a piece goes as a run of byte pieces, and so
-        does a literal \u2581, which stands here as a lone surrogate."""
-        ids, weight, longest, n = self.vocab.ids, self.vocab.weight, self.vocab.longest, len(unit)
-        out = []
-        for i in range(n):
-            edges = [(j, k, weight[k]) for j in range(i + 1, min(n, i + longest) + 1) if (k := ids.get(unit[i:j])) is not None]
-            if not edges:
-                c = SPACE if unit[i] == LITERAL else unit[i]
-                edges.append((i + 1, -self._run(tuple(self.vocab.byte[b] for b in c.encode("utf-8", "surrogatepass"))), 1e-6))
-            out.append(edges)
-        return out
-
-    def _run(self, ids: tuple[int, ...]) -> int:
-        if ids not in self.runs:
-            self.runs[ids] = len(self.run_list)
-            self.run_list.append(ids)
-        return self.runs[ids]
-
-    def _add(self, unit: str) -> int:
-        edges, n, first = self._edges(unit), len(unit), self.nodes
-        back, probs = [0.0] * n + [1.0], [[]] * n
-        for i in range(n - 1, -1, -1):
-            masses = [w * back[j] for j, _, w in edges[i]]
-            total = back[i] = sum(masses)
-            probs[i] = [x / total for x in masses]
-            if total < 1e-100:  # only ratios of near positions matter
-                back = [x / total for x in back]
-        for i in range(n):
-            self.prob.extend(probs[i])
-            self.node.extend([first + i] * len(probs[i]))
-            self.to.extend([first + j if j < n else -1 for j, _, _ in edges[i]])
-            self.piece.extend([k for _, k, _ in edges[i]])
-        self.nodes += n
-        self.units[unit] = first
-        return first
-
-    def nodes_of(self, units: list[str]) -> np.ndarray:
-        """First nodes of the units.  Arrays are built anew when units came in; the cache is emptied between batches only."""
-        if self.nodes > self.LIMIT:
-            self.clear()
-        known = self.units
-        out = np.array([known[u] if u in known else self._add(u) for u in units], np.int64)
-        if self.built != self.nodes:
-            self.a_prob, self.a_to, self.a_piece = np.array(self.prob), np.array(self.to), np.array(self.piece)
-            node = np.array(self.node)
-            self.starts = np.searchsorted(node, np.arange(self.nodes + 1))
-            total = np.cumsum(self.a_prob)
-            base = np.concatenate([[0.0], total])[self.starts[:-1]]
-            self.key = node + np.clip(total - base[node], 0.0, 1.0)
-            self.key[self.starts[1:] - 1] = np.arange(self.nodes) + 1.0
-            self.built = self.nodes
-        return out
+    def __init__(self, vocab: Vocabulary, units: list[str]) -> None:
+        sizes = np.array([len(u) for u in units], np.int64)
+        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n = len(code)
+        unit_end = np.cumsum(sizes)
+        self.first = unit_end - sizes
+        end = np.repeat(unit_end, sizes)
+        live, state, depth, found = np.arange(n), np.zeros(n, np.int64), 0, []
+        while len(live):
+            state = vocab.step(state, code[live + depth])
+            ok = state >= 0
+            live, state, depth = live[ok], state[ok], depth + 1
+            piece = vocab.piece_at[state]
+            hit = piece >= 0
+            found.append((live[hit], np.full(int(hit.sum()), depth), piece[hit]))
+            more = live + depth < end[live]
+            live, state = live[more], state[more]
+        self.degree = np.zeros(n, np.int64)
+        for src, _, _ in found:
+            self.degree[src] += 1
+        bare = np.flatnonzero(self.degree == 0)
+        values, inverse = np.unique(code[bare], return_inverse=True)
+        runs = np.array([vocab.run(c) for c in values.tolist()], np.int64)
+        found.append((bare, np.ones(len(bare), np.int64), runs[inverse] if len(bare) else bare))
+        self.degree[bare] = 1
+        self.starts = np.concatenate([[0], np.cumsum(self.degree)])
+        # the longest edges of a node come first: they mostly are the likeliest, so a draw ends soon
+        total, free = int(self.starts[-1]), self.starts[:-1].copy()
+        self.piece, inner = np.empty(total, np.int64), np.empty(total, np.int64)
+        for src, length, piece in found[::-1]:
+            slot = free[src]
+            free[src] += 1
+            self.piece[slot] = piece
+            inner[slot] = src + length
+        self.node = np.repeat(np.arange(n), self.degree)
+        inner[inner == end[self.node]] = n
+        weight = np.where(self.piece >= 0, vocab.log_weight[self.piece], vocab.log_weight.min())
+        mass = np.zeros(n + 1)  # logarithms of the masses to the end of the unit
+        last_first = unit_end[np.argsort(-sizes, kind="stable")]
+        reach = np.searchsorted(np.sort(-sizes), -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
+        for rest, units_there in enumerate(reach.tolist(), 1):
+            own = last_first[:units_there] - rest
+            width = self.degree[own]
+            new = np.cumsum(width) - width
+            e = np.repeat(self.starts[own] - new, width) + np.arange(int(width.sum()))
+            x = weight[e] + mass[inner[e]]
+            top = np.maximum.reduceat(x, new)
+            mass[own] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, width)), new))
+        self.prob = np.minimum(np.exp(weight + mass[inner] - np.repeat(mass[:n], self.degree)), 1.0)
+        self.to = np.where(inner < n, inner, -1)
 
 
 def _uniform(seed: np.ndarray, where: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) as a function of a seed and a position."""
-    x = mix64(seed ^ mix64(where.astype(_U) + _U(0x9E3779B97F4A7C15)))
-    return ((x >> _U(11)).astype(float) + 0.5) / float(1 << 53)
-
-
-class Sampler:
-    def __init__(self, vocab: Vocabulary, samples: int) -> None:
-        self.lattices, self.k = Lattices(vocab), samples
-
-    def _paths(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A drawn path from each node to the end of its unit: edges in order of the input, and how many each has."""
-        key, to = self.lattices.key, self.lattices.a_to
-        live, at, steps, found = np.arange(len(node)), node.copy(), np.zeros(len(node), np.int64), []
-        while len(live):
-            u = _uniform(seed[live], (place[live] << 8) + steps[live])
-            edge = np.searchsorted(key, at + np.maximum(u, 1e-9), side="left")
-            found.append((live, edge))
-            steps[live] += 1
-            at = to[edge]
-            on = at >= 0
-            live, at = live[on], at[on]
-        start = np.cumsum(steps) - steps
-        edges = np.empty(int(steps.sum()), np.int64)
-        for k, (who, edge) in enumerate(found):
-            edges[start[who] + k] = edge
-        return edges, steps
-
-    def sample(self, texts: list[str], seeds: list[int]) -> list[list[tuple[np.ndarray, float, float]]]:
-        """Per text up to k + 1 of (edges, log probability, perturbed value), in order of the perturbed value."""
-        units, owners = [], []
-        for n, t in enumerate(texts):
-            marked = SPACE + t.replace(SPACE, "￰").replace(" ", SPACE)
-            own = _UNIT.findall(marked)
-            units += own
-            owners.append(len(own))
-        first = self.lattices.nodes_of(units)
-        prob, to, edge_start = self.lattices.a_prob, self.lattices.a_to, self.lattices.starts
-        seed = mix64(np.array(seeds, _U))
-        owner = np.repeat(np.arange(len(texts)), owners)
-        unit_end = np.cumsum(owners)
-        unit_start = unit_end - owners
-        place = np.arange(len(units)) - np.repeat(unit_start, owners)
-        edges, counts = self._paths(first, seed[owner], place)
-        ends = np.cumsum(np.concatenate([[0], counts]))
-        queues: list[list] = [[] for _ in texts]
-        out: list[list] = [[] for _ in texts]
-        for n in range(len(texts)):
-            if not owners[n]:
-                continue
-            own = edges[ends[unit_start[n]] : ends[unit_end[n]]]
-            top = -math.log(-math.log(float(_uniform(seed[n : n + 1], np.array([1 << 40]))[0])))
-            self._emit(out[n], queues[n], own, top, 0.0, 0, (), seed[n], prob, edge_start, self.k)
-        for turn in range(1, self.k + 1):
-            todo = []
-            for n, queue in enumerate(queues):
-                if queue:
-                    minus, _, parent, at, used = heapq.heappop(queue)
-                    node = int(np.searchsorted(edge_start, parent[at], side="right")) - 1
-                    lo, hi = int(edge_start[node]), int(edge_start[node + 1])
-                    others = [e for e in range(lo, hi) if e not in used]
-                    p = prob[others]
-                    u = float(_uniform(seed[n : n + 1], np.array([(1 << 41) + turn]))[0]) * float(p.sum())
-                    pick = others[min(int(np.searchsorted(np.cumsum(p), u)), len(others) - 1)]
-                    todo.append((n, -minus, parent, at, used, pick))
-            if not todo:
-                break
-            # what follows the edge picked: the rest of its unit, and the units after it, drawn anew
-            nodes, own_seed, where, sizes = [], [], [], []
-            for n, _, parent, at, _, pick in todo:
-                done = int((to[parent[:at]] < 0).sum())  # units finished before the branch
-                tail = first[unit_start[n] + done + 1 : unit_end[n]]
-                inner = [to[pick]] if to[pick] >= 0 else []
-                nodes += [np.array(inner, np.int64), tail]
-                sizes.append(len(inner) + len(tail))
-                own_seed.append(np.full(sizes[-1], mix64(np.array([int(seed[n]) + turn * 0x632BE5AB & (1 << 64) - 1], _U))[0]))
-                where.append(np.arange(sizes[-1]))
-            node = np.concatenate(nodes)
-            drawn, steps = self._paths(node, np.concatenate(own_seed), np.concatenate(where)) if len(node) else (np.empty(0, np.int64), np.empty(0, np.int64))
-            bound = np.cumsum(np.concatenate([[0], steps]))
-            at_unit = np.cumsum([0, *sizes])
-            for k, (n, value, parent, at, used, pick) in enumerate(todo):
-                path = np.concatenate([parent[:at], [pick], drawn[bound[at_unit[k]] : bound[at_unit[k + 1]]]]).astype(np.int64)
-                before = float(np.log(prob[parent[:at]]).sum())
-                self._emit(out[n], queues[n], path, value, before, at, (*used, pick), seed[n], prob, edge_start, self.k)
-        return out
-
-    @staticmethod
-    def _emit(out: list, queue: list, path: np.ndarray, value: float, before: float, at: int, used: tuple[int, ...], seed: np.uint64, prob: np.ndarray, edge_start: np.ndarray, k: int) -> None:
-        """Record a path and queue what branches off it from position ``at`` on; ``used`` edges at ``at`` are taken already."""
-        turn = len(out)
-        p = prob[path[at:]]
-        logs = np.log(p)
-        out.append((path, before + float(logs.sum()), value))
-        want = k + 1 - len(out)
-        if want <= 0:
-            return
-        lead = before + np.concatenate([[0.0], np.cumsum(logs)[:-1]])
-        node = np.searchsorted(edge_start, path[at:], side="right") - 1
-        rest = np.where(edge_start[node + 1] - edge_start[node] > 1, np.maximum(1.0 - p, 0.0), 0.0)
+    x = mix64(seed + where.astype(_U) * _U(0x9E3779B97F4A7C15))
+    return ((x >> _U(11)).astype(float) + 0.5) * (1.0 / (1 << 53))
+
+
+def _paths(lat: Lattices, node: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A drawn path from each node to the end of its unit: edges in order of the input, and how many each has."""
+    live, at, steps, found, k = np.arange(len(node)), node, np.zeros(len(node), np.int64), [], 0
+    while len(live):
+        edge, last = lat.starts[at], lat.starts[at + 1] - 1
+        left = _uniform(seed[live], (place[live] << 9) + k) - lat.prob[edge]
+        on = np.flatnonzero((left > 0) & (edge < last))
+        while len(on):
+            edge[on] += 1
+            left[on] -= lat.prob[edge[on]]
+            on = on[(left[on] > 0) & (edge[on] < last[on])]
+        found.append((live, edge))
+        k += 1
+        steps[live] = k
+        at = lat.to[edge]
+        on = at >= 0
+        live, at = live[on], at[on]
+    start = np.cumsum(steps) - steps
+    edges = np.empty(int(steps.sum()), np.int64)
+    for k, (who, edge) in enumerate(found):
+        edges[start[who] + k] = edge
+    return edges, steps
+
+
+class _Search:
+    """The queue and the samples of one text."""
+
+    __slots__ = ("queue", "samples")
+
+    def __init__(self) -> None:
+        self.queue: list[tuple] = []
+        self.samples: list[tuple[np.ndarray, float, float]] = []
+
+
+def sample(vocab: Vocabulary, texts: list[str], seeds: list[int], k: int) -> tuple[Lattices, list[_Search]]:
+    """Up to k samples (edges, log probability, perturbed value) of each text; the best entry left in its queue has the next value."""
+    units, owners, index = [], [], {}
+    for t in texts:
+        own = _UNIT.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE))
+        units += [index.setdefault(u, len(index)) for u in own]
+        owners.append(len(own))
+    lat = Lattices(vocab, list(index))
+    first = lat.first[units]
+    seed = mix64(np.array(seeds, _U))
+    unit_end = np.cumsum(owners)
+    unit_start = unit_end - owners
+    edges, counts = _paths(lat, first, np.repeat(seed, owners), np.arange(len(units)) - np.repeat(unit_start, owners))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    found = [_Search() for _ in texts]
+    top = -np.log(-np.log(_uniform(seed, np.full(len(texts), 1 << 40))))
+    paths = [edges[ends[a] : ends[b]] for a, b in zip(unit_start.tolist(), unit_end.tolist(), strict=True)]
+    todo = [(n, float(top[n]), 0, 0.0, (), paths[n]) for n in range(len(texts))]
+    for turn in range(k):
+        _record(lat, found, todo, seed, turn, k)
+        if turn + 1 == k:
+            break
+        todo = _next(lat, found, seed, turn + 1, first, unit_start, unit_end)
+    return lat, found
+
+
+def _next(lat: Lattices, found: list[_Search], seed: np.ndarray, turn: int, first: np.ndarray, unit_start: np.ndarray, unit_end: np.ndarray) -> list[tuple]:
+    """Take the best subset of each text out of its queue and draw its winning path."""
+    heads, nodes, seeds, sizes = [], [], [], []
+    fresh = mix64(seed + _U(turn * 0x632BE5AB))
+    u = _uniform(seed, np.full(len(seed), (1 << 41) + turn))
+    for n, search in enumerate(found):
+        if not search.queue:
+            continue
+        minus, _, parent, at, used = heapq.heappop(search.queue)
+        node = int(lat.node[parent[at]])
+        others = [e for e in range(int(lat.starts[node]), int(lat.starts[node + 1])) if e not in used]
+        p = lat.prob[others]
+        pick = others[min(int(np.searchsorted(np.cumsum(p), float(u[n]) * float(p.sum()))), len(others) - 1)]
+        # what follows the edge: the rest of its unit, and the units after it
+        tail = first[unit_start[n] + int((lat.to[parent[:at]] < 0).sum()) + 1 : unit_end[n]]
+        inner = lat.to[pick : pick + 1] if lat.to[pick] >= 0 else lat.to[:0]
+        nodes += [inner, tail]
+        sizes.append(len(inner) + len(tail))
+        seeds.append(fresh[n])
+        heads.append((n, -minus, parent, at, used, pick))
+    if not heads:
+        return []
+    node = np.concatenate(nodes)
+    start = np.cumsum(sizes) - sizes
+    drawn, steps = _paths(lat, node, np.repeat(np.array(seeds, _U), sizes), np.arange(len(node)) - np.repeat(start, sizes))
+    bound = np.concatenate([[0], np.cumsum(steps)])
+    out = []
+    for (n, value, parent, at, used, pick), a, size in zip(heads, start.tolist(), sizes, strict=True):
+        path = np.concatenate([parent[:at], [pick], drawn[bound[a] : bound[a + size]]])
+        out.append((n, value, at, float(np.log(lat.prob[parent[:at]]).sum()), (*used, pick), path))
+    return out
+
+
+def _record(lat: Lattices, found: list[_Search], todo: list[tuple], seed: np.ndarray, turn: int, k: int) -> None:
+    """Record the drawn paths and queue the best of the subsets that branch off them from position ``at`` on; ``used`` edges at
+    ``at`` are taken already.  Entries of ``todo``: (text, value, at, log probability before ``at``, used, path)."""
+    sizes = np.array([len(path) - at for _, _, at, _, _, path in todo], np.int64)
+    if not len(sizes):
+        return
+    tail = np.concatenate([path[at:] for _, _, at, _, _, path in todo])
+    start = np.cumsum(sizes) - sizes
+    p = lat.prob[tail]
+    logs = np.log(p)
+    run = np.cumsum(logs)
+    before = np.array([x[3] for x in todo])
+    lead = run - logs
+    lead += np.repeat(before - lead[start], sizes)
+    rest = np.where(lat.degree[lat.node[tail]] > 1, np.maximum(1.0 - p, 1e-300), 0.0)
+    for (_, _, _, _, used, _), s in zip(todo, start.tolist(), strict=True):
         if used:
-            lo, hi = int(edge_start[node[0]]), int(edge_start[node[0] + 1])
-            left = [e for e in range(lo, hi) if e not in used]
-            rest[0] = float(prob[left].sum()) if left else 0.0
-        live = np.flatnonzero(rest > 1e-300)
-        if not len(live):
-            return
-        phi = lead[live] + np.log(rest[live])
-        u = _uniform(np.full(len(live), mix64(np.array([int(seed) ^ (turn + 1) * 0x9E3779B9], _U))[0]), live + (1 << 42))
-        # a Gumbel variable at phi, below the value of the subset
-        got = phi - np.logaddexp(phi - value, np.log(-np.log(u)))
-        best = np.argpartition(-got, want - 1)[:want] if len(got) > want else np.arange(len(got))
-        for b in best:
-            i = int(live[b])
-            heapq.heappush(queue, (-float(got[b]), turn, path, at + i, used if i == 0 and used else (int(path[at + i]),)))
+            node = int(lat.node[tail[s]])
+            left = [e for e in range(int(lat.starts[node]), int(lat.starts[node + 1])) if e not in used]
+            rest[s] = float(lat.prob[left].sum()) if left else 0.0
+    value = np.array([x[1] for x in todo])
+    own = mix64(seed[[x[0] for x in todo]] ^ _U((turn + 1) * 0x9E3779B9))
+    u = _uniform(np.repeat(own, sizes), np.arange(len(tail)) - np.repeat(start, sizes) + (1 << 42))
+    with np.errstate(divide="ignore"):
+        # a Gumbel variable at the logarithm of the subset's mass, below the value of the set it is part of
+        gap = np.exp(np.minimum(lead + np.log(rest) - np.repeat(value, sizes), 700.0)) - np.log(u)
+        got = lead + np.log(rest) - np.log(gap)
+    total = lead[start + sizes - 1] + logs[start + sizes - 1]
+    want = k - turn
+    for x, s, size, log_prob in zip(todo, start.tolist(), sizes.tolist(), total.tolist(), strict=True):
+        n, value_n, at, _, used, path = x
+        search = found[n]
+        search.samples.append((path, log_prob, value_n))
+        g = got[s : s + size]
+        best = np.argpartition(g, size - want)[size - want :] if size > want else np.arange(size)
+        for i in best.tolist():
+            if g[i] > -math.inf:
+                heapq.heappush(search.queue, (-float(g[i]), turn, path, at + i, used if i == 0 and used else (int(path[at + i]),)))
 
 
 _SCHEMA = "doc_id bigint, sample int, ids array<int>, n_pieces bigint, log_prob double, perturbed double, inclusion double, text string"
 _KINDS = (("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("text", pa.string()))
-_CACHE: dict[tuple, Sampler] = {}
+_CACHE: dict[tuple, Vocabulary] = {}
 
 
-def _ids(lattices: Lattices, path: np.ndarray) -> np.ndarray:
-    got = lattices.a_piece[path]
-    if (got >= 0).all():
+def _ids(vocab: Vocabulary, lat: Lattices, path: np.ndarray) -> np.ndarray:
+    got = lat.piece[path]
+    if got.min() >= 0:
         return got.astype(np.int32)
-    runs = [(int(x),) if x >= 0 else lattices.run_list[-int(x)] for x in got]
-    return np.array([k for r in runs for k in r], np.int32)
+    return np.array([k for x in got.tolist() for k in ((x,) if x >= 0 else vocab.run_list[-x])], np.int32)
 
 
 def encode(docs: DataFrame, vocabulary: str, samples: int = SAMPLES, seed: int = 0, power: float = POWER, decoded: bool = True) -> DataFrame:
@@ -288,9 +335,9 @@ def encode(docs: DataFrame, vocabulary: str, samples: int = SAMPLES, seed: int =
     length_at = CHUNK_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = _CACHE.get((vocabulary, samples, power))
-        if sampler is None:
-            sampler = _CACHE[vocabulary, samples, power] = Sampler(Vocabulary(vocabulary, power), samples)
+        vocab = _CACHE.get((vocabulary, power))
+        if vocab is None:
+            vocab = _CACHE[vocabulary, power] = Vocabulary(vocabulary, power)
         for b in batches:
             rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
             while rows:
@@ -299,25 +346,27 @@ def encode(docs: DataFrame, vocabulary: str, samples: int = SAMPLES, seed: int =
                     size += len(rows[n][1] or "")
                     n += 1
                 now, rows = rows[:n], rows[n:]
-                yield _batch(sampler, now, samples, decoded)
+                yield _batch(vocab, now, samples, decoded)
 
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"), F.lit(seed))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key")).mapInArrow(run, _SCHEMA)
 
 
-def _batch(sampler: Sampler, rows: list[tuple], samples: int, decoded: bool) -> pa.RecordBatch:
-    vocab = sampler.lattices.vocab
-    found = sampler.sample([t or "" for _, t, _ in rows], [k & (1 << 64) - 1 for _, _, k in rows])
+def _batch(vocab: Vocabulary, rows: list[tuple], samples: int, decoded: bool) -> pa.RecordBatch:
+    full = [r for r in rows if r[1]]
+    lat, found = sample(vocab, [t for _, t, _ in full], [k & (1 << 64) - 1 for _, _, k in full], samples) if full else (None, [])
+    searches = iter(found)
     heads, ids, texts = [], [], []
-    for (doc_id, text, _), paths in zip(rows, found, strict=True):
+    for doc_id, text, _ in rows:
         if not text:
             heads.append((doc_id, 0, 0, 0.0, None, 1.0))
             ids.append(np.empty(0, np.int32))
             texts.append(text)
             continue
-        edge = paths[samples][2] if len(paths) > samples else -math.inf
-        for k, (path, log_prob, value) in enumerate(paths[:samples]):
-            own = _ids(sampler.lattices, path)
+        search = next(searches)
+        edge = -search.queue[0][0] if search.queue else -math.inf
+        for k, (path, log_prob, value) in enumerate(search.samples):
+            own = _ids(vocab, lat, path)
             heads.append((doc_id, k, len(own), log_prob, value, 1.0 if edge == -math.inf else -math.expm1(-math.exp(min(log_prob - edge, 700.0)))))
             ids.append(own)
             texts.append(vocab.decode(own.tolist()) if decoded else None)
