@@ -78,7 +78,7 @@ def tool(about: str, **defaults) -> Callable:
     return add
 
 
-def call(ctx: Context, name: str, **args) -> Envelope:
+def call(ctx: Context, name: str, /, **args) -> Envelope:
     """Run a tool with its defaults; errors come back as envelopes."""
     try:
         if name not in TOOLS:
