@@ -1,8 +1,8 @@
 """Quality score from compressed sizes.
 
-Two zstandard dictionaries are built, one from good and one from bad labelled texts.  A text is compressed with each, in blocks,
-and the difference of the compressed sizes per byte, together with the compressed size itself, goes through a logistic
-function fitted on labelled texts that the dictionaries have not seen.
+Two zstandard dictionaries are built, one from good and one from bad labelled texts.  A text is compressed with each, in short blocks
+so that the dictionaries matter all the way, and the difference of the compressed sizes per byte, together with the sizes
+themselves, goes through a logistic function fitted on labelled texts that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -15,16 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import utf8
+from .common import tidy, utf8
 
 #: Labelled rows that training may use: at most so many of each class, the least by hash of the id, of at most so many bytes.
 MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 2000, 8192
-DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 64 << 10, 4096, 3
+DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 64 << 10, 1024, 3
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries and the weights of (1, size difference, good size, bad size, log length)."""
+    """Dictionaries and the weights of (1, size difference, good size, bad size, 1 / root of the length)."""
 
     good: bytes
     bad: bytes
@@ -59,13 +59,13 @@ class Scorer:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; from few texts, whose statistics don't carry, their plain content."""
+    """A trained dictionary of an eighth of the texts at most; from texts too few to train on, their plain content."""
     import zstandard as z
 
     samples = [t[k : k + BLOCK_BYTES] for t in texts for k in range(0, len(t), BLOCK_BYTES)]
-    if sum(map(len, samples)) > 8 * DICTIONARY_BYTES and len(samples) >= 64:
+    if len(samples) >= 16:
         try:
-            return z.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
+            return z.train_dictionary(min(DICTIONARY_BYTES, max(2048, sum(map(len, samples)) // 8)), samples, level=LEVEL).as_bytes()
         except z.ZstdError:
             pass
     return b"".join(samples)[-DICTIONARY_BYTES:]
@@ -126,4 +126,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id bigint, score double")
