@@ -16,6 +16,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import tidy
+
 #: Role names of other layouts and their canonical forms.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 OPEN, CLOSE = "<|turn|>", "<|end|>"
@@ -136,7 +138,7 @@ def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
             kinds = (("id", b.column(0).type), ("layout", pa.string()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
-    return records.select(F.col("id"), F.col(column).cast("string")).mapInArrow(run, f"id {records.schema['id'].dataType.simpleString()}, layout string, turn bigint, role string, text string")
+    return records.select(F.col("id"), F.col(column).cast("string")).mapInArrow(tidy(run), f"id {records.schema['id'].dataType.simpleString()}, layout string, turn bigint, role string, text string")
 
 
 def render_turn(role: str, text: str) -> str:
@@ -163,7 +165,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["conv_id", "turn", "formatted", "loss"])
 
     cols = [F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]
-    return turns.select(*cols).mapInArrow(run, "conv_id bigint, turn bigint, formatted string, loss boolean")
+    return turns.select(*cols).mapInArrow(tidy(run), "conv_id bigint, turn bigint, formatted string, loss boolean")
 
 
 class _Digest:
@@ -209,7 +211,7 @@ def read_back(segments: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(now.row(), _DIGEST, strict=True)], [n for n, _ in _DIGEST])
 
     return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "formatted").mapInArrow(
-        run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+        tidy(run), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )
 
 
@@ -237,5 +239,5 @@ def conversation_texts(segments: DataFrame, max_chars: int = 1 << 20) -> DataFra
             yield flush()
 
     return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "formatted", "loss").mapInArrow(
-        run, "conv_id bigint, part bigint, formatted string, loss_spans array<bigint>"
+        tidy(run), "conv_id bigint, part bigint, formatted string, loss_spans array<bigint>"
     )

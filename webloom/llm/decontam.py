@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import alnum_words, utf8
+from .common import alnum_words, tidy, utf8
 
 WINDOW = 8
 MAX_BLOCK_WORDS = 1_000_000
@@ -186,7 +186,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_block
                 kind = pa.struct([("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("n_words", pa.int64())])
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(rows, kind)], [*names, "_hit"])
 
-        docs = docs.mapInArrow(run, f"{schema}, `_hit` struct<{_HITS.replace(' array', ': array').replace(' bigint', ': bigint')}>")
+        docs = docs.mapInArrow(tidy(run), f"{schema}, `_hit` struct<{_HITS.replace(' array', ': array').replace(' bigint', ': bigint')}>")
         first = False
     return docs
 
@@ -238,7 +238,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5,
             else:
                 yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names)
 
-    return find_hits(docs, items, **how).mapInArrow(run, schema)
+    return find_hits(docs, items, **how).mapInArrow(tidy(run), schema)
 
 
 def items_digest(items: list[str]) -> str:

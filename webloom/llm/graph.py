@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed
+from .common import checkpointed, tidy
 
 #: 16 MB of edges.
 LOCAL_EDGES = 1_000_000
@@ -54,7 +54,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
         under = node != root
         yield pa.RecordBatch.from_arrays([pa.array(node[under], pa.int64()), pa.array(root[under], pa.int64())], ["node", "root"])
 
-    return edges.coalesce(1).mapInArrow(run, "node bigint, root bigint")
+    return edges.coalesce(1).mapInArrow(tidy(run), "node bigint, root bigint")
 
 
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:

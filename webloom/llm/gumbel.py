@@ -24,9 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64
+from .common import mix64, tidy
 
 SPACE = "▁"
 SAMPLES, POWER, OFFSET = 2, 1.5, 100.0
@@ -281,10 +282,11 @@ def _record(lat: Lattices, found: list[_Search], todo: list[tuple], seed: np.nda
     start = np.cumsum(sizes) - sizes
     p = lat.prob[tail]
     logs = np.log(p)
-    run = np.cumsum(logs)
+    run = np.cumsum(logs, dtype=np.longdouble)  # so that a text's figures don't depend on the texts before it
     before = np.array([x[3] for x in todo])
-    lead = run - logs
-    lead += np.repeat(before - lead[start], sizes)
+    head = (run - logs)[start]
+    total = before + (run[start + sizes - 1] - head).astype(float)
+    lead = (run - logs - np.repeat(head, sizes)).astype(float) + np.repeat(before, sizes)
     rest = np.where(lat.degree[lat.node[tail]] > 1, np.maximum(1.0 - p, 1e-300), 0.0)
     for (_, _, _, _, used, _), s in zip(todo, start.tolist(), strict=True):
         if used:
@@ -298,7 +300,6 @@ def _record(lat: Lattices, found: list[_Search], todo: list[tuple], seed: np.nda
         # a Gumbel variable at the logarithm of the subset's mass, below the value of the set it is part of
         gap = np.exp(np.minimum(lead + np.log(rest) - np.repeat(value, sizes), 700.0)) - np.log(u)
         got = lead + np.log(rest) - np.log(gap)
-    total = lead[start + sizes - 1] + logs[start + sizes - 1]
     want = k - turn
     for x, s, size, log_prob in zip(todo, start.tolist(), sizes.tolist(), total.tolist(), strict=True):
         n, value_n, at, _, used, path = x
@@ -332,24 +333,20 @@ def encode(docs: DataFrame, vocabulary: str, samples: int = SAMPLES, seed: int =
     of its text, so repeated rows give the same samples each.  Null and empty texts give one sample without pieces.  Texts
     with fewer segmentations give them all.  Long texts are taken whole.
     """
-    length_at = CHUNK_CHARS
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _CACHE.get((vocabulary, power))
         if vocab is None:
             vocab = _CACHE[vocabulary, power] = Vocabulary(vocabulary, power)
         for b in batches:
-            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-            while rows:
-                n = size = 0
-                while n < len(rows) and (n == 0 or size + len(rows[n][1] or "") <= length_at):
-                    size += len(rows[n][1] or "")
-                    n += 1
-                now, rows = rows[:n], rows[n:]
-                yield _batch(vocab, now, samples, decoded)
+            ends = np.cumsum(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK_CHARS, side="right")))
+                yield _batch(vocab, list(zip(*(c.slice(lo, hi - lo).to_pylist() for c in b.columns), strict=True)), samples, decoded)
+                lo = hi
 
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"), F.lit(seed))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key")).mapInArrow(tidy(run), _SCHEMA)
 
 
 def _batch(vocab: Vocabulary, rows: list[tuple], samples: int, decoded: bool) -> pa.RecordBatch:
@@ -367,7 +364,8 @@ def _batch(vocab: Vocabulary, rows: list[tuple], samples: int, decoded: bool) ->
         edge = -search.queue[0][0] if search.queue else -math.inf
         for k, (path, log_prob, value) in enumerate(search.samples):
             own = _ids(vocab, lat, path)
-            heads.append((doc_id, k, len(own), log_prob, value, 1.0 if edge == -math.inf else -math.expm1(-math.exp(min(log_prob - edge, 700.0)))))
+            inclusion = 1.0 if edge == -math.inf else -math.expm1(-math.exp(min(log_prob - edge, 700.0)))
+            heads.append((doc_id, k, len(own), round(log_prob, 6), round(value, 6), float(f"{inclusion:.6g}")))
             ids.append(own)
             texts.append(vocab.decode(own.tolist()) if decoded else None)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import utf8
+from .common import tidy, utf8
 
 MIN_BLOCK_WORDS = 4
 
@@ -49,7 +49,7 @@ def line_table(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(names)], [n for n, _ in names])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id bigint, th bigint, line int, pos int, key bigint, once boolean, words int"
+        tidy(run), "doc_id bigint, th bigint, line int, pos int, key bigint, once boolean, words int"
     )
 
 
@@ -149,7 +149,7 @@ def deletions(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFr
         if rows and (x := decide(key, rows)):
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(x, schema, strict=True)], [n for n, _ in schema])
 
-    return matched.repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "pos").mapInArrow(run, "doc_id bigint, th bigint, gone array<int>, partners array<bigint>")
+    return matched.repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "pos").mapInArrow(tidy(run), "doc_id bigint, th bigint, gone array<int>, partners array<bigint>")
 
 
 def _without(text: str, gone: list[int]) -> str:
@@ -184,7 +184,7 @@ def clean(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS, drop_emptied:
             else:
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names)
 
-    return _joined(docs, min_block_words).select(*names, "_gone").mapInArrow(run, docs.schema)
+    return _joined(docs, min_block_words).select(*names, "_gone").mapInArrow(tidy(run), docs.schema)
 
 
 def report(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
@@ -202,5 +202,5 @@ def report(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _joined(own, min_block_words).select("doc_id", "text", "_gone", "_partners").mapInArrow(
-        run, "doc_id bigint, n_lines bigint, n_deleted bigint, deleted array<int>, partners array<bigint>, n_chars_left bigint, clean_text string"
+        tidy(run), "doc_id bigint, n_lines bigint, n_deleted bigint, deleted array<int>, partners array<bigint>, n_chars_left bigint, clean_text string"
     )

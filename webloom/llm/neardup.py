@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, shingle_hashes, space_words, utf8
+from .common import checkpointed, shingle_hashes, space_words, tidy, utf8
 from .graph import components
 
 K, WIDTH = 48, 5
@@ -52,7 +52,7 @@ def sign(docs: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "th", "n_shingles", "digest", "sketch"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id bigint, th bigint, n_shingles bigint, digest binary, sketch array<bigint>"
+        tidy(run), "doc_id bigint, th bigint, n_shingles bigint, digest binary, sketch array<bigint>"
     )
 
 
@@ -91,7 +91,7 @@ def _lists(classes: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int) -> Da
                 cols = [np.concatenate(x) for x in (out_v, out_part, out_rank, out_id)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int32, np.int64), strict=True)], ["v", "part", "rank", "id"])
 
-    return classes.select("id", "n_shingles", "sketch").mapInArrow(run, "v bigint, part int, rank int, id bigint")
+    return classes.select("id", "n_shingles", "sketch").mapInArrow(tidy(run), "v bigint, part int, rank int, id bigint")
 
 
 def _shared_lists(lists: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def _shared_lists(lists: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3])], names)
 
     dealt = lists.repartition("v", "part").sortWithinPartitions("v", "part", "rank", "id").select("v", "part", "rank", "id")
-    return dealt.mapInArrow(run, "v bigint, rank int, id bigint, hub bigint")
+    return dealt.mapInArrow(tidy(run), "v bigint, rank int, id bigint, hub bigint")
 
 
 def _first_pairs(lists: DataFrame) -> DataFrame:
@@ -208,10 +208,12 @@ def _block_links(percent: int):  # noqa: ANN202
             packed = group.column("z")
             none = np.empty(0, np.uint64)
             sets = [shingle_hashes(space_words(unpack(packed[k].as_py()).decode("utf-8", "surrogatepass"), lower=True), WIDTH) if used[k] else none for k in range(len(own))]
-            inter = _shares(sets, left, right)
-            size = np.array([len(x) for x in sets])
-            union = size[left][:, None] + size[right][None, :] - inter
-            x, y = np.nonzero(open_pairs & (100 * inter >= percent * union))
+            inter = _shares(sets, left, right).astype(float)
+            size = np.array([len(x) for x in sets], float)
+            # 100 * intersection >= percent * union, with the union as the sizes less the intersection
+            inter *= 100 + percent
+            inter -= percent * (size[left][:, None] + size[right][None, :])
+            x, y = np.nonzero(open_pairs & (inter >= 0))
             a, b = left[x], right[y]
             kept = _forest(a, b, comp)
             out_a, out_b = np.minimum(ident[a[kept]], ident[b[kept]]), np.maximum(ident[a[kept]], ident[b[kept]])
@@ -253,7 +255,7 @@ def _texts(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(utf8(t.as_py())) for t in b.column(2)], pa.binary())], ["doc_id", "th", "z"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, th bigint, z binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id bigint, th bigint, z binary")
 
 
 def _packed(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -286,7 +288,7 @@ def verified(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:

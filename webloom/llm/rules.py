@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import utf8
+from .common import tidy, utf8
 
 LEDGER_VERSION = 1
 #: Rule names by bit.
@@ -96,7 +96,7 @@ def ledger(docs: DataFrame) -> DataFrame:
             cols += [pa.array([fail_bits(r) for r in rows], pa.int64()), pa.array([LEDGER_VERSION] * len(rows), pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *MEASURES, "fail_bits", "ledger_version"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, LEDGER_SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(run), LEDGER_SCHEMA)
 
 
 def verdicts(book: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -132,4 +132,4 @@ def keep_good(docs: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([not fail_bits(measure(t.as_py())) & mask for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import tidy
+
 MAX_BROADCAST_BYTES = 64 << 20
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,7 +82,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, defau
             cols = [*b.columns, pa.array([x and x[0] for x in found], pa.string()), pa.array([x[1] if x else default for x in found], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "path", "rule", "verdict"])
 
-    return at.mapInArrow(run, "page_id bigint, host string, path string, rule string, verdict string")
+    return at.mapInArrow(tidy(run), "page_id bigint, host string, path string, rule string, verdict string")
 
 
 def judge_by_join(at: DataFrame, rules: DataFrame, default: str) -> DataFrame:
