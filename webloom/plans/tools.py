@@ -7,7 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from webloom.operators import actions as X, audit, clusters, content, crawldiff, insights, keywords as K, linkgraph, programmatic as P, ranks as R, serp as S, visibility as V
+from webloom.functions import copy as W
+from webloom.functions.url import slugify
+from webloom.operators import actions as X, advice as D, audit, clusters, content, crawldiff, insights, keywords as K, linkgraph, programmatic as P, ranks as R, serp as S, visibility as V
 from webloom.operators.similarity import checkpointed
 from webloom.plans.envelope import Budget, Envelope, ToolError
 from webloom.plans.store import Store
@@ -101,10 +103,14 @@ def seo_capabilities(ctx):
     return Envelope(True, {"capabilities": ctx.spark.createDataFrame(rows, "capability string, available boolean, unlock string")})
 
 
-@tool("Ranked backlog over audit, links and search performance", site=None, crawl_id=None, limit=25)
-def seo_next_actions(ctx, site, crawl_id, limit):
+@tool("Ranked backlog over audit, links and search performance", site=None, crawl_id=None, end=None, limit=25)
+def seo_next_actions(ctx, site, crawl_id, end, limit):
     found = ctx.crawl_id(site, crawl_id)
     rows = audit.issues_to_actions(ctx.issues(found), ctx.pages(found))
+    g = checkpointed(linkgraph.link_graph(ctx.pages(found)))
+    rows = rows.unionByName(D.link_actions(g, linkgraph.link_opportunities(ctx.pages(found))))
+    if "performance" in ctx.inputs:
+        rows = rows.unionByName(_insight_actions(_insights(ctx, end, 28, 30)))
     ranked = X.rank_actions(rows).limit(limit)
     return Envelope(True, {"priorities": X.summary(ranked), "quick_wins": X.quick_wins(ranked)}, actions=ranked)
 
@@ -167,7 +173,7 @@ def seo_page_inspect(ctx, url):
 @tool("Internal link graph of a crawl", site=None, crawl_id=None, limit=40)
 def seo_internal_links(ctx, site, crawl_id, limit):
     g = checkpointed(linkgraph.link_graph(ctx.pages(ctx.crawl_id(site, crawl_id))))
-    return Envelope(True, {"nodes": g.orderBy(F.desc("page_rank"), "url").limit(limit), "starved": linkgraph.starved_pages(g), "hubs": linkgraph.hub_pages(g), "depths": linkgraph.depth_distribution(g), "orphans": g.where("orphan").select("url")})
+    return Envelope(True, {"nodes": g.orderBy(F.desc("page_rank"), "url").limit(limit), "starved": linkgraph.starved_pages(g), "hubs": linkgraph.hub_pages(g), "depths": linkgraph.depth_distribution(g), "orphans": g.where("orphan").select("url")}, actions=X.rank_actions(D.link_actions(g, linkgraph.link_opportunities(ctx.pages(ctx.crawl_id(site, crawl_id))))))
 
 
 @tool("Pages that should link to others", site=None, crawl_id=None, targets=None, max_per_target=3, limit=50)
@@ -180,7 +186,10 @@ def seo_crawl_diff(ctx, from_crawl, to_crawl, limit):
     a, b = ctx.crawl_id(None, from_crawl), ctx.crawl_id(None, to_crawl)
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
     diff = crawldiff.diff_issues(ctx.issues(a), ctx.issues(b)).orderBy(rank, "rule", "url").limit(limit)
-    return Envelope(True, {"pages": crawldiff.diff_pages(ctx.store.page_summaries(a), ctx.store.page_summaries(b)), "issues": diff, "rules": crawldiff.rule_delta(ctx.issues(a), ctx.issues(b))})
+    pages = crawldiff.diff_pages(ctx.store.page_summaries(a), ctx.store.page_summaries(b))
+    score = {r.crawl_id: r.health_score for r in ctx.store.read("crawls").where(F.col("crawl_id").isin(a, b)).select("crawl_id", "health_score").collect()}  # two rows
+    acts = D.diff_actions(pages, crawldiff.diff_issues(ctx.issues(a), ctx.issues(b)), ctx.store.page_summaries(a), ctx.store.page_summaries(b), (score[a], score[b]))
+    return Envelope(True, {"pages": pages, "issues": diff, "rules": crawldiff.rule_delta(ctx.issues(a), ctx.issues(b))}, actions=X.rank_actions(acts))
 
 
 @tool("Crawls of a site and their trend", site="", limit=20)
@@ -234,7 +243,9 @@ def seo_cluster_keywords(ctx, keywords, project, use_serp, min_overlap, separate
     k = checkpointed(ctx.keywords(keywords, project))
     how = dict(min_overlap=min_overlap, separate_questions=separate_questions)
     members = clusters.serp_members(k, Y.serp_rows(ctx.need("serp")), **how) if use_serp else clusters.lexical_members(k, **how)
-    return Envelope(True, {"clusters": clusters.roll_up(k, members.select("keyword", "head"), limit=limit), "members": members})
+    c = clusters.roll_up(k, members.select("keyword", "head"), limit=limit)
+    c = c.withColumns({"slug": slugify(F.col("head")), "title": W.page_title(F.col("head"), F.col("page_type"), ctx.year), "h1": W.headline(F.col("head"))})
+    return Envelope(True, {"clusters": c, "members": members})
 
 
 # search performance
@@ -268,12 +279,21 @@ def _rolled(rows: DataFrame, *keys: str) -> DataFrame:
 
 @tool("Quick wins from search performance", end=None, days=28, min_impressions=30, limit=30)
 def seo_gsc_opportunities(ctx, end, days, min_impressions, limit):
+    found = _insights(ctx, end, days, min_impressions)
+    return Envelope(True, {k: v.limit(limit) for k, v in found.items()}, actions=X.rank_actions(_insight_actions(found)))
+
+
+def _insights(ctx: Context, end: str | None, days: int, min_impressions: int) -> dict[str, DataFrame]:
     now, before = _window(ctx, end, days)
     both = _rolled(now, "query", "page")
-    return Envelope(True, {
-        "striking": insights.striking_distance(both, min_impressions=min_impressions, limit=limit), "ctr": insights.ctr_opportunities(both, limit=limit), "cannibalization": insights.cannibalization(both, limit=limit),
-        "decay": insights.content_decay(before, now, limit=limit), "rising": insights.rising_queries(_rolled(before, "query"), _rolled(now, "query"), limit=limit),
-    })
+    return {
+        "striking": insights.striking_distance(both, min_impressions=min_impressions), "ctr": insights.ctr_opportunities(both), "cannibalization": insights.cannibalization(both),
+        "decay": insights.content_decay(before, now), "rising": insights.rising_queries(_rolled(before, "query"), _rolled(now, "query")),
+    }
+
+
+def _insight_actions(found: dict[str, DataFrame]) -> DataFrame:
+    return D.insight_actions(*(found[k] for k in ("striking", "ctr", "cannibalization", "decay", "rising")))
 
 
 # result pages, links, competitors
@@ -349,7 +369,16 @@ def seo_content_brief(ctx, keyword, top_n, language):
     pages = checkpointed(read_pages(ctx.need("raw_pages").join(top.select("url").distinct(), "url", "left_semi")))
     docs = pages.where("word_count >= 100").select(F.col("url").alias("doc_id"), "text", F.lit("all").alias("g"))
     asked = Y.questions(serp).select("question").withColumn("i", F.monotonically_increasing_id())
-    return Envelope(True, {"benchmarks": content.competitor_stats(pages), "terms": content.competitive_terms(docs, "g", 35).drop("g"), "sections": content.common_sections(pages), "questions": content.dedupe_questions(asked, "i")})
+    terms, sections, unique = content.competitive_terms(docs, "g", 35).drop("g"), content.common_sections(pages), content.dedupe_questions(asked, "i")
+    listed = lambda df, c, n: df.limit(n).agg(F.collect_list(c).alias(c))  # noqa: E731  a few rows each
+    k = F.lit(keyword.strip().lower())
+    intent = K.intent_columns(k)["intent"]
+    dated = pages.agg((F.count_if(F.col("title").rlike("20[0-9][0-9]")) >= F.count("*") * 0.4).alias("dated"), F.count("*").alias("n"))
+    plan = listed(sections, "heading", 8).crossJoin(listed(unique, "question", 6)).crossJoin(listed(terms, "term", 35)).crossJoin(dated).select(
+        intent.alias("intent"), W.suggested_title(k, intent, K.is_question(k), F.col("dated") & (F.col("n") > 0), ctx.year, language).alias("title"), slugify(k).alias("slug"),
+        W.meta_description(k, intent, language).alias("meta_description"), D.outline(k, intent, F.col("heading"), F.col("question"), F.col("term"), language).alias("outline"),
+    )
+    return Envelope(True, {"plan": plan, "benchmarks": content.competitor_stats(pages), "terms": terms, "sections": sections, "questions": unique})
 
 
 @tool("Score of a draft", keyword="", title=None, meta_description=None, url=None, body="", required=None, target_words=None)
@@ -376,13 +405,13 @@ def seo_ai_visibility(ctx, brand, competitors):
     a = ctx.need("answers")
     a = a if "domain_cited" in a.columns else a.withColumn("domain_cited", F.lit(False))
     found = V.mentions(a, brand, list(competitors))
-    return Envelope(True, {"report": V.visibility_report(found), "share": V.share_of_voice(found), "answers": found})
+    return Envelope(True, {"report": V.visibility_report(found), "share": V.share_of_voice(found), "answers": found}, actions=X.rank_actions(D.visibility_actions(V.visibility_report(found), V.share_of_voice(found))))
 
 
 @tool("Speed of captured pages", url=None)
 def seo_page_speed(ctx, url):
     s = Y.page_speed(ctx.need("page_speed") if url is None else ctx.need("page_speed").where(F.col("key") == url))
-    return Envelope(True, {"speed": s, "findings": Y.page_speed_actions(s)})
+    return Envelope(True, {"speed": s, "findings": Y.page_speed_actions(s)}, actions=X.rank_actions(D.speed_actions(s)))
 
 
 # programmatic pages
@@ -390,13 +419,20 @@ def seo_page_speed(ctx, url):
 
 @tool("Templates in a keyword set", keywords=None, project=None, min_entities=4, limit=20)
 def pseo_discover_patterns(ctx, keywords, project, min_entities, limit):
-    return Envelope(True, {"patterns": P.discover_patterns(ctx.keywords(keywords, project), min_entities).orderBy(F.desc("viability"), F.desc("total_volume"), "template").limit(limit)})
+    found = checkpointed(P.discover_patterns(ctx.keywords(keywords, project), min_entities))
+    return Envelope(True, {"patterns": found.orderBy(F.desc("viability"), F.desc("total_volume"), "template").limit(limit)}, actions=X.rank_actions(D.pattern_actions(found)))
 
 
 @tool("Page plan for a template", keywords=None, project=None, template="", base_path="/", max_pages=100, existing_urls=None)
 def pseo_build_plan(ctx, keywords, project, template, base_path, max_pages, existing_urls):
     existing = ctx.spark.createDataFrame([(u,) for u in existing_urls], "url string") if existing_urls else None
-    plan = checkpointed(P.build_plan(ctx.keywords(keywords, project), template, base_path, existing, max_pages))
+    plan = P.build_plan(ctx.keywords(keywords, project), template, base_path, existing, max_pages)
+    subject = F.replace(F.lit(template), F.lit("{x}"), F.col("entity"))
+    kind = K.page_type(subject, F.col("intent"), subject, F.lit(0.0))
+    plan = checkpointed(plan.withColumns({
+        "title": W.page_title(subject, F.lit(""), ctx.year), "h1": W.headline(subject), "meta_description": W.meta_description(subject, F.col("intent")), "page_type": kind, "target_word_count": W.target_words(kind, F.col("intent")),
+        "required_sections": W.sections(subject, kind), "schema_type": W.schema_type(kind, F.col("intent")), "data_requirements": W.data_requirements(kind),
+    }))
     order = plan.select(F.col("url_path").alias("url"), (-F.coalesce("volume", F.lit(0))).alias("v"))
     return Envelope(True, {"pages": plan, "links": P.link_mesh(order, ["v", "url"])})
 
