@@ -238,6 +238,24 @@ def rank_suggestions(suggestions: DataFrame) -> DataFrame:
     return g.withColumn("score", score).orderBy(F.desc("score"), "keyword")
 
 
+def expand_captured(seeds: DataFrame, captured: DataFrame, year: int, strategies: tuple[str, ...] = STRATEGIES, language: str = "en", depth: int = 1, per_seed: int = 10) -> DataFrame:
+    """(seed, keyword, engine, rank) of the captured suggestions ``(via, engine, keyword, rank)`` for the seeds' expansions.
+
+    At depth 2 the ``per_seed`` best keywords of each seed are expanded by the alphabet, and what is new is added.
+    """
+    from pyspark.sql import Window
+
+    via = lambda q: captured.join(q.select("seed", F.col("query").alias("via")).distinct(), "via").select("seed", "keyword", "engine", "rank")
+    found = via(expand(seeds, year, strategies, language))
+    if depth < 2:
+        return found
+    score = found.groupBy("seed", "keyword").agg((F.lit(60.0) / (1 + F.min("rank")) + F.countDistinct("engine") * 15 + F.least(F.count("*"), F.lit(10)) * 2.5).alias("s"))
+    best = score.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("s"), "keyword"))).where((F.col("n") <= per_seed) & (F.col("keyword") != F.col("seed")))
+    deeper = expand(best.select(F.col("keyword").alias("seed")).distinct(), year, ("alphabet",), language).withColumnRenamed("seed", "keyword")
+    more = via(best.select("seed", "keyword").join(deeper, "keyword").select("seed", "query")).join(found.select("seed", "keyword"), ["seed", "keyword"], "left_anti")
+    return found.unionByName(more)
+
+
 def page_type(head: Column, intent: Column, all_text: Column, question_share: Column) -> Column:
     """Page format for a keyword cluster: by patterns in its head, then by intent."""
     k = F.lower(head)
