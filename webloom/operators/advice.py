@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from webloom.functions.mathx import clamp, js_round
+from webloom.operators.groups import first_k
 
 COLUMNS = ("id", "priority", "effort", "category", "title", "detail", "target", "impact_score", "evidence", "fix")
 
@@ -57,11 +58,17 @@ def decay_advice() -> Column:
     )
 
 
+def _counted(df: DataFrame, name: str) -> DataFrame:
+    """One row of the number of rows and the first 15 urls; none for an empty frame."""
+    return df.agg(F.count("*").alias("n")).where("n > 0").crossJoin(F.broadcast(first_k(df, [], "url", 15, name)))  # one row each
+
+
 def link_actions(graph: DataFrame, opportunities: DataFrame, limit: int = 20) -> DataFrame:
     """One action for all orphans, and one per page that others mention without a link."""
-    o = graph.where("orphan").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set("url")), 1, 15).alias("orphans")).where("n > 0")
+    o = _counted(graph.where("orphan"), "orphans")
     lone = _actions(o, F.lit("links.orphans_unlinked"), "high", "small", "internal-links", _say("Link to %s pages that no page links to", F.col("n")), "Pages without inbound links are hardly crawled.", F.lit(None), 84.0, "add_internal_link", "orphans")
     at = Window.partitionBy("to_url").orderBy(F.desc("score"), "from_url")
+    # opportunities are limited per target
     g = opportunities.withColumn("i", F.row_number().over(at)).groupBy("to_url").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.slice(F.sort_array(F.collect_list(F.when(F.col("i") <= 5, F.struct("i", "from_url", "anchor", "context")))), 1, 5).alias("links")).orderBy(F.desc("best"), "to_url").limit(limit)
     mention = _actions(g, F.concat(F.lit("links.opportunity."), "to_url"), "medium", "trivial", "internal-links", _say("Link to %s from %s pages that mention it", F.col("to_url"), F.col("n")), "Each is an edit of one line.", F.col("to_url"), clamp(F.col("best") * 0.4 + 50, 0, 100), "add_internal_link", "links")
     return lone.unionByName(mention)
@@ -69,7 +76,7 @@ def link_actions(graph: DataFrame, opportunities: DataFrame, limit: int = 20) ->
 
 def diff_actions(pages: DataFrame, issues: DataFrame, before: DataFrame, after: DataFrame, health: tuple[float, float] | None = None) -> DataFrame:
     """Regressions between two crawls: ``pages`` and ``issues`` as of crawldiff, and both page summaries for what is indexable."""
-    some = lambda df: df.agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set("url")), 1, 15).alias("urls")).where("n > 0")
+    some = lambda df: _counted(df, "urls")
     none = F.lit(None)
     errors = _actions(some(issues.where("kind = 'new' and severity = 'error'")), F.lit("diff.new_errors"), "critical", "small", "regression", _say("Fix %s errors that are new since the last crawl", F.col("n")), "Something shipped between the crawls.", none, 92.0, "fix_regression", "urls")
     gone = _actions(some(pages.where("kind = 'removed'")), F.lit("diff.pages_disappeared"), "high", "small", "regression", _say("Redirect or restore %s pages that cannot be reached any more", F.col("n")), "Removed on purpose, or no longer linked.", none, 80.0, "redirect_or_restore", "urls")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from webloom.functions.mathx import clamp, js_round
 from webloom.functions.text import truncate
 from webloom.functions.url import normalize_url
+from webloom.operators.groups import first_k
 
 # Limits of the rules, anchors without a topic, required properties of structured data.
 TITLE, META, THIN, VERY_THIN, LINKS, DEPTH, URL, SLOW, VERY_SLOW, LARGE, RATIO = (20, 60), (70, 160), 300, 100, 150, 4, 115, 1500, 3000, 2 << 20, 0.08
@@ -243,7 +244,7 @@ def _duplicate_rules(html: DataFrame) -> list[DataFrame]:
     out = []
     for name, key in keys.items():
         k = own.withColumn("k", key).where("k is not null and k <> ''").select("url", "k")
-        sizes = k.groupBy("k").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set("url")), 1, 6).alias("some")).where("n > 1")
+        sizes = k.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").join(first_k(k, ["k"], "url", 6, "some"), "k")
         hits = k.join(sizes, "k")
         out.append(_rows(hits, f"{name}.duplicate", "error" if name == "title" else "warning", _text("%d other page(s) have the same.", F.col("n") - 1), value=truncate(F.col("k"), 120), duplicate_count=F.col("n"), others=F.slice(F.array_except("some", F.array("url")), 1, 5)))
     return out
@@ -313,7 +314,8 @@ def issues_to_actions(issues: DataFrame, pages: DataFrame) -> DataFrame:
     dim = issues.sparkSession.createDataFrame([(r, *v[1:]) for r, v in RULES.items() if len(v) > 1], "rule string, priority string, effort string, fix_type string")
     total = F.broadcast(pages.agg(F.count("*").alias("pages"), F.count_if(F.col("depth") > DEPTH).alias("deep")))
     first = F.min_by("severity", "url")
-    g = issues.groupBy("rule").agg(F.count("*").alias("n"), first.alias("severity"), F.slice(F.sort_array(F.collect_set("url")), 1, 8).alias("examples")).join(F.broadcast(dim), "rule").crossJoin(total)
+    examples = first_k(issues, ["rule"], "url", 8, "examples")
+    g = issues.groupBy("rule").agg(F.count("*").alias("n"), first.alias("severity")).join(examples, "rule", "left").join(F.broadcast(dim), "rule").crossJoin(total)
     site = F.col("rule").isin(*SITE_RULES)
     coverage = F.when(site, 0.0).otherwise(clamp(F.col("n") / F.greatest("pages", F.lit(8)), 0, 1))
     base = F.when(F.col("severity") == "error", 70).when(F.col("severity") == "warning", 45).otherwise(22)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from webloom.functions.mathx import js_round
 from webloom.functions.text import stem_set
 from webloom.operators.content import idf
-from webloom.operators.keywords import is_question, page_type
+from webloom.operators.keywords import LISTICLE, is_question, page_type
 from webloom.operators.serp import overlap_pairs
 from webloom.operators.similarity import checkpointed, leaders
 
@@ -81,7 +81,7 @@ def roll_up(keywords: DataFrame, members: DataFrame, min_size: int = 1, limit: i
     j = members.join(keywords, "keyword")
     g = j.groupBy("head").agg(
         F.count("*").alias("size"), F.coalesce(F.sum("volume"), F.lit(0)).alias("total_volume"), js_round(F.avg("difficulty"), 1).alias("avg_difficulty"),
-        F.concat_ws(" ", F.collect_list("keyword")).alias("text"), F.avg(is_question(F.col("keyword")).cast("double")).alias("questions"),
+        F.max(F.when(F.lower("keyword").rlike(LISTICLE), "best").otherwise("")).alias("text"), F.avg(is_question(F.col("keyword")).cast("double")).alias("questions"),
     ).where(F.col("size") >= min_size)
     votes = j.groupBy("head", "intent").agg(F.sum(F.coalesce("volume", F.lit(10)) + 1).alias("w")).groupBy("head").agg(F.min_by("intent", F.struct(-F.col("w"), "intent")).alias("intent"))
     out = g.join(votes, "head").select("head", "size", "total_volume", "avg_difficulty", "intent", page_type(F.col("head"), F.col("intent"), F.col("text"), F.col("questions")).alias("page_type")).orderBy(F.desc("total_volume"), "head")

@@ -256,12 +256,16 @@ def expand_captured(seeds: DataFrame, captured: DataFrame, year: int, strategies
     return found.unionByName(more)
 
 
+#: What makes a commercial cluster want a list of the best.
+LISTICLE = r"\b(best|top|reviews?)\b"
+
+
 def page_type(head: Column, intent: Column, all_text: Column, question_share: Column) -> Column:
     """Page format for a keyword cluster: by patterns in its head, then by intent."""
     k = F.lower(head)
     by_intent = (
         F.when(intent.isin("transactional", "navigational"), "landing-page")
-        .when(intent == "commercial", F.when(F.lower(all_text).rlike(r"\b(best|top|reviews?)\b"), "comparison").otherwise("landing-page"))
+        .when(intent == "commercial", F.when(F.lower(all_text).rlike(LISTICLE), "comparison").otherwise("landing-page"))
         .otherwise(F.when(question_share > 0.6, "guide").otherwise("blog-post"))
     )
     return (

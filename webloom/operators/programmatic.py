@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from webloom.functions.mathx import clamp, js_round
 from webloom.functions.url import slugify
-from webloom.operators.keywords import intent_columns, is_question, opportunity_columns, page_type, word_count
+from webloom.operators.groups import first_k
+from webloom.operators.keywords import LISTICLE, intent_columns, is_question, opportunity_columns, page_type, word_count
 
 
 def _words(keyword: Column) -> Column:
@@ -37,7 +38,7 @@ def discover_patterns(keywords: DataFrame, min_matches: int = 4) -> DataFrame:
     g = own.groupBy("template").agg(
         F.countDistinct("entity").alias("n_entities"), F.count("*").alias("match_count"), F.coalesce(F.sum("volume"), F.lit(0)).alias("total_volume"),
         F.floor(F.avg("volume") + 0.5).cast("bigint").alias("avg_volume"), js_round(F.avg("difficulty"), 1).alias("avg_difficulty"), F.min("constants").alias("constants"),
-        F.min("slot").alias("slot"), F.min("n_words").alias("n_words"), F.concat_ws(" ", F.slice(F.sort_array(F.collect_set("keyword")), 1, 1000)).alias("all_text"),
+        F.min("slot").alias("slot"), F.min("n_words").alias("n_words"), F.max(F.when(F.lower("keyword").rlike(LISTICLE), "best").otherwise("")).alias("all_text"),
         F.avg(is_question(F.col("keyword")).cast("double")).alias("questions"),
     ).where(F.col("n_entities") >= min_matches)
     votes = own.groupBy("template", "intent").agg(F.count("*").alias("n")).groupBy("template").agg(F.min_by("intent", F.struct(-F.col("n"), "intent")).alias("intent"))
@@ -87,8 +88,7 @@ def build_plan(keywords: DataFrame, template: str, base_path: str, existing: Dat
     order = F.struct(-F.coalesce("volume", F.lit(0)), "keyword")
     g = m.groupBy("entity").agg(
         F.min_by(F.struct("keyword", "volume", "difficulty", "cpc"), order).alias("p"), F.sum("volume").alias("volume"), F.count("*").alias("n"),
-        F.slice(F.sort_array(F.collect_set("keyword")), 1, 13).alias("all"),
-    ).orderBy(F.desc(F.coalesce("volume", F.lit(0))), "entity").limit(limit)
+    ).join(first_k(m, ["entity"], "keyword", 13, "all"), "entity").orderBy(F.desc(F.coalesce("volume", F.lit(0))), "entity").limit(limit)
     slug = slugify(F.replace(F.lit(template), F.lit("{x}"), F.col("entity")))
     out = g.withColumns({"slug": slug, "primary_keyword": F.col("p.keyword")}).withColumns({
         "url_path": F.concat(F.lit(base_path.rstrip("/") + "/"), "slug"), "intent": intent_columns(F.col("primary_keyword"))["intent"],
