@@ -120,6 +120,20 @@ items AS (SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT it
 SELECT doc_id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN hit USING (row) LEFT JOIN items USING (row)""",
+    "op8_near_duplicates": r"""WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT row, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT row, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT row, count(*) AS n FROM s GROUP BY row),
+classes AS MATERIALIZED (SELECT row, n, min(row) OVER (PARTITION BY k) AS rep FROM (SELECT row, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY x)) AS k FROM s GROUP BY row)),
+one AS MATERIALIZED (SELECT s.* FROM s JOIN classes USING (row) WHERE row = rep),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT a.row AS a, b.row AS b, count(*) AS c FROM one a JOIN one b ON a.x = b.x AND a.row < b.row GROUP BY 1, 2) JOIN n p ON p.row = a JOIN n q ON q.row = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links UNION ALL SELECT row, rep FROM classes UNION ALL SELECT rep, row FROM classes),
+reach(row, other) AS (SELECT row, row FROM n UNION SELECT reach.row, b FROM reach JOIN edges ON a = other),
+least AS (SELECT reach.row, min(o.doc_id) AS component FROM reach JOIN d o ON o.row = other GROUP BY reach.row)
+SELECT doc_id::BIGINT AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id)::BIGINT AS component_id, doc_id IS NOT DISTINCT FROM coalesce(component, doc_id) AS kept
+FROM d LEFT JOIN n USING (row) LEFT JOIN least USING (row)""",
     "op9_quality_rules": r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
