@@ -83,9 +83,22 @@ class Vocabulary:
         self.runs: dict[int, int] = {}  # characters without a piece
         self.run_list: list[list[int]] = [[]]
 
+        self.first_step = np.full(1 << 16, -1, np.int64)
+        for key, at in steps.items():
+            if key < 1 << 16:  # from the root
+                self.first_step[key] = at
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(_U) * _U(0x9E3779B97F4A7C15) >> _U(64 - self.bits)).astype(np.int64)
 
+    def start(self, code: np.ndarray) -> np.ndarray:
+        """The trie's states after a first character, or -1."""
+        out = self.first_step[np.minimum(code, 0xFFFF)]
+        rare = np.flatnonzero(code >= 0xFFFF)
+        if len(rare):
+            out[rare] = self.step(np.zeros(len(rare), np.int64), code[rare])
+        return out
+
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The trie's states after a character, or -1."""
         key = state << 21 | code
@@ -130,7 +143,7 @@ class Lattices:
         end = np.repeat(unit_end, sizes)
         live, state, depth, found = np.arange(n), np.zeros(n, np.int64), 0, []
         while len(live):
-            state = vocab.step(state, code[live + depth])
+            state = vocab.step(state, code[live + depth]) if depth else vocab.start(code)
             ok = state >= 0
             live, state, depth = live[ok], state[ok], depth + 1
             piece = vocab.piece_at[state]
@@ -203,6 +216,14 @@ def _paths(lat: Lattices, node: np.ndarray, seed: np.ndarray, place: np.ndarray)
     return edges, steps
 
 
+class _Numbers(dict):
+    """Numbers keys in order of their first look-up."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class _Search:
     """The queue and the samples of one text."""
 
@@ -214,11 +235,14 @@ class _Search:
 
 
 def sample(vocab: Vocabulary, texts: list[str], seeds: list[int], k: int) -> tuple[Lattices, list[_Search]]:
-    """Up to k samples (edges, log probability, perturbed value) of each text; the best entry left in its queue has the next value."""
-    units, owners, index = [], [], {}
+    """Up to k samples (edges, log probability, perturbed value) of each text; the best entry left in its queue has the next value.
+
+    Entries of the queues: (minus the perturbed value, turn, path, position, edges taken there, logarithm of the subset's mass).
+    """
+    units, owners, index = [], [], _Numbers()
     for t in texts:
         own = _UNIT.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE))
-        units += [index.setdefault(u, len(index)) for u in own]
+        units += [index[u] for u in own]
         owners.append(len(own))
     lat = Lattices(vocab, list(index))
     first = lat.first[units]
@@ -230,7 +254,7 @@ def sample(vocab: Vocabulary, texts: list[str], seeds: list[int], k: int) -> tup
     found = [_Search() for _ in texts]
     top = -np.log(-np.log(_uniform(seed, np.full(len(texts), 1 << 40))))
     paths = [edges[ends[a] : ends[b]] for a, b in zip(unit_start.tolist(), unit_end.tolist(), strict=True)]
-    todo = [(n, float(top[n]), 0, 0.0, (), paths[n]) for n in range(len(texts))]
+    todo = [(n, float(top[n]), 0, 0.0, (), paths[n], 0.0) for n in range(len(texts))]
     for turn in range(k):
         _record(lat, found, todo, seed, turn, k)
         if turn + 1 == k:
@@ -247,7 +271,7 @@ def _next(lat: Lattices, found: list[_Search], seed: np.ndarray, turn: int, firs
     for n, search in enumerate(found):
         if not search.queue:
             continue
-        minus, _, parent, at, used = heapq.heappop(search.queue)
+        minus, _, parent, at, used, mass = heapq.heappop(search.queue)
         node = int(lat.node[parent[at]])
         others = [e for e in range(int(lat.starts[node]), int(lat.starts[node + 1])) if e not in used]
         p = lat.prob[others]
@@ -258,7 +282,7 @@ def _next(lat: Lattices, found: list[_Search], seed: np.ndarray, turn: int, firs
         nodes += [inner, tail]
         sizes.append(len(inner) + len(tail))
         seeds.append(fresh[n])
-        heads.append((n, -minus, parent, at, used, pick))
+        heads.append((n, -minus, parent, at, used, pick, mass))
     if not heads:
         return []
     node = np.concatenate(nodes)
@@ -266,50 +290,64 @@ def _next(lat: Lattices, found: list[_Search], seed: np.ndarray, turn: int, firs
     drawn, steps = _paths(lat, node, np.repeat(np.array(seeds, _U), sizes), np.arange(len(node)) - np.repeat(start, sizes))
     bound = np.concatenate([[0], np.cumsum(steps)])
     out = []
-    for (n, value, parent, at, used, pick), a, size in zip(heads, start.tolist(), sizes, strict=True):
+    for (n, value, parent, at, used, pick, mass), a, size in zip(heads, start.tolist(), sizes, strict=True):
         path = np.concatenate([parent[:at], [pick], drawn[bound[a] : bound[a + size]]])
-        out.append((n, value, at, float(np.log(lat.prob[parent[:at]]).sum()), (*used, pick), path))
+        out.append((n, value, at, float(np.log(lat.prob[parent[:at]]).sum()), (*used, pick), path, mass))
     return out
 
 
 def _record(lat: Lattices, found: list[_Search], todo: list[tuple], seed: np.ndarray, turn: int, k: int) -> None:
     """Record the drawn paths and queue the best of the subsets that branch off them from position ``at`` on; ``used`` edges at
-    ``at`` are taken already.  Entries of ``todo``: (text, value, at, log probability before ``at``, used, path)."""
-    sizes = np.array([len(path) - at for _, _, at, _, _, path in todo], np.int64)
+    ``at`` are taken already.  Entries of ``todo``: (text, value, at, log probability before ``at``, used, path, mass).
+
+    After the last path only the next perturbed value is asked for, so all that is left of its subset is queued as one.
+    """
+    sizes = np.array([len(x[5]) - x[2] for x in todo], np.int64)
     if not len(sizes):
         return
-    tail = np.concatenate([path[at:] for _, _, at, _, _, path in todo])
+    tail = np.concatenate([x[5][x[2] :] for x in todo])
     start = np.cumsum(sizes) - sizes
     p = lat.prob[tail]
     logs = np.log(p)
     run = np.cumsum(logs, dtype=np.longdouble)  # so that a text's figures don't depend on the texts before it
-    before = np.array([x[3] for x in todo])
+    before, value = np.array([x[3] for x in todo]), np.array([x[1] for x in todo])
     head = (run - logs)[start]
     total = before + (run[start + sizes - 1] - head).astype(float)
+    own = mix64(seed[[x[0] for x in todo]] ^ _U((turn + 1) * 0x9E3779B9))
+    for (n, value_n, _, _, _, path, _), log_prob in zip(todo, total.tolist(), strict=True):
+        found[n].samples.append((path, log_prob, value_n))
+    if turn + 1 == k:
+        mass = np.array([x[6] for x in todo])
+        rest = -np.expm1(np.minimum(total - mass, 0.0))
+        with np.errstate(divide="ignore"):
+            got = _below(mass + np.log(np.where(rest > 1e-12, rest, 0.0)), value, _uniform(own, np.full(len(own), 1 << 43)))
+        for x, g in zip(todo, got.tolist(), strict=True):
+            if g > -math.inf:
+                heapq.heappush(found[x[0]].queue, (-g, turn, x[5], x[2], x[4], 0.0))
+        return
     lead = (run - logs - np.repeat(head, sizes)).astype(float) + np.repeat(before, sizes)
     rest = np.where(lat.degree[lat.node[tail]] > 1, np.maximum(1.0 - p, 1e-300), 0.0)
-    for (_, _, _, _, used, _), s in zip(todo, start.tolist(), strict=True):
-        if used:
+    for x, s in zip(todo, start.tolist(), strict=True):
+        if x[4]:
             node = int(lat.node[tail[s]])
-            left = [e for e in range(int(lat.starts[node]), int(lat.starts[node + 1])) if e not in used]
+            left = [e for e in range(int(lat.starts[node]), int(lat.starts[node + 1])) if e not in x[4]]
             rest[s] = float(lat.prob[left].sum()) if left else 0.0
-    value = np.array([x[1] for x in todo])
-    own = mix64(seed[[x[0] for x in todo]] ^ _U((turn + 1) * 0x9E3779B9))
     u = _uniform(np.repeat(own, sizes), np.arange(len(tail)) - np.repeat(start, sizes) + (1 << 42))
     with np.errstate(divide="ignore"):
-        # a Gumbel variable at the logarithm of the subset's mass, below the value of the set it is part of
-        gap = np.exp(np.minimum(lead + np.log(rest) - np.repeat(value, sizes), 700.0)) - np.log(u)
-        got = lead + np.log(rest) - np.log(gap)
+        mass = lead + np.log(rest)
+        got = _below(mass, np.repeat(value, sizes), u)
     want = k - turn
-    for x, s, size, log_prob in zip(todo, start.tolist(), sizes.tolist(), total.tolist(), strict=True):
-        n, value_n, at, _, used, path = x
-        search = found[n]
-        search.samples.append((path, log_prob, value_n))
+    for (n, _, at, _, used, path, _), s, size in zip(todo, start.tolist(), sizes.tolist(), strict=True):
         g = got[s : s + size]
         best = np.argpartition(g, size - want)[size - want :] if size > want else np.arange(size)
         for i in best.tolist():
             if g[i] > -math.inf:
-                heapq.heappush(search.queue, (-float(g[i]), turn, path, at + i, used if i == 0 and used else (int(path[at + i]),)))
+                heapq.heappush(found[n].queue, (-float(g[i]), turn, path, at + i, used if i == 0 and used else (int(path[at + i]),), float(mass[s + i])))
+
+
+def _below(mass: np.ndarray, value: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbel variables at the logarithms of masses, given that they are below values."""
+    return mass - np.log(np.exp(np.minimum(mass - value, 700.0)) - np.log(u))
 
 
 _SCHEMA = "doc_id bigint, sample int, ids array<int>, n_pieces bigint, log_prob double, perturbed double, inclusion double, text string"
