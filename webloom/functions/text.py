@@ -37,8 +37,10 @@ _MARKED, _PLAIN = _folding()
 
 
 def fold(text: Column) -> Column:
-    """Lower case, Latin accents folded, apostrophes dropped."""
-    return F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), "['’̀-ͯ]", "")
+    """Lower case, Latin accents folded, apostrophes dropped.  Texts without marked letters skip the table."""
+    low = F.lower(text)
+    plain = F.when(low.rlike("[\\u00e0-\\u024f]"), F.translate(low, _MARKED, _PLAIN)).otherwise(low)
+    return F.regexp_replace(plain, "['’\\u0300-\\u036f]", "")
 
 
 def tokens(text: Column) -> Column:
@@ -55,24 +57,42 @@ def content_tokens(text: Column) -> Column:
     return F.filter(tokens(text), lambda t: (F.length(t) > 1) & ~_is_stopword(t))
 
 
+_DONE = "\x01"
+
+
+def stem_all(words: Column) -> Column:
+    """Suffix stripping by ordered rules; words of three letters or fewer stay.
+
+    The rules go over the array in three passes, so that no intermediate form is computed twice; a mark at the end tells words for
+    which an early rule was the last.
+    """
+    cut = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
+    ends = lambda x, *tails: F.right(x, F.lit(len(tails[0]))).isin(*tails)
+
+    def first(w: Column) -> Column:
+        size = F.length(w)
+        plural = (
+            F.when(ends(w, "ies") & (size > 4), F.concat(cut(w, 3), F.lit("y" + _DONE)))
+            .when(ends(w, "sses"), F.concat(cut(w, 2), F.lit(_DONE)))
+            .when((size > 4) & (ends(w, "ses", "xes", "zes") | ends(w, "ches", "shes")), F.concat(cut(w, 2), F.lit(_DONE)))
+            .when(ends(w, "ss", "us"), w)
+            .otherwise(cut(w, 1))
+        )
+        return F.when(size <= 3, F.concat(w, F.lit(_DONE))).when(ends(w, "s"), plural).otherwise(w)
+
+    gerund = lambda w: F.when(ends(w, "ing") & (F.length(w) >= 7), cut(w, 3)).otherwise(w)
+    bare = lambda w: F.when(ends(w, _DONE), cut(w, 1)).when(ends(w, "e") & ((F.length(w) >= 6) | (F.length(w) == 5) & ends(w, "ce", "ge", "se", "ve", "ze")), cut(w, 1)).otherwise(w)
+    return F.transform(F.transform(F.transform(words, first), gerund), bare)
+
+
 def stem(w: Column) -> Column:
-    """Suffix stripping by ordered rules; words of three letters or fewer stay."""
-    cut = lambda x, n: F.substring(x, 1, F.length(x) - n)
-    plural = F.when(F.endswith(w, F.lit("s")) & ~F.endswith(w, F.lit("ss")) & ~F.endswith(w, F.lit("us")), cut(w, 1)).otherwise(w)
-    gerund = F.when(plural.rlike("ing$") & (F.length(plural) >= 7), cut(plural, 3)).otherwise(plural)
-    bare = F.when(((F.length(gerund) >= 5) & gerund.rlike("[cgsvz]e$")) | ((F.length(gerund) >= 6) & gerund.rlike("e$")), cut(gerund, 1)).otherwise(gerund)
-    return (
-        F.when(F.length(w) <= 3, w)
-        .when(w.rlike("ies$") & (F.length(w) > 4), F.concat(cut(w, 3), F.lit("y")))
-        .when(w.rlike("sses$"), cut(w, 2))
-        .when(w.rlike("(?:[sxz]|ch|sh)es$") & (F.length(w) > 4), cut(w, 2))
-        .otherwise(bare)
-    )
+    """``stem_all`` of one word."""
+    return F.get(stem_all(F.array(w)), F.lit(0))
 
 
 def stems(text: Column) -> Column:
     """Stemmed content tokens, in order."""
-    return F.transform(content_tokens(text), stem)
+    return stem_all(content_tokens(text))
 
 
 def stem_set(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from webloom.functions.mathx import clamp, js_round
-from webloom.functions.text import content_tokens, stem, stem_set, tokens
+from webloom.functions.text import content_tokens, stem_all, stem_set, tokens
 from webloom.functions.url import slash_key
 from webloom.operators.similarity import checkpointed, count_phrase
 
@@ -99,15 +99,15 @@ def link_opportunities(pages: DataFrame, targets: list[str] | None = None, max_p
     p = checkpointed(p.join(rank, "node").select("node", "url", "title", "h1", "text", "page_rank", "links"))
     goal = p.where(F.col("node").isin([t.rstrip("/") for t in targets])) if targets else p.orderBy("page_rank", "url").limit(30)
     phrase = goal.select(F.col("node").alias("to"), F.col("url").alias("to_url"), F.concat_ws(" ", "title", F.array_join("h1", " ")).alias("to_topic"), F.posexplode(topic_phrases()).alias("pos", "anchor"))
-    need = phrase.withColumn("needle", F.transform(content_tokens(F.col("anchor")), stem))
-    hay = p.select("node", "url", "text", "page_rank", "links", F.concat_ws(" ", "title", F.array_join("h1", " ")).alias("topic"), F.transform(tokens(F.col("text")), stem).alias("hay"))
+    need = phrase.withColumn("needle", stem_all(content_tokens(F.col("anchor"))))
+    hay = p.select("node", "url", "text", "page_rank", "links", F.concat_ws(" ", "title", F.array_join("h1", " ")).alias("topic"), stem_all(tokens(F.col("text"))).alias("hay"))
     words = hay.select("node", F.explode(F.array_distinct("hay")).alias("t"))
     df = words.join(F.broadcast(need.select(F.explode("needle").alias("t")).distinct()), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))  # the targets' few phrases
     rarest = need.withColumn("x", F.explode("needle")).join(df, F.col("x") == F.col("t")).groupBy("to", "anchor").agg(F.min_by("t", F.struct("df", "t")).alias("t"))
     cand = need.join(rarest, ["to", "anchor"]).join(words, "t").where("node <> to").join(hay, "node")
     linked = F.exists("links", lambda x: x["internal"] & (slash_key(x["url"]) == F.col("to")))
     hit = cand.where(~linked & (F.size(F.array_except("needle", "hay")) == 0)).where(count_phrase("hay", "needle") > 0)
-    short = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: (F.length(s) <= 500) & (F.size(F.array_except(F.col("needle"), F.transform(tokens(s), stem))) == 0))
+    short = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: (F.length(s) <= 500) & (F.size(F.array_except(F.col("needle"), stem_all(tokens(s)))) == 0))
     context = hit.withColumn("context", F.trim(F.get(short, F.lit(0)))).where("context is not null")
     a, b = stem_set(F.col("topic")), stem_set(F.col("to_topic"))
     overlap = F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.sqrt(F.greatest(F.size(a) * F.size(b), F.lit(1))))
