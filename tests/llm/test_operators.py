@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from webloom.llm import chat, decontam, graph, gumbel, htmlmain, linedup, neardup, queries, rules, shard, urlfilter, zclassify
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -306,6 +308,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+def test_least_shared_follows_from_the_similarity():
+    assert (neardup.shared_of_k(85), neardup.shared_of_k(80)) == (26, 22)
+    assert (neardup.least_shared(500), neardup.least_shared(500, 80), neardup.least_shared(24, 80), neardup.least_shared(1, 80)) == (26, 22, 11, 1)
+
+
+def test_near_dedup_stage_links_from_080(spark):
+    rng = random.Random(17)
+    texts = []
+    for n in (60, 104, 204, 404) * 10:  # n words, cut to lengths that give 0.79 to 0.86 of n - 4 shingles
+        w = words(rng, n, 10**6)
+        share = rng.choice((0.79, 0.80, 0.81, 0.82, 0.83, 0.84, 0.86))
+        texts += [" ".join(w), " ".join(w[: 4 + math.ceil(share * (n - 4))])]
+    root, _ = brute_components(texts, 80)
+    between = set(root) ^ set(brute_components(texts)[0])
+    assert len(between) > 10
+    docs = frame(spark, texts)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(root)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = neardup.near_duplicates(odd(spark)).collect()
     assert len(got) == 9 and {(r.doc_id, r.kept) for r in got if r.n_shingles == 0} == {(1, True), (2, True), (3, True)}

@@ -15,7 +15,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,19 @@ MAX_HOT = 100_000
 LIST_SPLIT, SMALL, BLOCK, BLOCK_SHINGLES = 100_000, 16, 2048, 1_500_000
 
 
-def least_shared(size: int, k: int = K) -> int:
-    """Values that the sketches of two similar sets share: 26 of 48 is six deviations below the mean at 0.85."""
-    return max(1, (min(size, k) * 26) // 48)
+@cache
+def shared_of_k(percent: int, k: int = K) -> int:
+    """Of the k values of a union's sketch, the number that two sets of the similarity share but for a binomial chance below 1e-7: 26
+    of 48 at 0.85 and 22 at 0.80."""
+    p, tail, m = percent / 100, 0.0, 0
+    while m < k and (tail := tail + math.comb(k, m) * p**m * (1 - p) ** (k - m)) < 1e-7:
+        m += 1
+    return m
+
+
+def least_shared(size: int, percent: int = 85, k: int = K) -> int:
+    """Values that the sketches of two similar sets share."""
+    return max(1, (min(size, k) * shared_of_k(percent, k)) // k)
 
 
 def sign(docs: DataFrame, k: int = K) -> DataFrame:
@@ -64,7 +76,7 @@ def _hot(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows.v.to_numpy(np.int64), rows.n.to_numpy(np.int64)
 
 
-def _lists(classes: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int) -> DataFrame:
+def _lists(classes: DataFrame, hot: tuple[np.ndarray, np.ndarray], percent: int, k: int) -> DataFrame:
     """(v, part, rank, id): the rarest values of each sketch; rank 0 for the most central classes.  A list of more than
     LIST_SPLIT classes is dealt in parts numbered from 0; other lists have part -1."""
     shared = classes.sparkSession.sparkContext.broadcast(hot)
@@ -79,7 +91,7 @@ def _lists(classes: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int) -> Da
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, v), len(keys) - 1)
                     n = np.where(keys[at] == v, counts[at], 0)
-                m = len(v) - least_shared(size, k) + 1
+                m = len(v) - least_shared(size, percent, k) + 1
                 level = np.frexp(n.astype(float))[1]
                 order = np.lexsort((v, level))[:m]
                 parts = -(-n[order] // LIST_SPLIT)
@@ -303,8 +315,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
     some = signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     classes = checkpointed(some.withColumn("id", F.monotonically_increasing_id()))
     hot = _hot(classes)
-    lists = checkpointed(_shared_lists(_lists(classes, hot, k)))
-    floor = 26 / 48 - 1e-9
+    lists = checkpointed(_shared_lists(_lists(classes, hot, percent, k)))
+    floor = shared_of_k(percent, k) / k - 1e-9
     tested = checkpointed(_first_pairs(lists))
     likely = checkpointed(estimated(tested, classes, floor, k))
     shared = lists.groupBy("v").agg(F.count("*").alias("n")).where("n > 2")
