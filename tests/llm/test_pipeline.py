@@ -31,6 +31,12 @@ def test_quality_is_held_out_and_good(spark):
     assert len(held) and (held.predicted == held.quality).mean() > 0.75
 
 
+def test_sentencepiece_query_decodes_every_row(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op10_sentencepiece(spark, SF).collect()
+    assert {r.doc_id for r in rows} == set(texts) and all(r.text == texts[r.doc_id] for r in rows)
+
+
 def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, n = docs.columns, docs.count()

@@ -65,8 +65,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = gumbel.encode(_table(spark, sf_dir, "documents"), VOCABULARY, decoded=False)
-    return out.drop("text")
+    return gumbel.encode(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
