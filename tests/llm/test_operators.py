@@ -200,6 +200,42 @@ def test_line_dedup_deletes_blocks_from_later_documents(spark):
     assert set(kept) == {0, 1, 2} and kept[1].n_chars == len(kept[1].text)
 
 
+def brute_deletions(texts, min_words=4):
+    """Lines that the earliest holders align, and those that any earlier document with them does, by pairwise alignment of all."""
+    keyed, gone = [], []
+    for t in texts:
+        seen, lines = {}, t.split("\n")
+        keyed.append([(x, seen.setdefault(x, []).append(0) or len(seen[x])) for x in lines])
+        keys, own = keyed[-1], len(keyed) - 1
+        once = lambda d, key: sum(x == key[0] for x, _ in keyed[d]) == 1
+        points = lambda d, hub: [(k, keyed[d].index(key), once(own, key) and once(d, key)) for k, key in enumerate(keys) if key in keyed[d] and hub(key, d)]
+        first = {key: next(d for d in range(own + 1) if key in keyed[d]) for key in keys}
+        taken = set()
+        for d in range(own):
+            taken |= {x for x, _ in linedup.patience(points(d, lambda key, d: first[key] == d))} | {x for x, _ in linedup.patience(points(d, lambda key, d: True))}
+        runs = [[k for _, k in g] for _, g in itertools.groupby(enumerate(sorted(taken)), lambda p: p[1] - p[0])]
+        gone.append([k for run in runs if sum(len(lines[k].split()) for k in run) >= min_words for k in run])
+    return gone
+
+
+def test_line_dedup_tries_other_partners(spark):
+    p, q = (["\n".join(f"passage {n} line {k} of it" for k in range(6)) for n in "pq"])
+    texts = [f"{p}\n{q}", f"{q}\n{p}", f"{q}\n{p}", f"{q}\nown words between the two passages\n{p}"]
+    got = {r.doc_id: r for r in linedup.report(frame(spark, texts)).collect()}
+    assert [got[k].n_deleted for k in range(4)] == [0, 6, 12, 12] and 1 in got[2].partners and 1 in got[3].partners
+    assert set(r.doc_id for r in linedup.clean(frame(spark, texts)).collect()) == {0, 1, 3}
+
+
+@pytest.mark.parametrize("first_tried", [1, 16])
+def test_line_dedup_equals_pairwise_alignment(spark, monkeypatch, first_tried):
+    monkeypatch.setattr(linedup, "FIRST_TRIED", first_tried)
+    rng = random.Random(19)
+    pool = [f"line {k}" + " with words" * (k % 3) for k in range(14)]
+    texts = ["\n".join(rng.choices(pool, k=rng.randrange(1, 9)) + [f"own {k}"]) for k in range(70)]
+    got = {r.doc_id: list(r.deleted) for r in linedup.report(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_deletions(texts)
+
+
 def test_line_dedup_of_odd_rows(spark):
     got = linedup.clean(odd(spark))
     assert got.columns == odd(spark).columns and got.count() == 9

@@ -4,7 +4,8 @@ Documents that overlap are found through the lines that they share: each line of
 document that holds it, which gives one partner per line and never all pairs of a group.  A partner counts if at least one of
 the shared lines is rare among the partners on offer, the rarest first.  The two documents are then aligned as patience diff
 does: lines that occur once in both are anchors, the longest increasing chain of anchors is kept, and the lines between two
-anchors are matched in order.  Aligned blocks of enough words go from the later document.
+anchors are matched in order.  Lines that their partner doesn't align are tried with the other earlier documents that have them,
+until one aligns them or none is left.  Aligned blocks of enough words go from the later document.
 
 What is shuffled is a few numbers per line.  A group is the lines of one document that occur elsewhere, so it is bounded by that
 document, however many others share them.
@@ -14,14 +15,17 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import tidy, utf8
+from .common import checkpointed, tidy, utf8
 
 MIN_BLOCK_WORDS = 4
+#: Partners of a line left over in the first round of trying others; keys that are broadcast.
+FIRST_TRIED, MAX_BROADCAST_KEYS = 16, 1_000_000
+_OWNER = "struct(doc_id is null as none, doc_id, th)"
 
 
 def _keyed_lines(text: str | None) -> list[tuple[int, int, int, bool, int]]:
@@ -93,8 +97,8 @@ def patience(points: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_to_delete(lines: list[tuple[int, int, int, int, bool, int]], min_words: int) -> tuple[list[int], list[int]]:
-    """Positions to delete and the partners they are aligned with.
+def aligned(lines: list[tuple[int, int, int, int, bool, int]]) -> dict[int, int]:
+    """Positions that a partner aligns, with that partner.
 
     ``lines``: (position among the document's lines with words, partner, partner's position, documents with the line, once in
     both, words).  Partners come in order of their rarest shared line; a line goes with the first partner that aligns it.
@@ -103,38 +107,58 @@ def blocks_to_delete(lines: list[tuple[int, int, int, int, bool, int]], min_word
     for pos, partner, other, df, once, words in lines:
         by[partner].append((pos, other, df, once, words))
     taken: dict[int, int] = {}
-    words_at = {x[0]: x[5] for x in lines}
     for partner in sorted(by, key=lambda p: (min(x[2] for x in by[p]), -sum(x[4] for x in by[p]), p)):
         for pos, _ in patience([(x[0], x[1], x[3]) for x in by[partner]]):
             taken.setdefault(pos, partner)
-    gone: list[int] = []
+    return taken
+
+
+def _runs(positions: Iterable[int], words_at: dict[int, int], min_words: int) -> list[int]:
+    """The positions in runs of enough words."""
+    kept: list[int] = []
     run: list[int] = []
-    for pos in [*sorted(taken), None]:
+    for pos in [*sorted(positions), None]:
         if run and (pos is None or pos != run[-1] + 1):
             if sum(words_at[x] for x in run) >= min_words:
-                gone += run
+                kept += run
             run = []
         run.append(pos)
+    return kept
+
+
+def blocks_to_delete(lines: list[tuple[int, int, int, int, bool, int]], min_words: int) -> tuple[list[int], list[int]]:
+    """Positions to delete and the partners they are aligned with."""
+    taken = aligned(lines)
+    gone = _runs(taken, {x[0]: x[5] for x in lines}, min_words)
     return gone, sorted({taken[p] for p in gone})
 
 
+_OPEN = "array<struct<pos:int,line:int,key:bigint,words:int,once:boolean,df:bigint,taken:boolean,partner_id:bigint>>"
+_OPEN_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("line", pa.int32()), ("key", pa.int64()), ("words", pa.int32()), ("once", pa.bool_()), ("df", pa.int64()), ("taken", pa.bool_()), ("partner_id", pa.int64())]))
+
+
 def deletions(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(doc_id, th, gone array<int>, partners array<bigint>): the lines to delete, by number from 0, of documents that lose any.
 
     The order of documents is that of doc_id, then of the text's hash; null ids come last.
     """
-    lines = line_table(docs).withColumn("owner", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    lines = line_table(docs).withColumn("owner", F.expr(_OWNER))
     firsts = lines.groupBy("key").agg(F.min(F.struct("owner", "pos", "once")).alias("first"), F.count("*").alias("n"), F.max("owner").alias("last")).where("first.owner <> last")
     firsts = firsts.select("key", F.col("first.owner").alias("hub"), F.col("first.pos").alias("hub_pos"), F.col("first.once").alias("hub_once"), F.col("n").alias("df"))
-    matched = lines.join(firsts, "key").where("owner <> hub").select("doc_id", "th", "pos", F.xxhash64("hub").alias("partner"), F.col("hub.doc_id").alias("partner_id"), "hub_pos", "df", (F.col("once") & F.col("hub_once")).alias("both"), "words", "line")
-    schema = (("doc_id", pa.int64()), ("th", pa.int64()), ("gone", pa.list_(pa.int32())), ("partners", pa.list_(pa.int64())))
+    matched = lines.join(firsts, "key").where("owner <> hub").select("doc_id", "th", "pos", F.xxhash64("hub").alias("partner"), F.col("hub.doc_id").alias("partner_id"), "hub_pos", "df", (F.col("once") & F.col("hub_once")).alias("both"), "words", "line", "key", "once")
+    schema = (("doc_id", pa.int64()), ("th", pa.int64()), ("gone", pa.list_(pa.int32())), ("partners", pa.list_(pa.int64())), ("open", _OPEN_TYPE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def decide(key: tuple, rows: list[tuple]) -> tuple | None:
             ids = {r[3]: r[4] for r in rows}
-            gone, partners = blocks_to_delete([(r[2], r[3], r[5], r[6], r[7], r[8]) for r in {r[2]: r for r in rows}.values()], min_block_words)
-            at = {r[2]: r[9] for r in rows}
-            return (*key, [at[p] for p in gone], sorted({ids[p] for p in partners if ids[p] is not None})) if gone else None
+            at = {r[2]: r for r in rows}
+            taken = aligned([(r[2], r[3], r[5], r[6], r[7], r[8]) for r in at.values()])
+            words_at = {p: r[8] for p, r in at.items()}
+            if any(p not in taken for p in _runs(at, words_at, min_block_words)):  # else no further line can go
+                rest = [{"pos": p, "line": r[9], "key": r[10], "words": r[8], "once": r[11], "df": r[6], "taken": p in taken, "partner_id": ids.get(taken.get(p))} for p, r in sorted(at.items())]
+                return (*key, None, None, rest)
+            gone = _runs(taken, words_at, min_block_words)
+            return (*key, [at[p][9] for p in gone], sorted({ids[taken[p]] for p in gone if ids[taken[p]] is not None}), None) if gone else None
 
         key, rows = None, []
         for b in batches:
@@ -149,7 +173,59 @@ def deletions(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFr
         if rows and (x := decide(key, rows)):
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(x, schema, strict=True)], [n for n, _ in schema])
 
-    return matched.repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "pos").mapInArrow(tidy(run), "doc_id bigint, th bigint, gone array<int>, partners array<bigint>")
+    first = checkpointed(matched.repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "pos").mapInArrow(tidy(run), f"doc_id bigint, th bigint, gone array<int>, partners array<bigint>, open {_OPEN}"))
+    settled = first.where("open is null").drop("open")
+    mine = first.where("open is not null").select("doc_id", "th", F.explode("open").alias("x")).select("doc_id", "th", "x.*")
+    if mine.isEmpty():
+        return settled
+    return settled.unionByName(_settle(docs, checkpointed(mine.withColumn("owner", F.expr(_OWNER))), min_block_words))
+
+
+def _settle(docs: DataFrame, mine: DataFrame, min_words: int) -> DataFrame:
+    """The deletions of documents with lines left over, ``mine`` being their lines that an earlier document has.
+
+    A line left over goes if any earlier document that has it aligns it.  Those documents are tried in rounds, a few of each line first and
+    eight times as many in the next, chosen by hash; only lines that are still left come to the next round, the last of which
+    has all the others.
+    """
+    keys = mine.select("key").distinct()
+    if keys.count() <= MAX_BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    holders = checkpointed(line_table(docs).join(keys, "key", "left_semi").withColumn("owner", F.expr(_OWNER)).select("key", "owner", F.col("pos").alias("other"), F.col("once").alias("other_once")).dropDuplicates(["key", "owner"]))
+    left = mine.where(~F.col("taken")).select("owner", "pos", "key", "df")
+    most, tried, found = left.agg(F.max("df").alias("n")).first().n, 0, None
+    theirs = holders.select("key", F.col("owner").alias("partner"))
+    share = F.pmod(F.xxhash64("partner"), F.lit(1 << 31)) / F.lit(1 << 31) * F.col("df")
+    while True:
+        upto = tried * 8 or FIRST_TRIED
+        pairs = left.join(theirs, "key").where(F.col("partner") < F.col("owner")).where((share >= tried) & (share < upto)).select("owner", "partner").distinct()
+        points = pairs.join(mine.select("owner", "key", "pos", "once"), "owner").join(holders.withColumnRenamed("owner", "partner"), ["key", "partner"])
+        points = points.select("owner", "partner", "pos", "other", (F.col("once") & F.col("other_once")).alias("both"))
+        new = checkpointed(points.groupBy("owner", "partner").applyInArrow(_align, points.select("owner", "partner", "pos").schema))
+        found = new if found is None else found.unionByName(new)
+        tried = upto
+        if tried >= most:
+            break
+        left = checkpointed(left.join(new, ["owner", "pos"], "left_anti"))
+        if left.isEmpty():
+            break
+    best = found.groupBy("owner", "pos").agg(F.min("partner").alias("p"))
+    rows = mine.join(best, ["owner", "pos"], "left").where("taken or p is not null")
+    rows = rows.select("doc_id", "th", "pos", "line", "words", F.when(F.col("taken"), F.col("partner_id")).otherwise(F.col("p.doc_id")).alias("partner_id"))
+
+    def decide(group: pa.Table) -> pa.Table:
+        at = {r["pos"]: r for r in group.to_pylist()}
+        gone = [at[p] for p in _runs(at, {p: r["words"] for p, r in at.items()}, min_words)]
+        out = [{"doc_id": gone[0]["doc_id"], "th": gone[0]["th"], "gone": [r["line"] for r in gone], "partners": sorted({r["partner_id"] for r in gone} - {None})}] if gone else []
+        return pa.Table.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("gone", pa.list_(pa.int32())), ("partners", pa.list_(pa.int64()))]))
+
+    return rows.groupBy("doc_id", "th").applyInArrow(decide, "doc_id bigint, th bigint, gone array<int>, partners array<bigint>")
+
+
+def _align(group: pa.Table) -> pa.Table:
+    """The positions of one document that one partner aligns."""
+    taken = {x for x, _ in patience(list(zip(*(group.column(c).to_pylist() for c in ("pos", "other", "both")), strict=True)))}
+    return group.filter(pa.array([x in taken for x in group.column("pos").to_pylist()], pa.bool_())).select(["owner", "partner", "pos"])
 
 
 def _without(text: str, gone: list[int]) -> str:
