@@ -48,6 +48,14 @@ def test_query_without_sql_runs(spark, name):
     df.write.format("noop").mode("overwrite").save()
 
 
+def test_audit_actions_compare_contents(spark, tmp_path):
+    words = " ".join(f"alpha{k} beta{k}" for k in range(80))
+    html = "<html lang=\"en\"><head><title>{}</title></head><body><article><h1>{}</h1><p>{}</p></article></body></html>"
+    rows = [(k, f"https://example.com/{k}", html.format(f"The title of page {k} here", f"Head {k}", w)) for k, w in enumerate((words, words, words.replace("a", "o")))]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert any("content.duplicate" in str(r) for r in catalog.QUERIES["audit_actions"](spark, str(tmp_path)).collect())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
