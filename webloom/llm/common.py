@@ -72,6 +72,14 @@ def alnum_words(text: str | None) -> list[bytes]:
     return utf8(text).translate(_ALNUM).split()
 
 
+class Numbers(dict):
+    """Numbers keys in order of their first look-up."""
+
+    def __missing__(self, key: object) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element (wraps modulo 2**64)."""
     x = x ^ (x >> _U(30))

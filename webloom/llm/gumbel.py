@@ -27,15 +27,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, tidy
+from .common import Numbers, mix64, tidy
 
 SPACE = "▁"
 SAMPLES, POWER, OFFSET = 2, 1.5, 100.0
 CHUNK_CHARS = 1_500_000
 _U = np.uint64
-#: Units: spaces with the word after them, or a line end.  No piece crosses these; units end after UNIT_CHARS characters.
-UNIT_CHARS = 256
-_UNIT = re.compile(f"{SPACE}{{1,{UNIT_CHARS}}}[^{SPACE}\n]{{0,{UNIT_CHARS}}}|[^{SPACE}\n]{{1,{UNIT_CHARS}}}|\n")
+#: Units: spaces with the word after them, or a line end, of any length.  No piece crosses these.
+_UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+#: Numbers of draws apart from those along a path.
+_TOP, _PICK, _BRANCH, _REST = (n << 60 for n in (1, 2, 3, 4))
 #: Stands for a \u2581 of the text itself; valid UTF-8 has no such character.
 LITERAL = "\ud800"
 
@@ -52,11 +53,14 @@ class Vocabulary:
         self.byte = {int(p[3:5], 16): k for k, p in enumerate(pieces) if model.is_byte(k)}
         normal = [k for k in range(n) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k) or model.is_unused(k))]
         crossing = re.compile(f"[^{SPACE}]{SPACE}|\n")
-        ids = {pieces[k]: k for k in normal if not crossing.search(pieces[k])}
+        if over := [pieces[k] for k in normal if crossing.search(pieces[k])]:
+            raise ValueError(f"{len(over)} pieces cross a space or a line end, {over[0]!r} first; the lattice has no edges for such")
+        ids = {pieces[k]: k for k in normal}
         rank = np.full(n, n)
         rank[sorted(normal, key=model.get_score, reverse=True)] = np.arange(len(normal))
         self.log_weight = -power * np.log(rank + offset)
-        self.text = {k: p.replace(SPACE, " ").encode("utf-8") for p, k in ids.items()} | {k: bytes([b]) for b, k in self.byte.items()}
+        texts = {k: p.replace(SPACE, " ").encode("utf-8") for p, k in ids.items()} | {k: bytes([b]) for b, k in self.byte.items()}
+        self.texts = pa.array([texts.get(k, b"") for k in range(n)], pa.binary())
         steps: dict[int, int] = {}
         ends = [-1]
         for piece, k in ids.items():
@@ -123,9 +127,16 @@ class Vocabulary:
             self.run_list.append(ids)
         return -self.runs[code]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of pieces; the space that encoding puts in front is dropped."""
-        return b"".join([self.text[k] for k in ids])[1:].decode("utf-8", "surrogatepass")
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of runs of pieces that end before ``ends``; the space that encoding puts in front of each is dropped.
+
+        Taking all pieces from the table in one step lays their bytes out one after the other, so texts are spans of that buffer.
+        """
+        taken = self.texts.take(pa.array(ids, pa.int32()))
+        _, at, raw = taken.buffers()
+        bounds = np.frombuffer(at, np.int32, len(ids) + 1)[np.concatenate([[0], ends])]
+        joined = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(bounds.tobytes()), raw])
+        return pc.binary_replace_slice(joined, 0, 1, b"").cast(pa.string())
 
 
 class Lattices:
@@ -197,7 +208,7 @@ def _paths(lat: Lattices, node: np.ndarray, seed: np.ndarray, place: np.ndarray)
     live, at, steps, found, k = np.arange(len(node)), node, np.zeros(len(node), np.int64), [], 0
     while len(live):
         edge, last = lat.starts[at], lat.starts[at + 1] - 1
-        left = _uniform(seed[live], (place[live] << 9) + k) - lat.prob[edge]
+        left = _uniform(seed[live], (place[live] << 26) + k) - lat.prob[edge]
         on = np.flatnonzero((left > 0) & (edge < last))
         while len(on):
             edge[on] += 1
@@ -216,14 +227,6 @@ def _paths(lat: Lattices, node: np.ndarray, seed: np.ndarray, place: np.ndarray)
     return edges, steps
 
 
-class _Numbers(dict):
-    """Numbers keys in order of their first look-up."""
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
-
-
 class _Search:
     """The queue and the samples of one text."""
 
@@ -239,7 +242,7 @@ def sample(vocab: Vocabulary, texts: list[str], seeds: list[int], k: int) -> tup
 
     Entries of the queues: (minus the perturbed value, turn, path, position, edges taken there, logarithm of the subset's mass).
     """
-    units, owners, index = [], [], _Numbers()
+    units, owners, index = [], [], Numbers()
     for t in texts:
         own = _UNIT.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE))
         units += [index[u] for u in own]
@@ -252,7 +255,7 @@ def sample(vocab: Vocabulary, texts: list[str], seeds: list[int], k: int) -> tup
     edges, counts = _paths(lat, first, np.repeat(seed, owners), np.arange(len(units)) - np.repeat(unit_start, owners))
     ends = np.concatenate([[0], np.cumsum(counts)])
     found = [_Search() for _ in texts]
-    top = -np.log(-np.log(_uniform(seed, np.full(len(texts), 1 << 40))))
+    top = -np.log(-np.log(_uniform(seed, np.full(len(texts), _TOP))))
     paths = [edges[ends[a] : ends[b]] for a, b in zip(unit_start.tolist(), unit_end.tolist(), strict=True)]
     todo = [(n, float(top[n]), 0, 0.0, (), paths[n], 0.0) for n in range(len(texts))]
     for turn in range(k):
@@ -267,7 +270,7 @@ def _next(lat: Lattices, found: list[_Search], seed: np.ndarray, turn: int, firs
     """Take the best subset of each text out of its queue and draw its winning path."""
     heads, nodes, seeds, sizes = [], [], [], []
     fresh = mix64(seed + _U(turn * 0x632BE5AB))
-    u = _uniform(seed, np.full(len(seed), (1 << 41) + turn))
+    u = _uniform(seed, np.full(len(seed), _PICK + turn))
     for n, search in enumerate(found):
         if not search.queue:
             continue
@@ -320,7 +323,7 @@ def _record(lat: Lattices, found: list[_Search], todo: list[tuple], seed: np.nda
         mass = np.array([x[6] for x in todo])
         rest = -np.expm1(np.minimum(total - mass, 0.0))
         with np.errstate(divide="ignore"):
-            got = _below(mass + np.log(np.where(rest > 1e-12, rest, 0.0)), value, _uniform(own, np.full(len(own), 1 << 43)))
+            got = _below(mass + np.log(np.where(rest > 1e-12, rest, 0.0)), value, _uniform(own, np.full(len(own), _REST)))
         for x, g in zip(todo, got.tolist(), strict=True):
             if g > -math.inf:
                 heapq.heappush(found[x[0]].queue, (-g, turn, x[5], x[2], x[4], 0.0))
@@ -332,7 +335,7 @@ def _record(lat: Lattices, found: list[_Search], todo: list[tuple], seed: np.nda
             node = int(lat.node[tail[s]])
             left = [e for e in range(int(lat.starts[node]), int(lat.starts[node + 1])) if e not in x[4]]
             rest[s] = float(lat.prob[left].sum()) if left else 0.0
-    u = _uniform(np.repeat(own, sizes), np.arange(len(tail)) - np.repeat(start, sizes) + (1 << 42))
+    u = _uniform(np.repeat(own, sizes), np.arange(len(tail)) - np.repeat(start, sizes) + _BRANCH)
     with np.errstate(divide="ignore"):
         mass = lead + np.log(rest)
         got = _below(mass, np.repeat(value, sizes), u)
@@ -391,12 +394,12 @@ def _batch(vocab: Vocabulary, rows: list[tuple], samples: int, decoded: bool) ->
     full = [r for r in rows if r[1]]
     lat, found = sample(vocab, [t for _, t, _ in full], [k & (1 << 64) - 1 for _, _, k in full], samples) if full else (None, [])
     searches = iter(found)
-    heads, ids, texts = [], [], []
+    heads, ids, bare = [], [], []
     for doc_id, text, _ in rows:
         if not text:
             heads.append((doc_id, 0, 0, 0.0, None, 1.0))
             ids.append(np.empty(0, np.int32))
-            texts.append(text)
+            bare.append(text is None)
             continue
         search = next(searches)
         edge = -search.queue[0][0] if search.queue else -math.inf
@@ -405,8 +408,10 @@ def _batch(vocab: Vocabulary, rows: list[tuple], samples: int, decoded: bool) ->
             inclusion = 1.0 if edge == -math.inf else -math.expm1(-math.exp(min(log_prob - edge, 700.0)))
             heads.append((doc_id, k, len(own), round(log_prob, 6), round(value, 6), float(f"{inclusion:.6g}")))
             ids.append(own)
-            texts.append(vocab.decode(own.tolist()) if decoded else None)
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
+            bare.append(False)
+    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    ends = np.cumsum([len(x) for x in ids]).astype(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat, pa.int32()))
+    texts = pc.if_else(pa.array(bare, pa.bool_()), None, vocab.decode(flat, ends)) if decoded else pa.nulls(len(heads), pa.string())
     cols = [pa.array([h[k] for h in heads], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64()), (5, pa.float64()))]
-    return pa.RecordBatch.from_arrays([cols[0], cols[1], lists, *cols[2:], pa.array(texts, pa.string())], [n for n, _ in _KINDS])
+    return pa.RecordBatch.from_arrays([cols[0], cols[1], lists, *cols[2:], texts], [n for n, _ in _KINDS])
