@@ -3,6 +3,9 @@
 Records of different layouts are recognised by a fingerprint: the hash of their sorted nested field paths.  The fingerprint
 selects a declarative mapping that says where the turns are and which fields hold the role and the text.  Turns are rendered
 with a template whose control strings cannot appear in a text, because they are escaped there reversibly.
+
+A record that fits no layout, or holds something else than strings where its layout has them, gives no turns; ``canonical_turns``
+lists these records, so none is lost.
 """
 
 from __future__ import annotations
@@ -61,14 +64,13 @@ class Mapping:
         return fingerprint_of(self.paths)
 
     def read(self, record: dict) -> list[tuple[str, str]]:
+        """Canonical turns; TypeError if the record holds something else than strings (or nulls) where they are."""
         if self.turns is not None:
-            if not self.turns:
-                return [(record.get(self.role) or "", record.get(self.text) or "")]
-            rows = record.get(self.turns) or []
-            return [(ROLE_NAMES.get(r.get(self.role) or "", r.get(self.role) or ""), r.get(self.text) or "") for r in rows if r is not None]
+            rows = [record] if not self.turns else record.get(self.turns) or []
+            return [(ROLE_NAMES.get(role := _string(r.get(self.role)), role), _string(r.get(self.text))) for r in map(_object, rows) if r is not None]
         out: list[tuple[str, str]] = []
         for field, role in self.fixed:
-            text = record.get(field) or ""
+            text = _string(record.get(field))
             if role.startswith("+"):  # goes on with the turn before it
                 if text and out:
                     out[-1] = (out[-1][0], f"{out[-1][1]}\n\n{text}")
@@ -77,6 +79,21 @@ class Mapping:
         return out
 
 
+def _string(x: object) -> str:
+    """Null as empty; halves of surrogate pairs, which no text can hold, as the replacement character."""
+    if x is None:
+        return ""
+    if not isinstance(x, str):
+        raise TypeError("no string")
+    return x.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _object(x: object) -> dict | None:
+    if x is not None and not isinstance(x, dict):
+        raise TypeError("no object")
+    return x
+
+
 def _paths(x: object, at: str = "") -> set[str]:
     if isinstance(x, dict):
         return {p for k, v in x.items() for p in _paths(v, f"{at}.{k}" if at else k)} or {at}
@@ -118,23 +135,32 @@ def select_mapping(paths: set[str]) -> Mapping | None:
     return found or max((m for m in MAPPINGS if set(m.paths) <= paths), key=lambda m: len(m.paths), default=None)
 
 
+def _read(raw: str | None) -> tuple[str | None, list[tuple[str, str]]]:
+    """Layout and turns of a JSON record; what cannot be read has none."""
+    try:
+        record = json.loads(raw) if raw else None
+        mapping = select_mapping(_paths(record)) if isinstance(record, dict) else None
+    except (ValueError, RecursionError):
+        return None, []
+    try:
+        return (mapping.name, mapping.read(record)) if mapping else (None, [])
+    except TypeError:
+        return mapping.name, []
+
+
 def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
     """Turns of JSON records ``(id, record)``: id, layout, turn, role, text.
 
-    A record that is null, no JSON object or of no known layout gives one row with a null layout and turn, so none is lost.
+    A record that is null, no JSON object, of no known layout or mistyped, or that has no turns, gives one row with a null turn, so
+    none is lost.  Repeated records give their turns each; extra columns are not read; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    record = json.loads(raw) if raw else None
-                except ValueError:
-                    record = None
-                mapping = select_mapping(_paths(record)) if isinstance(record, dict) else None
-                turns = mapping.read(record) if mapping else []
-                out += [(key, mapping.name, k, role, text) for k, (role, text) in enumerate(turns)] or [(key, mapping and mapping.name, None, None, None)]
+                layout, turns = _read(raw)
+                out += [(key, layout, k, role, text) for k, (role, text) in enumerate(turns)] or [(key, layout, None, None, None)]
             kinds = (("id", b.column(0).type), ("layout", pa.string()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
@@ -150,22 +176,35 @@ def parse(formatted: str) -> list[tuple[str, str, bool]]:
     return [(_role_in(r), unescape(t), _role_in(r) == "assistant") for r, t in _TURN.findall(formatted)]
 
 
-def format_turns(turns: DataFrame) -> DataFrame:
-    """Rows ``(conv_id, turn, role, text)`` with the formatted segment of each: conv_id, turn, formatted, loss.
+_SEGMENTS = "conv_id bigint, turn bigint, part int, formatted string, loss boolean"
+
 
-    The layout is looked up by the fingerprint of the schema.  The segments of a conversation, in order of turn, are its
-    formatted text; ``loss`` marks those whose text is trained on.  Null role or text: empty.  Repeated rows stay.
+def format_records(records: DataFrame) -> DataFrame:
+    """JSON records ``(conv_id, turn, record)`` of any known layout as formatted segments: conv_id, turn, part, formatted, loss.
+
+    Each record's fingerprint selects its mapping.  A record may hold one turn or several, which ``part`` numbers.  The segments of a
+    conversation in order of (turn, part) are its formatted text; of equal turn numbers the formatted text decides the order.
+    ``loss`` marks the segments whose text is trained on.  Null role or text: empty.  Repeated rows stay; records of no turns give
+    no segment; an empty table gives none.
     """
-    mapping = select_mapping(_schema_paths(turns.select("role", "text").schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [mapping.read({"role": r, "text": t})[0] for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            made = [pa.array([render_turn(*r) for r in rows], pa.string()), pa.array([r[0] == "assistant" for r in rows], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["conv_id", "turn", "formatted", "loss"])
+            out = [(*key, k, render_turn(*t), t[0] == "assistant") for *key, raw in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, t in enumerate(_read(raw)[1])]
+            kinds = (("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.int32()), ("formatted", pa.string()), ("loss", pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
-    cols = [F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]
-    return turns.select(*cols).mapInArrow(tidy(run), "conv_id bigint, turn bigint, formatted string, loss boolean")
+    return records.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("record").cast("string")).mapInArrow(tidy(run), _SEGMENTS)
+
+
+def format_turns(turns: DataFrame) -> DataFrame:
+    """``format_records`` for a table ``(conv_id, turn, ...)`` that holds a layout in its columns, as ``role`` and ``text`` or
+    ``messages``.  The fingerprint of the schema selects the mapping; columns of no layout are not read."""
+    mapping = select_mapping({p for f in turns.schema if f.name not in ("conv_id", "turn") for p in _schema_paths(f.dataType, f.name)})
+    if mapping is None:
+        raise ValueError(f"no layout has the columns {turns.columns}")
+    fields = sorted({re.split(r"[.\[]", p)[0] for p in mapping.paths})
+    return format_records(turns.select("conv_id", "turn", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record")))
 
 
 class _Digest:
@@ -191,8 +230,8 @@ _DIGEST = (("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa
 def read_back(segments: DataFrame) -> DataFrame:
     """Per conversation what its formatted segments say when parsed: counts, digests of turns and of the loss text.
 
-    Segments are sorted by (turn, segment) within partitions, which spills, and streamed: of a conversation of any size only
-    one segment and the running digests are in memory.  Rows with a null conv_id form one conversation.
+    Segments are sorted by (turn, part, segment) within partitions, which spills, and streamed: of a conversation of any size only
+    one segment and the running digests are in memory.  Rows with a null conv_id form one conversation.  No segments: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,14 +249,14 @@ def read_back(segments: DataFrame) -> DataFrame:
         if now:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(now.row(), _DIGEST, strict=True)], [n for n, _ in _DIGEST])
 
-    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "formatted").mapInArrow(
+    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part", "formatted").select("conv_id", "formatted").mapInArrow(
         tidy(run), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )
 
 
 def conversation_texts(segments: DataFrame, max_chars: int = 1 << 20) -> DataFrame:
     """One training text per conversation, or several parts of about ``max_chars`` for longer ones: conv_id, part, formatted,
-    loss_spans (start and end offsets of the escaped assistant texts within the part)."""
+    loss_spans (start and end offsets of the escaped assistant texts within the part).  A turn is never cut.  No segments: no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -238,6 +277,6 @@ def conversation_texts(segments: DataFrame, max_chars: int = 1 << 20) -> DataFra
         if started:
             yield flush()
 
-    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "formatted", "loss").mapInArrow(
+    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part", "formatted").select("conv_id", "formatted", "loss").mapInArrow(
         tidy(run), "conv_id bigint, part bigint, formatted string, loss_spans array<bigint>"
     )
