@@ -1,7 +1,8 @@
 """URL allow and block rules in a trie over reversed host labels and then path segments.
 
-The longest matching rule decides.  The trie is broadcast while the rules take at most ``max_broadcast_bytes``; a longer list
-goes through an equi-join on the host suffixes of each URL instead.
+The longest matching rule decides; of equally long ones a block entry, then the last in order of host and path.  The trie is broadcast
+while the rules take at most ``max_broadcast_bytes``; a longer list
+goes through an equi-join on the host suffixes of each URL instead, with the same verdicts.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import tidy
 
 MAX_BROADCAST_BYTES = 64 << 20
+#: In the join, URLs with a common suffix (as ``com``) are dealt to so many tasks.
+SALTS = 32
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,10 +43,10 @@ class Trie:
             *whole, tail = path.split("/")
             for segment in whole:
                 node = node.setdefault("/" + segment, {})
-            node.setdefault("tails", {})[tail] = (host + path, verdict)
+            node.setdefault("tails", {})[tail] = (len(host + path), verdict != "allow", host + path, verdict)
 
-    def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """The longest rule that fits, with its verdict."""
+    def find(self, host: str, path: str) -> tuple[int, bool, str, str] | None:
+        """The longest rule that fits: its length, whether it blocks, the rule and its verdict."""
         best, node, segments = None, self.root, path.split("/")
         for label in reversed(host.split(".")):
             node = node.get("." + label)
@@ -52,7 +55,7 @@ class Trie:
             at, k = node, 0
             while at is not None and k < len(segments):
                 for tail, rule in at.get("tails", {}).items():
-                    if segments[k].startswith(tail) and (best is None or len(rule[0]) > len(best[0])):
+                    if segments[k].startswith(tail) and (best is None or rule > best):
                         best = rule
                 at, k = at.get("/" + segments[k]), k + 1
         return best
@@ -61,7 +64,8 @@ class Trie:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = "allow", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Per row of ``pages(page_id, url)``: page_id, host, path, rule (null if none fits) and verdict (``default`` if none).
 
-    ``rules``: (host, path, verdict) tuples, or a DataFrame of these columns.  Longest: in characters of host and path together.
+    ``rules``: (host, path, verdict) tuples, or a DataFrame of these columns.  Longest: in characters of host and path together; ties as
+    said above.  URLs of any length are read whole; extra columns are not read.
     Null urls and those without ``://`` have an empty host and path and fit no rule.  Repeated rows give a row each; an empty
     table or rule list gives an empty result or the default throughout.
     """
@@ -79,19 +83,23 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, defau
         find = trie.value.find
         for b in batches:
             found = [find(h, p) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            cols = [*b.columns, pa.array([x and x[0] for x in found], pa.string()), pa.array([x[1] if x else default for x in found], pa.string())]
+            cols = [*b.columns, pa.array([x and x[2] for x in found], pa.string()), pa.array([x[3] if x else default for x in found], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "path", "rule", "verdict"])
 
     return at.mapInArrow(tidy(run), "page_id bigint, host string, path string, rule string, verdict string")
 
 
 def judge_by_join(at: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same verdicts by a join of host suffixes with the rules' hosts; for rule lists too long to broadcast."""
-    row = at.withColumn("row", F.monotonically_increasing_id())
+    """The same verdicts by a join of host suffixes with the rules' hosts; for rule lists too long to broadcast.
+
+    Each pair of host and path is judged once, so no row needs a number.  Suffixes that many URLs share are salted.
+    """
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     own = rules.where("host is not null and path is not null").select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
-    fits = row.withColumn("rule_host", F.explode(suffixes)).join(own, "rule_host").where("startswith(path, rule_path)")
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    urls = at.select("host", "path").distinct().withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+    fits = urls.withColumn("rule_host", F.explode(suffixes)).join(own, ["rule_host", "salt"]).where("startswith(path, rule_path)")
     rank = F.struct(F.length(F.concat("rule_host", "rule_path")), (F.col("rule_verdict") != "allow"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))
-    best = fits.groupBy("row").agg(F.max(rank).alias("best")).select("row", "best.rule", "best.verdict")
-    return row.join(best, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    best = fits.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", "best.rule", "best.verdict")
+    return at.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
