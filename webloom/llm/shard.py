@@ -195,21 +195,21 @@ def _bounds(ranges: Ranges, ends: np.ndarray, pieces: list[tuple[int, int]], apa
     return sorted(last)[:-1]
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, cells: int = 256) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, cells: int = 1024) -> DataFrame:
     """Every row of ``docs(doc_id, text)`` with its shard: doc_id, size, text_crc32, group_key, shard, slot.
 
     Size: UTF-8 bytes of the text plus 8 (null: 8).  ``text_crc32``: of the UTF-8 bytes (null: as of the empty text, 0).  Equal
     texts, and so repeated rows, share a shard.  ``slot`` numbers the rows of a shard from 0 without gaps.  Fewer groups than
     shards leave the last shards empty.  An empty table gives an empty result.
 
-    Slots are counted in two steps, so that no task holds a whole shard: rows are dealt into cells, offsets are sums of the
-    cells' counts (shards x cells at most), and rows are numbered within a cell.
+    Slots are counted in two steps, so that no task holds a whole shard: rows are dealt into cells by a hash, offsets are sums of the
+    cells' counts (shards x cells at most), and rows are numbered within a cell, by doc_id and text.  Nothing depends on the partitioning.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = checkpointed(docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + 8).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("key"),
-        F.pmod(F.spark_partition_id() * 31 + F.pmod(F.monotonically_increasing_id(), F.lit(31)), F.lit(cells)).cast("int").alias("cell"),
+        F.pmod(F.xxhash64("doc_id", text), F.lit(cells)).cast("int").alias("cell"),
     ))
     capacity, lasts = minimax(rows.select("key", "size"), shards)
     shard = F.lit(0)
