@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import tidy, utf8
 
-#: Labelled rows that training may use: at most so many of each class, the least by hash of the id, of at most so many bytes.
-MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 2000, 8192
+#: Labelled rows that training may use: at most so many of each class, the least by hash of the id.  Of a text of more than so many
+#: bytes it takes blocks spread evenly over the whole text.
+MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 2000, 32768
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 64 << 10, 1024, 3
 
 
@@ -32,6 +33,14 @@ class Model:
     prior: float
 
 
+def _blocks(raw: bytes, max_bytes: int | None = None) -> list[bytes]:
+    """The blocks of a text, or as many as ``max_bytes`` holds, spread evenly from its start to its end."""
+    n = -(-len(raw) // BLOCK_BYTES)
+    most = n if max_bytes is None else max(1, max_bytes // BLOCK_BYTES)
+    picked = range(n) if n <= most else [k * (n - 1) // max(1, most - 1) for k in range(most)]
+    return [raw[k * BLOCK_BYTES : (k + 1) * BLOCK_BYTES] for k in picked]
+
+
 class Scorer:
     def __init__(self, model: Model) -> None:
         import zstandard as z
@@ -43,26 +52,26 @@ class Scorer:
                 d.precompute_compress(level=LEVEL)
         self.pack = [z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False) if d is not None else z.ZstdCompressor(level=LEVEL) for d in own]
 
-    def features(self, text: str | None) -> list[float]:
-        raw = utf8(text)
-        if not raw:
+    def features(self, parts: list[bytes], size: int) -> list[float]:
+        """Of the blocks of a text of ``size`` bytes, all of them or a part."""
+        n = sum(map(len, parts))
+        if not n:
             return [1.0, 0.0, 0.0, 0.0, 0.0]
-        good, bad = (sum(len(c.compress(raw[k : k + BLOCK_BYTES])) for k in range(0, len(raw), BLOCK_BYTES)) for c in self.pack)
-        n = len(raw)
-        return [1.0, (bad - good) / n, good / n, bad / n, 1.0 / math.sqrt(n)]
+        good, bad = (sum(len(c.compress(x)) for x in parts) for c in self.pack)
+        return [1.0, (bad - good) / n, good / n, bad / n, 1.0 / math.sqrt(size)]
 
     def score(self, text: str | None) -> float:
         if not text:
             return self.model.prior
-        z = sum(w * x for w, x in zip(self.model.weights, self.features(text), strict=True))
+        raw = utf8(text)
+        z = sum(w * x for w, x in zip(self.model.weights, self.features(_blocks(raw), len(raw)), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary of an eighth of the texts at most; from texts too few to train on, their plain content."""
+def _dictionary(samples: list[bytes]) -> bytes:
+    """A trained dictionary of an eighth of the blocks at most; from blocks too few to train on, their plain content."""
     import zstandard as z
 
-    samples = [t[k : k + BLOCK_BYTES] for t in texts for k in range(0, len(t), BLOCK_BYTES)]
     if len(samples) >= 16:
         try:
             return z.train_dictionary(min(DICTIONARY_BYTES, max(2048, sum(map(len, samples)) // 8)), samples, level=LEVEL).as_bytes()
@@ -72,7 +81,7 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Newton's method on standardised columns, classes weighted alike; the weights are for the columns as given."""
+    """Newton's method on standardised columns; the weights are for the columns as given."""
     mean, scale = x.mean(0), x.std(0)
     mean[0], scale[0] = 0, 1
     scale[scale == 0] = 1
@@ -89,35 +98,45 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: str = "true", max_rows: int = MAX_TRAINING_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: str = "true", max_rows: int = MAX_TRAINING_ROWS, max_text_bytes: int = MAX_TRAINING_BYTES) -> Model:
     """A model from the labelled rows for which the SQL condition ``learn`` on ``doc_id`` holds.
 
-    The bounded sample is the only thing collected: ``max_rows`` rows of each class by hash of the id, of each the first
-    MAX_TRAINING_BYTES bytes (scores always take whole texts).  A document with several labels counts by the least.  With a class
-    missing the score is the smoothed share of good rows for every text.
+    The bounded sample is the only thing collected: ``max_rows`` rows of each class by hash of the id, and of each at most
+    ``max_text_bytes``, in blocks spread over the whole text (scores always take whole texts).  A document with several labels counts by the
+    least, and one with several texts by the first in order; rows that repeat count once.  Null ids, labels and texts and empty texts are not learnt
+    from.  With a class missing the score is the smoothed share of good rows for every text.
     """
     own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).where(learn)
     order = own.withColumn("h", F.xxhash64("doc_id"))
     picked = order.where("quality = 1").orderBy("h", "doc_id").limit(max_rows).unionByName(order.where("quality = 0").orderBy("h", "doc_id").limit(max_rows))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, MAX_TRAINING_BYTES).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").where("text is not null and text <> ''").select("quality", "h", "doc_id", "text").collect()
-    rows = sorted({(r.h, r.doc_id, r.text): r for r in rows}.values(), key=lambda r: (r.h, r.doc_id, r.text))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
+    chosen = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality", "h").agg(F.min("text").alias("text"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [utf8(t.as_py()) for t in b.column(3)]
+            cols = [*b.columns[:3], pa.array([_blocks(t, max_text_bytes) for t in raw], pa.list_(pa.binary())), pa.array(map(len, raw), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "quality", "h", "parts", "size"])
+
+    rows = chosen.mapInArrow(tidy(spread), "doc_id bigint, quality int, h bigint, parts array<binary>, size bigint").collect()
+    rows = sorted(rows, key=lambda r: (r.h, r.doc_id))
     prior = (sum(r.quality for r in rows) + 1) / (len(rows) + 2)
-    sides = {q: [utf8(r.text)[:MAX_TRAINING_BYTES] for r in rows if r.quality == q] for q in (0, 1)}
+    sides = {q: [([bytes(x) for x in r.parts], r.size) for r in rows if r.quality == q] for q in (0, 1)}
     if min(map(len, sides.values())) < 4:
         return Model(b"", b"", (math.log(prior / (1 - prior)), 0, 0, 0, 0), prior)
-    model = Model(*(_dictionary(sides[q][::2]) for q in (1, 0)), (0.0,) * 5, prior)
+    model = Model(*(_dictionary([x for parts, _ in sides[q][::2] for x in parts]) for q in (1, 0)), (0.0,) * 5, prior)
     scorer = Scorer(model)
-    rest = [(q, t) for q in (0, 1) for t in sides[q][1::2]]
-    x = np.array([scorer.features(t.decode("utf-8", "ignore")) for _, t in rest])
-    weights = _logistic(x, np.array([q for q, _ in rest], float))
+    rest = [(q, *t) for q in (0, 1) for t in sides[q][1::2]]
+    x = np.array([scorer.features(parts, size) for _, parts, size in rest])
+    weights = _logistic(x, np.array([q for q, _, _ in rest], float))
     return Model(model.good, model.bad, tuple(map(float, weights)), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id and score in 0..1 over the whole text, higher for good quality.
 
-    Null and empty texts get the share of good rows among the training rows.  Repeated rows get the same score each.
+    Null and empty texts get the share of good rows among the training rows.  Repeated rows get the same score each; a null doc_id
+    stays null.  Extra columns are not read; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICTIONARY_BYTES
 
