@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(df: DataFrame) -> list[str]:
+    """The names of ``df``'s columns, safe to select whatever characters they have."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
+def any_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For an operator that returns the columns of its first argument: those that it doesn't know get plain names while it works, so
+    their own may be any."""
+
+    @wraps(operator)
+    def renamed(docs: DataFrame, *args, **kw) -> DataFrame:  # noqa: ANN002, ANN003
+        plain = [c if c in ("doc_id", "text", "n_chars") else f"extra {k}" for k, c in enumerate(docs.columns)]
+        return operator(docs.toDF(*plain), *args, **kw).toDF(*docs.columns)
+
+    return renamed
+
+
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 

@@ -2,23 +2,23 @@
 
 The automaton is built once from the items, broadcast, and fed each document word by word.  Its state gives, at each word, the
 longest suffix read so far that occurs in an item; where that is at least ``window`` words (or a whole shorter item) the words
-are hit.  Items are taken in blocks of a bounded number of words, one automaton each, so what is broadcast never outgrows
-``max_block_words``; a document passes the blocks one after the other without a shuffle.
+are hit.  Items are taken in blocks of at most ``max_block_words`` words, one automaton each, so what is broadcast at a time does
+not grow with the benchmark (a word takes 0.9 KB).  A document passes the blocks one after the other without a shuffle; between
+two blocks the documents are checkpointed, so that workers hold one automaton only.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import alnum_words, tidy, utf8
+from .common import alnum_words, any_columns, checkpointed, fresh_name, quoted, tidy, utf8
 
 WINDOW = 8
-MAX_BLOCK_WORDS = 1_000_000
+MAX_BLOCK_WORDS = 200_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -154,20 +154,21 @@ def blocks(items: DataFrame, window: int, max_words: int) -> Iterator[Automaton]
     yield Automaton(block, window)
 
 
-_HITS = "spans array<int>, items array<string>, n_words bigint"
-
-
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``_hit``: a struct of spans (first and last word of each, flat), items (sorted) and n_words.
+    """``docs`` with one more column, the last: a struct of spans (first and last word of each, flat), items (sorted) and n_words.
 
-    Null or empty text: no words, no hits.  Items without words or id match nothing; items with the same id count once.
-    Repeated documents give a row each.  Empty tables give empty results or no hits.
+    It is called ``hits``, with underscores after it if ``docs`` has such a column.  Null or empty text: no words, no hits.  Items
+    without words or id match nothing; items with the same id count once.  Repeated documents give a row each.  Empty
+    tables give empty results or no hits.
     """
-    spark, names = docs.sparkSession, docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    at = names.index("text")
-    first = True
+    spark, names, new = docs.sparkSession, docs.columns, fresh_name(docs, "hits")
+    schema = ", ".join(f"{q} {f.dataType.simpleString()}" for q, f in zip(quoted(docs), docs.schema, strict=True))
+    at, shared = names.index("text"), None
     for block in blocks(items, window, max_block_words):
+        first = shared is None
+        if not first:
+            docs = checkpointed(docs)
+            shared.unpersist()
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
@@ -184,19 +185,21 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_block
                         found |= set(old["items"])
                     rows.append({"spans": [x for s in spans(hits) for x in s] if hits else [], "items": sorted(found), "n_words": len(words)})
                 kind = pa.struct([("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("n_words", pa.int64())])
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(rows, kind)], [*names, "_hit"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(rows, kind)], [*names, new])
 
-        docs = docs.mapInArrow(tidy(run), f"{schema}, `_hit` struct<{_HITS.replace(' array', ': array').replace(' bigint', ': bigint')}>")
-        first = False
+        docs = docs.mapInArrow(tidy(run), f"{schema}, `{new}` struct<spans: array<int>, items: array<string>, n_words: bigint>")
     return docs
 
 
 def report(docs: DataFrame, items: DataFrame, min_items: int = 2, **how) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: n_words, n_hit, n_items, the sorted items, and ``contaminated``."""
+    """Per row of ``docs(doc_id, text)``: n_words, n_hit, n_items, the sorted items, and ``contaminated``.
+
+    Extra columns are not read; all other cases are those of ``find_hits``.
+    """
     d = find_hits(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), items, **how)
-    n_hit = F.expr("aggregate(sequence(0, cast(size(_hit.spans) / 2 as int)), 0L, (a, k) -> a + coalesce(get(_hit.spans, 2 * k + 1) - get(_hit.spans, 2 * k) + 1, 0))")
-    n_items = F.size("_hit.items").cast("bigint")
-    return d.select("doc_id", F.col("_hit.n_words").alias("n_words"), n_hit.alias("n_hit"), n_items.alias("n_items"), F.col("_hit.items").alias("items"), (n_items >= min_items).alias("contaminated"))
+    n_hit = F.expr("aggregate(sequence(0, cast(size(hits.spans) / 2 as int)), 0L, (a, k) -> a + coalesce(get(hits.spans, 2 * k + 1) - get(hits.spans, 2 * k) + 1, 0))")
+    n_items = F.size("hits.items").cast("bigint")
+    return d.select("doc_id", F.col("hits.n_words").alias("n_words"), n_hit.alias("n_hit"), n_items.alias("n_items"), F.col("hits.items").alias("items"), (n_items >= min_items).alias("contaminated"))
 
 
 def cut(text: str, flat: list[int]) -> str:
@@ -210,11 +213,12 @@ def cut(text: str, flat: list[int]) -> str:
     return b" ".join(x.strip(b" ") for x in out if x.strip(b" ")).decode("utf-8", "surrogatepass")
 
 
+@any_columns
 def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, **how) -> DataFrame:
     """``docs`` with the hit spans cut out of ``text`` (and ``n_chars`` set anew where there is one).
 
     A document goes whole when the spans cover more than ``max_coverage`` of its words.  Documents without hits, null and
-    empty texts stay as they are.
+    empty texts stay as they are; extra columns of any name and type too.  Other cases: as ``find_hits``.
     """
     names, schema, at = docs.columns, docs.schema, docs.columns.index("text")
 
@@ -239,7 +243,3 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5,
                 yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names)
 
     return find_hits(docs, items, **how).mapInArrow(tidy(run), schema)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

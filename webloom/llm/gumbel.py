@@ -17,10 +17,12 @@ each distinct unit is built once.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,9 @@ from .common import Numbers, mix64, tidy
 
 SPACE = "▁"
 SAMPLES, POWER, OFFSET = 2, 1.5, 100.0
+#: The public vocabulary file of the registered query; a parameter of the operator, never copied into the repository.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+MAX_MODEL_BYTES = 64 << 20
 CHUNK_CHARS = 1_500_000
 _U = np.uint64
 #: Units: spaces with the word after them, or a line end, of any length.  No piece crosses these.
@@ -42,12 +47,12 @@ LITERAL = "\ud800"
 
 
 class Vocabulary:
-    """Pieces, their log weights, the byte pieces and a trie of the pieces of a SentencePiece model file."""
+    """Pieces, their log weights, the byte pieces and a trie of the pieces of a SentencePiece model."""
 
-    def __init__(self, path: str, power: float = POWER, offset: float = OFFSET) -> None:
+    def __init__(self, proto: bytes, power: float = POWER, offset: float = OFFSET) -> None:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_proto=proto)
         n = model.get_piece_size()
         pieces = [model.id_to_piece(k) for k in range(n)]
         self.byte = {int(p[3:5], 16): k for k, p in enumerate(pieces) if model.is_byte(k)}
@@ -372,12 +377,20 @@ def encode(docs: DataFrame, vocabulary: str, samples: int = SAMPLES, seed: int =
     decoded from the ids (null unless ``decoded``), which equals the row's text.  ``inclusion``: the probability that the segmentation is among the
     samples given the next perturbed value; 1 where there are no further segmentations.  The key of a row is its doc_id and the hash
     of its text, so repeated rows give the same samples each.  Null and empty texts give one sample without pieces.  Texts
-    with fewer segmentations give them all.  Long texts are taken whole.
+    with fewer segmentations give them all.  Long texts are taken whole.  Extra columns are not read; an empty table gives an empty result.
+
+    ``vocabulary``: path of a SentencePiece model on the driver; its bytes are broadcast, up to MAX_MODEL_BYTES.
     """
+    proto = Path(vocabulary).read_bytes()
+    if len(proto) > MAX_MODEL_BYTES:
+        raise ValueError(f"{vocabulary} has more than {MAX_MODEL_BYTES} bytes")
+    digest, shared = hashlib.sha256(proto).hexdigest(), docs.sparkSession.sparkContext.broadcast(proto)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = _CACHE.get((vocabulary, power))
+        vocab = _CACHE.get((digest, power))
         if vocab is None:
-            vocab = _CACHE[vocabulary, power] = Vocabulary(vocabulary, power)
+            _CACHE.clear()
+            vocab = _CACHE[digest, power] = Vocabulary(shared.value, power)
         for b in batches:
             ends = np.cumsum(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
             lo = 0

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, shingle_hashes, space_words, tidy, utf8
+from .common import any_columns, checkpointed, fresh_name, quoted, shingle_hashes, space_words, tidy, utf8
 from .graph import components
 
 K, WIDTH = 48, 5
@@ -340,18 +340,21 @@ def _membership(signed: DataFrame, classes: DataFrame, roots: DataFrame) -> Data
     return rows.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+@any_columns
 def drop_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``docs`` with one document of each group: the rows that ``near_duplicates`` keeps, with all their columns.
+    """``docs`` with one document of each group: the rows that ``near_duplicates`` keeps, with all their columns, whatever their names.
 
-    Of repeated rows of a kept document one stays; documents without words all stay.
+    Of repeated rows of a kept document one stays; documents without words all stay, and so do null texts.  An empty table
+    stays empty.
     """
     found = near_duplicates(docs, percent)
-    key = ["doc_id", "th"]
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
-    here = lambda a, b: F.col("doc_id").cast("bigint").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b))
-    rest = docs.join(gone, here("gone_id", "gone_th"), "left_anti")
-    again = found.where("kept and n_shingles > 0").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"), F.col("th").alias("again_th"))
-    if again.isEmpty():
-        return rest
-    same = rest.join(again, here("again_id", "again_th"), "left_semi").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
-    return rest.join(again, here("again_id", "again_th"), "left_anti").unionByName(same)
+    ident, th = fresh_name(docs, "ident"), fresh_name(docs, "th")
+    own = docs.withColumns({ident: F.col("doc_id").cast("bigint"), th: F.xxhash64("text")})
+    same = lambda other: own[ident].eqNullSafe(other["doc_id"]) & (own[th] == other["th"])
+    gone = found.where(~F.col("kept")).select("doc_id", "th").distinct()
+    again = found.where("kept and n_shingles > 0").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "th")
+    rest = own.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():
+        once = own.join(again, same(again), "left_semi").dropDuplicates([ident, th])
+        rest = rest.join(again, same(again), "left_anti").unionByName(once)
+    return rest.select(*quoted(docs))

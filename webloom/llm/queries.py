@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
 from . import chat, decontam, gumbel, htmlmain, linedup, neardup, rules, shard, urlfilter, zclassify
 
-#: The public vocabulary file; a parameter of the operator, never copied into the repository.
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -23,11 +23,19 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _records(turns: DataFrame) -> DataFrame:
+    """The turns as JSON records of three layouts, a third of the conversations each, as they come from different sources."""
+    pair = lambda role, text: F.array(F.struct(F.col("role").alias(role), F.col("text").alias(text)))
+    layouts = [F.struct("role", "text"), F.struct(pair("role", "content").alias("messages")), F.struct(pair("from", "value").alias("conversations"))]
+    third, (a, b, c) = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(3)), (F.to_json(x, {"ignoreNullFields": "false"}) for x in layouts)
+    return turns.select("conv_id", "turn", F.when(third == 0, a).when(third == 1, b).otherwise(c).alias("record"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id bigint, turn bigint, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.format_turns(turns))
+    return chat.read_back(chat.format_records(_records(turns)))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +73,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gumbel.encode(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return gumbel.encode(_table(spark, sf_dir, "documents"), gumbel.VOCABULARY)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
     return corpus_pipeline.run(spark, sf_dir)
 
 

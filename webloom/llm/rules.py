@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import tidy, utf8
+from .common import any_columns, tidy, utf8
 
 LEDGER_VERSION = 1
 #: Rule names by bit.
@@ -124,8 +124,12 @@ def ablation(book: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     )
 
 
+@any_columns
 def keep_good(docs: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with all their columns, in one pass without a shuffle."""
+    """The rows of ``docs`` that the policy keeps, with all their columns, in one pass without a shuffle.
+
+    Null and empty texts have too few words and go.  Repeated rows are judged each; an empty table stays empty.
+    """
     at, mask = docs.columns.index("text"), policy.mask | BASE_MASK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
