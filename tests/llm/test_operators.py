@@ -3,10 +3,12 @@
 import hashlib
 import html
 import itertools
+import json
 import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,13 +17,13 @@ import corpus_pipeline
 from webloom.llm import chat, decontam, graph, gumbel, htmlmain, linedup, neardup, queries, rules, shard, urlfilter, zclassify
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-#: Clashing names of columns that operators give out.
-EXTRA = {"n_words": "'x'", "shard": "1.5", "kept": "'y'", "key": "cast(null as string)", "ids": "'z'"}
+#: Clashing names of columns that operators give out or use inside.
+EXTRA = {"n_words": "'x'", "shard": "1.5", "kept": "'y'", "key": "cast(null as string)", "ids": "'z'", "gone": "1", "partners": "2", "th": "'t'", "_th": "3", "_hit": "'h'", "hit": "'i'", "spans": "4", "gone_id": "5", "again_id": "6",
+         "gone_th": "7", "_id": "8", "_gone": "9", "_partners": "10", "n": "11", "size": "12", "cell": "13", "DIGEST": "14", "owner": "15"}
 
 
 def clashing(df):
-    return df.withColumns({k: F.expr(v) for k, v in EXTRA.items()})
-
+    return df.withColumns({k: F.expr(v) for k, v in EXTRA.items()} | {"a `b`.c": F.lit(1)})
 
 
 def words(rng, n, vocabulary=400):
@@ -81,6 +83,19 @@ def test_hot_group_leaves_no_shard_empty(spark):
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.size == len(texts[r.doc_id].encode()) + 8 for r in rows)
 
 
+def test_shards_do_not_depend_on_the_partitioning(spark):
+    rng = random.Random(29)
+    docs = frame(spark, [f"text {rng.randrange(40)} " * rng.randrange(1, 9) for _ in range(200)])
+    one, other = (sorted(shard.shard_documents(d, 5).collect()) for d in (docs, docs.repartition(7)))
+    assert one == other
+    sizes = {r.group_key: 0 for r in one}
+    for r in one:
+        sizes[r.group_key] += r.size
+    assert {r.capacity for r in one} == {best_capacity([sizes[k] for k in sorted(sizes)], 5)}
+    loads = [sum(r.size for r in one if r.shard == k) for k in range(5)]
+    assert max(loads) <= one[0].capacity and [k for r in sorted(one, key=lambda r: r.group_key) for k in [r.shard]] == sorted(r.shard for r in one)
+
+
 def test_shards_of_odd_rows(spark):
     rows = shard.shard_documents(odd(spark), 24).collect()
     assert len(rows) == 9 and {r.size for r in rows if r.doc_id == 1} == {8} and {r.text_crc32 for r in rows if r.doc_id == 1} == {0}
@@ -129,6 +144,37 @@ def test_layouts_by_fingerprint(spark):
     assert all(got[k] == [(None, None)] for k in (6, 7, 8))
 
 
+def test_odd_records_lose_nothing(spark):
+    odd_records = ['{"messages": [{"role": "user", "content": "q"}, "s"]}', '{"messages": [{"role": ["user"], "content": "q"}]}', '{"prompt": 5, "completion": "a"}', '{"prompt": ["x"], "completion": "a"}', '{"messages": "x"}',
+                   "[" * 5000, '{"messages": []}', '{"messages": null}', "3", '"x"', '{"role": {"a": 1}, "text": "x"}', '{"conversations": [{"from": 1, "value": 2}]}', ""]
+    fine = ['{"prompt": "\\ud800", "completion": null}', '{"messages": [null, {"role": null, "content": "x"}]}', json.dumps({"prompt": "long " * 100_000, "completion": "a"})]
+    df = spark.createDataFrame([(k, r, 1) for k, r in enumerate(odd_records + fine + fine[-1:])], "id bigint, record string, turn int")
+    got = {}
+    for r in chat.canonical_turns(df).orderBy("id", "turn").collect():
+        got.setdefault(r.id, []).append((r.turn, r.role, r.text))
+    n = len(odd_records)
+    assert set(got) == set(range(n + 4)) and all(got[k] == [(None, None, None)] for k in range(n))
+    assert got[n] == [(0, "user", "\ufffd"), (1, "assistant", "")] and got[n + 1] == [(0, "", "x")] and got[n + 2][0][2] == "long " * 100_000 and got[n + 2] == got[n + 3]
+    segments = chat.format_records(df.withColumnRenamed("id", "conv_id"))
+    counts = {r.conv_id: r.n_turns for r in chat.read_back(segments).collect()}
+    assert counts == {n: 2, n + 1: 1, n + 2: 2, n + 3: 2} and chat.canonical_turns(df.limit(0)).count() == 0
+
+
+def test_layouts_of_conversations_give_the_same_turns(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {t} </s> of {c}" if t else None) for c in range(6) for t in range(4)] * 2
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    records = queries._records(turns)
+    layouts = {r.layout for r in chat.canonical_turns(records.withColumn("id", F.col("conv_id"))).collect()}
+    assert layouts == {"turn rows", "messages", "conversations"}
+    plain = {r.conv_id: r for r in chat.read_back(chat.format_turns(turns)).collect()}
+    assert {r.conv_id: r for r in chat.read_back(chat.format_records(records)).collect()} == plain and plain[0].n_turns == 8
+    table = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.col("role").alias("from"), F.col("text").alias("value")))).alias("conversations"))
+    table = table.select("conv_id", F.lit(0).alias("turn"), F.transform("conversations", lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value"))).alias("conversations"), F.lit("x").alias("formatted"))
+    assert {r.conv_id: r.turns_sha256 for r in chat.read_back(chat.format_turns(table)).collect()} == {k: r.turns_sha256 for k, r in plain.items()}
+    with pytest.raises(ValueError, match="no layout"):
+        chat.format_turns(turns.select("conv_id", "turn", "role"))
+
+
 # url rules
 
 
@@ -148,6 +194,12 @@ def test_url_rules(spark):
         assert (r.host, r.path, (r.rule, r.verdict)) == (host, path, brute_rule(host, path))
     joined = urlfilter.judge(pages, queries.URL_RULES, max_broadcast_bytes=0).orderBy("page_id").collect()
     assert joined == got and urlfilter.judge(pages.limit(0), []).count() == 0
+    ties = [("a.org", "/x/", "allow"), ("b.a.org", "/", "block"), ("c.a.org", "/", "allow"), ("a.org", "/y/", "allow"), ("d.a.org", "/", "allow")]
+    hosts = [("http://b.a.org/x/y", "b.a.org/"), ("http://c.a.org/x/", "c.a.org/"), ("http://d.a.org/y/", "d.a.org/"), ("http://a.org/x/" + "z" * 300_000, "a.org/x/")] * 2
+    odd_pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(hosts)], "page_id bigint, url string")
+    for size in (1 << 20, 0):
+        got = {r.page_id: r.rule for r in urlfilter.judge(odd_pages, ties, max_broadcast_bytes=size).collect()}
+        assert got == {k: rule for k, (_, rule) in enumerate(hosts)}
     table = spark.createDataFrame([*queries.URL_RULES, ("org", "/", "block")], "host string, path string, verdict string")
     assert urlfilter.judge(pages, table).where("rule = 'org/'").first().verdict == "block"
 
@@ -264,12 +316,27 @@ def test_line_dedup_deletes_blocks_from_later_documents(spark):
     assert set(kept) == {0, 1, 2} and kept[1].n_chars == len(kept[1].text)
 
 
-def brute_deletions(texts, min_words=4):
-    """Lines that the earliest holders align, and those that any earlier document with them does, by pairwise alignment of all."""
+def brute_units(text):
+    """(unit, line) of a text: sentences of its lines, those of fewer than four words with the next one."""
+    out = []
+    for n, line in enumerate(text.split("\n")):
+        held = ""
+        for part in re.split(r"(?<=[.!?]) ", line):
+            held = f"{held} {part}".strip() if held else part.strip()
+            if len(held.split()) >= 4:
+                out.append((held, n))
+                held = ""
+        if held:
+            out.append((held, n))
+    return out
+
+
+def brute_deletions(texts):
+    """Units that the earliest holders align, and those that any earlier document with them does, by pairwise alignment of all."""
     keyed, gone = [], []
     for t in texts:
-        seen, lines = {}, t.split("\n")
-        keyed.append([(x, seen.setdefault(x, []).append(0) or len(seen[x])) for x in lines])
+        units, seen = brute_units(t), {}
+        keyed.append([(x, seen.setdefault(x, []).append(0) or len(seen[x])) for x, _ in units])
         keys, own = keyed[-1], len(keyed) - 1
         once = lambda d, key: sum(x == key[0] for x, _ in keyed[d]) == 1
         points = lambda d, hub: [(k, keyed[d].index(key), once(own, key) and once(d, key)) for k, key in enumerate(keys) if key in keyed[d] and hub(key, d)]
@@ -278,7 +345,11 @@ def brute_deletions(texts, min_words=4):
         for d in range(own):
             taken |= {x for x, _ in linedup.patience(points(d, lambda key, d: first[key] == d))} | {x for x, _ in linedup.patience(points(d, lambda key, d: True))}
         runs = [[k for _, k in g] for _, g in itertools.groupby(enumerate(sorted(taken)), lambda p: p[1] - p[0])]
-        gone.append([k for run in runs if sum(len(lines[k].split()) for k in run) >= min_words for k in run])
+        lost, n_words = [], [len(x.split()) for x, _ in units]
+        for run in runs:
+            whole = [k for k in run if {j for j, u in enumerate(units) if u[1] == units[k][1]} <= set(run)]
+            lost += run if sum(n_words[k] for k in run) >= 25 else whole if sum(n_words[k] for k in whole) >= 4 else []
+        gone.append(lost)
     return gone
 
 
@@ -287,7 +358,28 @@ def test_line_dedup_tries_other_partners(spark):
     texts = [f"{p}\n{q}", f"{q}\n{p}", f"{q}\n{p}", f"{q}\nown words between the two passages\n{p}"]
     got = {r.doc_id: r for r in linedup.report(frame(spark, texts)).collect()}
     assert [got[k].n_deleted for k in range(4)] == [0, 6, 12, 12] and 1 in got[2].partners and 1 in got[3].partners
-    assert set(r.doc_id for r in linedup.clean(frame(spark, texts)).collect()) == {0, 1, 3}
+    assert {r.doc_id for r in linedup.clean(frame(spark, texts)).collect()} == {0, 1}  # little is left of 3
+    assert {r.doc_id for r in linedup.clean(frame(spark, texts), least_left=0).collect()} == {0, 1, 3}
+
+
+def test_copies_of_reordered_lines_leave_nothing(spark):
+    texts = ["b has five words here\na has five words too", "a has five words too\nb has five words here\nc is a line of its own"]
+    got = {r.doc_id: r for r in linedup.report(frame(spark, [*texts, texts[1]])).collect()}
+    assert got[2].clean_text == "" and got[1].n_deleted == 1
+
+
+def test_passages_inside_lines_go(spark):
+    rng = random.Random(23)
+    sentence = lambda: " ".join(words(rng, rng.randrange(5, 14), 10**6)).capitalize() + "."
+    passage = " ".join(sentence() for _ in range(9))
+    assert len(passage.split()) > 50
+    own = [[" ".join(words(rng, 30, 10**6)) for _ in range(2)] for _ in range(6)]
+    texts = [f"{a} {passage} {b}" for a, b in own] + ["A. B c. D e f. " + " ".join(sentence() for _ in range(5))]
+    got = {r.doc_id: r.clean_text for r in linedup.report(frame(spark, texts)).collect()}
+    assert got[0] == texts[0] and got[6] == texts[6]
+    for k in range(1, 6):
+        left = got[k].split()
+        assert set(" ".join(own[k]).split()) <= set(left) and len(set(left) & set(passage.split())) < 15
 
 
 @pytest.mark.parametrize("first_tried", [1, 16])
@@ -295,7 +387,9 @@ def test_line_dedup_equals_pairwise_alignment(spark, monkeypatch, first_tried):
     monkeypatch.setattr(linedup, "FIRST_TRIED", first_tried)
     rng = random.Random(19)
     pool = [f"line {k}" + " with words" * (k % 3) for k in range(14)]
-    texts = ["\n".join(rng.choices(pool, k=rng.randrange(1, 9)) + [f"own {k}"]) for k in range(70)]
+    parts = [f"Part {k}" + " of it" * (k % 5) + ".!?"[k % 3] for k in range(12)]
+    line = lambda: rng.choice(pool) if rng.random() < 0.7 else " ".join(rng.choices(parts, k=rng.randrange(1, 7)))
+    texts = ["\n".join([line() for _ in range(rng.randrange(1, 9))] + [f"own {k}"]) for k in range(70)]
     got = {r.doc_id: list(r.deleted) for r in linedup.report(frame(spark, texts)).collect()}
     assert [got[k] for k in range(len(texts))] == brute_deletions(texts)
 
@@ -323,6 +417,17 @@ def test_quality_scores_separate_classes(spark):
     one = zclassify.fit(docs, labels.where("quality = 1"))
     assert {r.score for r in zclassify.score(docs, one).collect()} and zclassify.score(empty(spark), one).count() == 0
     assert zclassify.fit(docs, labels.limit(0)).prior == 0.5
+    again = zclassify.fit(docs.unionByName(docs).unionByName(docs), labels.unionByName(labels))
+    assert again == model  # rows that repeat count once
+    scored = zclassify.score(odd(spark), model).collect()
+    assert len(scored) == 9 and len({r.score for r in scored if r.doc_id == 4}) == 1 and [r.score for r in scored if r.doc_id is None]
+
+
+def test_training_blocks_spread_over_the_whole_text():
+    raw = bytes(range(256)) * 4000
+    parts = zclassify._blocks(raw, 10 * zclassify.BLOCK_BYTES)
+    assert len(parts) == 10 and parts[0] == raw[:1024] and parts[-1] == raw[-1024:]
+    assert b"".join(zclassify._blocks(raw)) == raw and zclassify._blocks(b"") == [] and zclassify._blocks(b"x", 10) == [b"x"]
 
 
 # decontamination
@@ -361,6 +466,8 @@ def test_decontamination_cuts_spans(spark):
     got = {r.doc_id: r for r in decontam.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
     assert set(got) == {0, 2, 3} and got[0].text.startswith("Keep this, ! and that") and got[0].n_chars == len(got[0].text)
     nothing = spark.createDataFrame([], "item_id bigint, text string")
+    clash = decontam.decontaminate(clashing(docs), spark.createDataFrame([(1, item), (2, "something else that nobody has")], "item_id bigint, text string"), max_block_words=5)
+    assert clash.columns == clashing(docs).columns and {r.doc_id for r in clash.collect()} == {0, 2, 3}
     assert decontam.decontaminate(odd(spark), nothing).count() == 9 and decontam.report(empty(spark), nothing).count() == 0
 
 
@@ -459,6 +566,14 @@ def test_ledger_measures():
     assert rules.measure(None) == rules.measure("") == (0,) * 8
 
 
+def test_ledger_of_odd_rows(spark):
+    book = {}
+    for r in rules.ledger(odd(spark)).collect():
+        book.setdefault(r.doc_id, []).append(r)
+    assert len(book[4]) == 2 and book[4][0] == book[4][1] and book[5][0].n_words == 60_000 and book[5][0].n_repeat_words == 60_000 and book[None][0].n_words == 3
+    assert rules.measure("x" * 1_000_000)[:2] == (1, 1_000_000)
+
+
 def brute_repeat(text):
     w = text.split()
     spots = [i for i in range(len(w) - 2) for j in range(len(w) - 2) if i != j and w[i : i + 3] == w[j : j + 3]]
@@ -490,14 +605,14 @@ def test_policies_and_ablation(spark):
 
 @pytest.fixture(scope="module")
 def vocab():
-    return gumbel.Vocabulary(queries.VOCABULARY)
+    return gumbel.Vocabulary(Path(gumbel.VOCABULARY).read_bytes())
 
 
 def all_segmentations(text):
     """Every segmentation with its probability, by enumeration of the vocabulary file's pieces over the whole text."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=queries.VOCABULARY)
+    model = sentencepiece.SentencePieceProcessor(model_file=gumbel.VOCABULARY)
     n = model.get_piece_size()
     ids = [k for k in range(n) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k) or model.is_unused(k))]
     rank = {k: r for r, k in enumerate(sorted(ids, key=model.get_score, reverse=True))}
@@ -552,7 +667,7 @@ def test_pieces_across_spaces_are_refused(monkeypatch):
 
     monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Crossing)
     with pytest.raises(ValueError, match="cross"):
-        gumbel.Vocabulary(queries.VOCABULARY)
+        gumbel.Vocabulary(Path(gumbel.VOCABULARY).read_bytes())
 
 
 def test_samples_follow_the_distribution(vocab):
@@ -584,11 +699,11 @@ def test_all_segmentations_come_out_in_order(vocab):
 
 def test_encoding_round_trips_and_is_seeded(spark):
     docs = odd(spark)
-    rows = gumbel.encode(docs, queries.VOCABULARY, samples=3).collect()
+    rows = gumbel.encode(docs, gumbel.VOCABULARY, samples=3).collect()
     texts = {(r.doc_id, r.text) for r in docs.collect()}
     assert {(r.doc_id, r.text) for r in rows} == texts and all(0 <= r.inclusion <= 1 and r.n_pieces == len(r.ids) for r in rows)
-    again = gumbel.encode(docs.repartition(7), queries.VOCABULARY, samples=3).collect()
+    again = gumbel.encode(docs.repartition(7), gumbel.VOCABULARY, samples=3).collect()
     key = lambda r: (str(r.doc_id), r.sample, r.ids, r.log_prob)
     assert sorted(map(key, rows)) == sorted(map(key, again))
-    other = gumbel.encode(docs, queries.VOCABULARY, samples=3, seed=1).collect()
-    assert sorted(map(key, rows)) != sorted(map(key, other)) and gumbel.encode(empty(spark), queries.VOCABULARY).count() == 0
+    other = gumbel.encode(docs, gumbel.VOCABULARY, samples=3, seed=1).collect()
+    assert sorted(map(key, rows)) != sorted(map(key, other)) and gumbel.encode(empty(spark), gumbel.VOCABULARY).count() == 0

@@ -1,6 +1,7 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through the lines that they share: each line of a document is matched with the earliest
+A text is cut into lines, and lines into sentences, so a passage that stands inside a longer line is found too.  Documents that overlap
+are found through the lines that they share: each line of a document is matched with the earliest
 document that holds it, which gives one partner per line and never all pairs of a group.  A partner counts if at least one of
 the shared lines is rare among the partners on offer, the rarest first.  The two documents are then aligned as patience diff
 does: lines that occur once in both are anchors, the longest increasing chain of anchors is kept, and the lines between two
@@ -8,7 +9,8 @@ anchors are matched in order.  Lines that their partner doesn't align are tried
 until one aligns them or none is left.  Aligned blocks of enough words go from the later document.
 
 What is shuffled is a few numbers per line.  A group is the lines of one document that occur elsewhere, so it is bounded by that
-document, however many others share them.
+document, however many others share them.  The lines are joined with those that several documents have after the latter are written,
+so that a join of a line that very many documents have can be split.
 """
 
 from __future__ import annotations
@@ -17,43 +19,98 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, tidy, utf8
+from .common import any_columns, checkpointed, fresh_name, quoted, tidy, utf8
 
-MIN_BLOCK_WORDS = 4
+#: A block goes if it has so many words in whole lines, or so many in all; a document goes with it if less than a share of its words is left.
+MIN_BLOCK_WORDS, MIN_PART_WORDS, LEAST_LEFT = 4, 25, 0.2
+#: Sentences of fewer words are taken together with the next one of the line.
+SENTENCE_WORDS = 4
 #: Partners of a line left over in the first round of trying others; keys that are broadcast.
 FIRST_TRIED, MAX_BROADCAST_KEYS = 16, 1_000_000
 _OWNER = "struct(doc_id is null as none, doc_id, th)"
 
 
-def _keyed_lines(text: str | None) -> list[tuple[int, int, int, bool, int]]:
-    """(line number, number among the lines with words, key, once, words) of the lines with words; the key tells the first,
-    second, ... of equal lines apart."""
+def _marked(raw: bytes) -> bytes:
+    """``raw`` with the space after a sentence end turned into a zero byte."""
+    return raw.replace(b". ", b".\0").replace(b"! ", b"!\0").replace(b"? ", b"?\0")
+
+
+def _units(line: bytes) -> tuple[list[bytes], list[int]]:
+    """The units of a marked line, which joined by zero bytes give the line, and their words, counted by spaces; of a line without words: none."""
+    if b"\0" not in line:
+        return ([line], [line.count(b" ") + 1]) if line and not line.isspace() else ([], [])
+    out, counts, held, words = [], [], None, 0
+    for part in line.split(b"\0"):
+        held = part if held is None else held + b"\0" + part
+        words += part.count(b" ") + 1
+        if words >= SENTENCE_WORDS:
+            out.append(held)
+            counts.append(words)
+            held, words = None, 0
+    if held is not None:  # the end of the line
+        if held.strip(b" \t\x0b\x0c\r\0"):
+            out.append(held)
+            counts.append(words)
+        elif out:
+            out[-1] += b"\0" + held
+    return out, counts
+
+
+def _keyed_lines(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and spots of the units; the key tells the first, second, ... of equal units apart, and the spot has number, words,
+    whether the unit occurs once, and whether it is the first (2) and the last (1) of its line."""
     import xxhash
 
-    lines = [(k, x.strip()) for k, x in enumerate(utf8(text).split(b"\n"))]
-    lines = [(k, x) for k, x in lines if x]
-    totals, seen, out = Counter(x for _, x in lines), Counter(), []
-    for n, (k, x) in enumerate(lines):
-        seen[x] += 1
-        key = xxhash.xxh64_intdigest(x, seen[x])
-        out.append((k, n, key - (1 << 64) if key >> 63 else key, totals[x] == 1, len(x.split())))
-    return out
+    digest = xxhash.xxh64_intdigest
+    found: list[bytes] = []
+    spots: list[int] = []
+    for line in _marked(utf8(text)).split(b"\n"):
+        own, counts = _units(line)
+        if own:
+            at = len(spots)
+            found += own
+            spots += counts
+            spots[at] |= 1 << 60
+            spots[-1] |= 1 << 61
+    found = [x.strip() for x in found]
+    if len(set(found)) == len(found):
+        keys, once = [digest(x, 1) for x in found], np.ones(len(found), np.int64)
+    else:
+        totals, seen, keys = Counter(found), Counter(), []
+        for x in found:
+            seen[x] += 1
+            keys.append(digest(x, seen[x]))
+        once = np.array([totals[x] == 1 for x in found], np.int64)
+    spot = np.array(spots, np.int64)
+    words = np.minimum(spot & (1 << 60) - 1, (1 << 29) - 1)
+    spot = np.arange(len(found)) << 32 | words << 3 | once << 2 | (spot >> 60 & 1) << 1 | spot >> 61
+    return np.array(keys, np.uint64).view(np.int64), spot
+
+
+def _spot(spot: str) -> dict[str, Column]:
+    at = F.col(spot)
+    return {"pos": F.shiftright(at, 32).cast("int"), "words": F.shiftright(at.bitwiseAND(F.lit((1 << 32) - 1)), 3).cast("int"), "once": at.bitwiseAND(F.lit(4)) != 0, "ends": at.bitwiseAND(F.lit(3)).cast("int")}
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line, pos, key, once, words): one row per line with words."""
-    names = (("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("pos", pa.int32()), ("key", pa.int64()), ("once", pa.bool_()), ("words", pa.int32()))
+    """(doc_id, th, key, spot): one row per unit."""
+    names = (("doc_id", pa.int64()), ("th", pa.int64()), ("key", pa.int64()), ("spot", pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, h, *line) for d, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True) for line in _keyed_lines(t.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(names)], [n for n, _ in names])
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                found = [_keyed_lines(t.as_py()) for t in part.column(2)]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(keys) for keys, _ in found]))
+                keys, spots = (pa.array(np.concatenate([own[k] for own in found])) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), keys, spots], [n for n, _ in names])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(
-        tidy(run), "doc_id bigint, th bigint, line int, pos int, key bigint, once boolean, words int"
+        tidy(run), "doc_id bigint, th bigint, key bigint, spot bigint"
     )
 
 
@@ -113,39 +170,41 @@ def aligned(lines: list[tuple[int, int, int, int, bool, int]]) -> dict[int, int]
     return taken
 
 
-def _runs(positions: Iterable[int], words_at: dict[int, int], min_words: int) -> list[int]:
-    """The positions in runs of enough words."""
+def _runs(positions: Iterable[int], size_at: dict[int, tuple[int, int]], least: tuple[int, int]) -> list[int]:
+    """The positions in runs of enough words: all of a run of ``least[1]`` words, else its whole lines next to each other that have
+    ``least[0]``.  ``size_at``: words of a position, and whether it is the first (2) and the last (1) of its line."""
     kept: list[int] = []
     run: list[int] = []
     for pos in [*sorted(positions), None]:
         if run and (pos is None or pos != run[-1] + 1):
-            if sum(words_at[x] for x in run) >= min_words:
+            if sum(size_at[x][0] for x in run) >= least[1]:
                 kept += run
+            else:
+                first = next((k for k, x in enumerate(run) if size_at[x][1] & 2), len(run))
+                last = next((k for k in range(len(run) - 1, -1, -1) if size_at[run[k]][1] & 1), -1)
+                lines = run[first : last + 1]
+                if sum(size_at[x][0] for x in lines) >= least[0]:
+                    kept += lines
             run = []
         run.append(pos)
     return kept
 
 
-def blocks_to_delete(lines: list[tuple[int, int, int, int, bool, int]], min_words: int) -> tuple[list[int], list[int]]:
-    """Positions to delete and the partners they are aligned with."""
-    taken = aligned(lines)
-    gone = _runs(taken, {x[0]: x[5] for x in lines}, min_words)
-    return gone, sorted({taken[p] for p in gone})
-
+_OPEN = "array<struct<pos:int,key:bigint,words:int,once:boolean,ends:int,df:bigint,taken:boolean,partner_id:bigint>>"
+_OPEN_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64()), ("words", pa.int32()), ("once", pa.bool_()), ("ends", pa.int32()), ("df", pa.int64()), ("taken", pa.bool_()), ("partner_id", pa.int64())]))
 
-_OPEN = "array<struct<pos:int,line:int,key:bigint,words:int,once:boolean,df:bigint,taken:boolean,partner_id:bigint>>"
-_OPEN_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("line", pa.int32()), ("key", pa.int64()), ("words", pa.int32()), ("once", pa.bool_()), ("df", pa.int64()), ("taken", pa.bool_()), ("partner_id", pa.int64())]))
 
-
-def deletions(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """(doc_id, th, gone array<int>, partners array<bigint>): the lines to delete, by number from 0, of documents that lose any.
+def deletions(docs: DataFrame, least: tuple[int, int] = (MIN_BLOCK_WORDS, MIN_PART_WORDS)) -> DataFrame:
+    """(doc_id, th, gone array<int>, partners array<bigint>): the units to delete, by number from 0, of documents that lose any.
 
     The order of documents is that of doc_id, then of the text's hash; null ids come last.
     """
     lines = line_table(docs).withColumn("owner", F.expr(_OWNER))
-    firsts = lines.groupBy("key").agg(F.min(F.struct("owner", "pos", "once")).alias("first"), F.count("*").alias("n"), F.max("owner").alias("last")).where("first.owner <> last")
-    firsts = firsts.select("key", F.col("first.owner").alias("hub"), F.col("first.pos").alias("hub_pos"), F.col("first.once").alias("hub_once"), F.col("n").alias("df"))
-    matched = lines.join(firsts, "key").where("owner <> hub").select("doc_id", "th", "pos", F.xxhash64("hub").alias("partner"), F.col("hub.doc_id").alias("partner_id"), "hub_pos", "df", (F.col("once") & F.col("hub_once")).alias("both"), "words", "line", "key", "once")
+    firsts = lines.groupBy("key").agg(F.min(F.struct("owner", "spot")).alias("first"), F.count("*").alias("n"), F.max("owner").alias("last")).where("first.owner <> last")
+    firsts = checkpointed(firsts.select("key", F.col("first.owner").alias("hub"), F.col("first.spot").alias("hub_spot"), F.col("n").alias("df")))
+    matched = lines.join(firsts, "key").where("owner <> hub")
+    mine, theirs = _spot("spot"), _spot("hub_spot")
+    matched = matched.select("doc_id", "th", mine["pos"].alias("pos"), F.xxhash64("hub").alias("partner"), F.col("hub.doc_id").alias("partner_id"), theirs["pos"].alias("hub_pos"), "df", (mine["once"] & theirs["once"]).alias("both"), mine["words"].alias("words"), "key", mine["once"].alias("once"), mine["ends"].alias("ends"))
     schema = (("doc_id", pa.int64()), ("th", pa.int64()), ("gone", pa.list_(pa.int32())), ("partners", pa.list_(pa.int64())), ("open", _OPEN_TYPE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +212,12 @@ def deletions(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFr
             ids = {r[3]: r[4] for r in rows}
             at = {r[2]: r for r in rows}
             taken = aligned([(r[2], r[3], r[5], r[6], r[7], r[8]) for r in at.values()])
-            words_at = {p: r[8] for p, r in at.items()}
-            if any(p not in taken for p in _runs(at, words_at, min_block_words)):  # else no further line can go
-                rest = [{"pos": p, "line": r[9], "key": r[10], "words": r[8], "once": r[11], "df": r[6], "taken": p in taken, "partner_id": ids.get(taken.get(p))} for p, r in sorted(at.items())]
+            size_at = {p: (r[8], r[11]) for p, r in at.items()}
+            if any(p not in taken for p in _runs(at, size_at, least)):  # else no further line can go
+                rest = [{"pos": p, "key": r[9], "words": r[8], "once": r[10], "ends": r[11], "df": r[6], "taken": p in taken, "partner_id": ids.get(taken.get(p))} for p, r in sorted(at.items())]
                 return (*key, None, None, rest)
-            gone = _runs(taken, words_at, min_block_words)
-            return (*key, [at[p][9] for p in gone], sorted({ids[taken[p]] for p in gone if ids[taken[p]] is not None}), None) if gone else None
+            gone = _runs(taken, size_at, least)
+            return (*key, gone, sorted({ids[taken[p]] for p in gone if ids[taken[p]] is not None}), None) if gone else None
 
         key, rows = None, []
         for b in batches:
@@ -178,28 +237,35 @@ def deletions(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFr
     mine = first.where("open is not null").select("doc_id", "th", F.explode("open").alias("x")).select("doc_id", "th", "x.*")
     if mine.isEmpty():
         return settled
-    return settled.unionByName(_settle(docs, checkpointed(mine.withColumn("owner", F.expr(_OWNER))), min_block_words))
+    return settled.unionByName(_settle(docs, checkpointed(mine.withColumn("owner", F.expr(_OWNER))), least))
+
 
+def _keyed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows with one of the keys, by a broadcast of at most MAX_BROADCAST_KEYS keys or else a shuffle."""
+    return rows.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys, on, "left_semi")
 
-def _settle(docs: DataFrame, mine: DataFrame, min_words: int) -> DataFrame:
+
+def _settle(docs: DataFrame, mine: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The deletions of documents with lines left over, ``mine`` being their lines that an earlier document has.
 
-    A line left over goes if any earlier document that has it aligns it.  Those documents are tried in rounds, a few of each line first and
+    A line left over goes if any earlier document that has it aligns it, with all the lines that the two share.  Those documents are
+    tried in rounds, a few of each line first and
     eight times as many in the next, chosen by hash; only lines that are still left come to the next round, the last of which
-    has all the others.
+    has all the others.  Whole documents are read only of the partners of a round.
     """
-    keys = mine.select("key").distinct()
-    if keys.count() <= MAX_BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    holders = checkpointed(line_table(docs).join(keys, "key", "left_semi").withColumn("owner", F.expr(_OWNER)).select("key", "owner", F.col("pos").alias("other"), F.col("once").alias("other_once")).dropDuplicates(["key", "owner"]))
     left = mine.where(~F.col("taken")).select("owner", "pos", "key", "df")
+    lines = line_table(docs).withColumn("partner", F.expr(_OWNER))
+    holders = checkpointed(_keyed(lines, left.select("key").distinct(), ["key"]).select("key", "partner").distinct())
+    keys, own = checkpointed(mine.select("key").distinct()), docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     most, tried, found = left.agg(F.max("df").alias("n")).first().n, 0, None
-    theirs = holders.select("key", F.col("owner").alias("partner"))
     share = F.pmod(F.xxhash64("partner"), F.lit(1 << 31)) / F.lit(1 << 31) * F.col("df")
     while True:
         upto = tried * 8 or FIRST_TRIED
-        pairs = left.join(theirs, "key").where(F.col("partner") < F.col("owner")).where((share >= tried) & (share < upto)).select("owner", "partner").distinct()
-        points = pairs.join(mine.select("owner", "key", "pos", "once"), "owner").join(holders.withColumnRenamed("owner", "partner"), ["key", "partner"])
+        pairs = checkpointed(left.join(holders, "key").where(F.col("partner") < F.col("owner")).where((share >= tried) & (share < upto)).select("owner", "partner").distinct())
+        partners = pairs.select("partner").distinct()
+        read = _keyed(own.withColumn("partner", F.expr(_OWNER.replace("th)", "xxhash64(text) as th)"))), partners, ["partner"])
+        theirs = _keyed(line_table(read), keys, ["key"]).select("key", F.expr(_OWNER).alias("partner"), _spot("spot")["pos"].alias("other"), _spot("spot")["once"].alias("other_once")).dropDuplicates(["key", "partner"])
+        points = pairs.join(mine.select("owner", "key", "pos", "once"), "owner").join(theirs, ["key", "partner"])
         points = points.select("owner", "partner", "pos", "other", (F.col("once") & F.col("other_once")).alias("both"))
         new = checkpointed(points.groupBy("owner", "partner").applyInArrow(_align, points.select("owner", "partner", "pos").schema))
         found = new if found is None else found.unionByName(new)
@@ -211,12 +277,12 @@ def _settle(docs: DataFrame, mine: DataFrame, min_words: int) -> DataFrame:
             break
     best = found.groupBy("owner", "pos").agg(F.min("partner").alias("p"))
     rows = mine.join(best, ["owner", "pos"], "left").where("taken or p is not null")
-    rows = rows.select("doc_id", "th", "pos", "line", "words", F.when(F.col("taken"), F.col("partner_id")).otherwise(F.col("p.doc_id")).alias("partner_id"))
+    rows = rows.select("doc_id", "th", "pos", "words", "ends", F.when(F.col("taken"), F.col("partner_id")).otherwise(F.col("p.doc_id")).alias("partner_id"))
 
     def decide(group: pa.Table) -> pa.Table:
         at = {r["pos"]: r for r in group.to_pylist()}
-        gone = [at[p] for p in _runs(at, {p: r["words"] for p, r in at.items()}, min_words)]
-        out = [{"doc_id": gone[0]["doc_id"], "th": gone[0]["th"], "gone": [r["line"] for r in gone], "partners": sorted({r["partner_id"] for r in gone} - {None})}] if gone else []
+        gone = [at[p] for p in _runs(at, {p: (r["words"], r["ends"]) for p, r in at.items()}, least)]
+        out = [{"doc_id": gone[0]["doc_id"], "th": gone[0]["th"], "gone": [r["pos"] for r in gone], "partners": sorted({r["partner_id"] for r in gone} - {None})}] if gone else []
         return pa.Table.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("gone", pa.list_(pa.int32())), ("partners", pa.list_(pa.int64()))]))
 
     return rows.groupBy("doc_id", "th").applyInArrow(decide, "doc_id bigint, th bigint, gone array<int>, partners array<bigint>")
@@ -229,20 +295,39 @@ def _align(group: pa.Table) -> pa.Table:
 
 
 def _without(text: str, gone: list[int]) -> str:
-    drop = set(gone)
-    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
-
-
-def _joined(docs: DataFrame, min_block_words: int) -> DataFrame:
-    gone = deletions(docs, min_block_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"), F.col("partners").alias("_partners"))
-    return docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_th"]), "left")
-
-
-def clean(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS, drop_emptied: bool = True) -> DataFrame:
+    """``text`` without units; a line that loses all of its units goes."""
+    raw, drop, n, at, out = utf8(text), set(gone), 0, 0, []
+    for line in _marked(raw).split(b"\n"):
+        left, start, (units, _) = [], at, _units(line)
+        for k, unit in enumerate(units, n):
+            if k not in drop:
+                left.append(raw[start : start + len(unit)])
+            start += len(unit) + 1
+        n += len(units)
+        if len(left) == len(units):
+            out.append(raw[at : at + len(line)])
+        elif left:
+            out.append(b" ".join(left).rstrip())
+        at += len(line) + 1
+    return b"\n".join(out).decode("utf-8", "surrogatepass")
+
+
+def _joined(docs: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The columns of ``docs`` and then two: units to delete and partners."""
+    found = deletions(docs, least)
+    new = {c: fresh_name(docs, c) for c in found.columns}
+    gone = found.withColumnsRenamed(new)
+    same = docs["doc_id"].cast("bigint").eqNullSafe(gone[new["doc_id"]]) & (F.xxhash64(docs["text"]) == gone[new["th"]])
+    return docs.join(gone, same, "left").select(*quoted(docs), new["gone"], new["partners"])
+
+
+@any_columns
+def clean(docs: DataFrame, least: tuple[int, int] = (MIN_BLOCK_WORDS, MIN_PART_WORDS), least_left: float = LEAST_LEFT) -> DataFrame:
     """``docs``, all columns, without the blocks that an earlier document has (``n_chars`` set anew where there is one).
 
-    Documents that lose all their lines go when ``drop_emptied``; null and empty texts stay.  Repeated rows are one document
-    and get the same text each; equal texts under different ids are different documents.  An empty table stays empty.
+    Documents that are left with less than ``least_left`` of their words go; what loses nothing stays, null and empty texts too.
+    Repeated rows are one document and get the same text each; equal texts under different ids are different documents.  Documents
+    with a null id come after all others.  An empty table stays empty.
     """
     names, at = docs.columns, docs.columns.index("text")
 
@@ -251,21 +336,22 @@ def clean(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS, drop_emptied:
             gone = b.column(len(names)).to_pylist()
             cols = dict(zip(names, b.columns, strict=False))
             if any(gone):
-                texts = [_without(t, g) if g else t for t, g in zip(cols["text"].to_pylist(), gone, strict=True)]
+                old = cols["text"].to_pylist()
+                texts = [_without(t, g) if g else t for t, g in zip(old, gone, strict=True)]
                 cols["text"] = pa.array(texts, b.column(at).type)
                 if "n_chars" in cols:
                     cols["n_chars"] = pa.array([len(t) if g else n for t, g, n in zip(texts, gone, cols["n_chars"].to_pylist(), strict=True)], cols["n_chars"].type)
-                keep = pa.array([not (drop_emptied and g and not t.strip()) for t, g in zip(texts, gone, strict=True)], pa.bool_())
+                keep = pa.array([not g or len(new.split()) >= max(1, least_left * len(t.split())) for t, new, g in zip(old, texts, gone, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names).filter(keep)
             else:
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names)
 
-    return _joined(docs, min_block_words).select(*names, "_gone").mapInArrow(tidy(run), docs.schema)
+    return _joined(docs, least).drop(fresh_name(docs, "partners")).mapInArrow(tidy(run), docs.schema)
 
 
-def report(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_lines, n_deleted, deleted (line numbers from 0), partners (earlier doc_ids), n_chars_left
-    and clean_text.  Null text: no lines, and null clean_text."""
+def report(docs: DataFrame, least: tuple[int, int] = (MIN_BLOCK_WORDS, MIN_PART_WORDS)) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_lines, n_deleted, deleted (numbers of units, which are lines or sentences of them, from 0),
+    partners (earlier doc_ids), n_chars_left and clean_text.  Null text: no lines, and null clean_text.  Other cases: as ``clean``."""
     kinds = (("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_deleted", pa.int64()), ("deleted", pa.list_(pa.int32())), ("partners", pa.list_(pa.int64())), ("n_chars_left", pa.int64()), ("clean_text", pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +363,6 @@ def report(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _joined(own, min_block_words).select("doc_id", "text", "_gone", "_partners").mapInArrow(
+    return _joined(own, least).mapInArrow(
         tidy(run), "doc_id bigint, n_lines bigint, n_deleted bigint, deleted array<int>, partners array<bigint>, n_chars_left bigint, clean_text string"
     )
