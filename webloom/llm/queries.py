@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
+from webloom.session import spread
 
 from . import chat, decontam, gumbel, htmlmain, linedup, neardup, rules, shard, urlfilter, zclassify
 
@@ -15,7 +16,7 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
