@@ -8,11 +8,11 @@ from webloom.operators.actions import rank_actions
 def test_headlines_and_titles(spark):
     df = spark.createDataFrame([("best crm for the small team", "comparison"), ("what is seo", "glossary"), ("a very long keyword that goes on and on past sixty characters", "guide")], "k string, p string")
     got = df.select(C.headline(F.col("k")).alias("h"), C.headline(F.col("k"), "es").alias("es"), C.page_title(F.col("k"), F.col("p"), 2030).alias("t"), C.sections(F.col("k"), F.col("p")).alias("s"), C.schema_type(F.col("p"), F.lit("commercial")).alias("x"), C.data_requirements(F.col("p")).alias("d")).collect()
-    assert got[0].h == "Best CRM for the Small Team" and got[0].es == "Best crm for the small team" and got[1].t == "What is SEO — Definition & Examples"
-    assert got[0].t == "Best CRM for the Small Team: Compared & Reviewed (2030)" and got[2].t.endswith("...") and len(got[2].t) == 60
+    assert got[0].h == "Best CRM for the Small Team" and got[0].es == "Best crm for the small team" and got[1].t == "What is SEO: meaning and use"
+    assert got[0].t == "Best CRM for the Small Team side by side (2030)" and got[2].t.endswith("...") and len(got[2].t) == 60
     assert len(got[0].s) == 6 and got[0].x == "ItemList" and "pricing_tiers" in got[0].d and len(got[2].s) == 4
     m = df.select(C.meta_description(F.lit("crm"), F.lit("commercial")).alias("m"), C.suggested_title(F.lit("crm tools"), F.lit("commercial"), F.lit(False), F.lit(True), 2030).alias("t"), C.target_words(F.col("p"), F.lit("x")).alias("w")).first()
-    assert m.m.startswith("Compare options for crm.") and m.t == "CRM Tools: Compared (2030)" and m.w == 1400
+    assert m.m.startswith("Which crm suits you?") and m.t == "CRM Tools side by side (2030)" and m.w == 1400
 
 
 def test_insight_actions(spark):
@@ -51,4 +51,4 @@ def test_other_actions(spark):
 def test_outline(spark):
     df = spark.createDataFrame([(["Pricing of tools"], ["what is crm?"], ["pricing", "free trial"])], "s array<string>, q array<string>, t array<string>")
     rows = df.select(V.outline(F.lit("crm tools"), F.lit("commercial"), F.col("s"), F.col("q"), F.col("t")).alias("o")).first().o
-    assert [(r.level, r.heading) for r in rows] == [(1, "CRM Tools"), (2, "CRM Tools: Quick Answer"), (2, "Pricing of tools"), (2, "Free Trial"), (2, "Frequently asked questions"), (3, "what is crm?"), (2, "Which option should you choose?")]
+    assert [(r.level, r.heading) for r in rows] == [(1, "CRM Tools"), (2, "CRM Tools in short"), (2, "Pricing of tools"), (2, "Free Trial"), (2, "Questions people ask"), (3, "what is crm?"), (2, "Which option should you choose?")]

@@ -256,23 +256,21 @@ def expand_captured(seeds: DataFrame, captured: DataFrame, year: int, strategies
     return found.unionByName(more)
 
 
-#: What makes a commercial cluster want a list of the best.
+# What makes a commercial cluster want a list of the best; page formats by words in a cluster's head, the first that fits;
+# formats by intent for heads without such words.
 LISTICLE = r"\b(best|top|reviews?)\b"
+FORMATS = {
+    "comparison": "vs|versus|compared to|alternative|alternatives|competitor", "glossary": "what is|definition|meaning|glossary|terminology", "tool": "calculator|generator|converter|checker|tool|template",
+    "guide": "how to|guide|tutorial|step by step|checklist", "product": "buy|price|pricing|cost|for sale|shop|order",
+}
+BY_INTENT = {"transactional": "landing-page", "navigational": "landing-page", "commercial": "landing-page"}
+ASKED = 0.6
 
 
 def page_type(head: Column, intent: Column, all_text: Column, question_share: Column) -> Column:
-    """Page format for a keyword cluster: by patterns in its head, then by intent."""
-    k = F.lower(head)
-    by_intent = (
-        F.when(intent.isin("transactional", "navigational"), "landing-page")
-        .when(intent == "commercial", F.when(F.lower(all_text).rlike(LISTICLE), "comparison").otherwise("landing-page"))
-        .otherwise(F.when(question_share > 0.6, "guide").otherwise("blog-post"))
-    )
-    return (
-        F.when(k.rlike(r"\b(vs|versus|compared to|alternative|alternatives|competitor)\b"), "comparison")
-        .when(k.rlike(r"\b(what is|definition|meaning|glossary|terminology)\b"), "glossary")
-        .when(k.rlike(r"\b(calculator|generator|converter|checker|tool|template)\b"), "tool")
-        .when(k.rlike(r"\b(how to|guide|tutorial|step by step|checklist)\b"), "guide")
-        .when(k.rlike(r"\b(buy|price|pricing|cost|for sale|shop|order)\b"), "product")
-        .otherwise(by_intent)
-    )
+    """Page format for a keyword cluster: by the words of its head, else by intent, where clusters for a list of the best are
+    comparisons and informational ones guides if mostly questions."""
+    named = [F.when(F.lower(head).rlike(rf"\b({words})\b"), F.lit(kind)) for kind, words in FORMATS.items()]
+    listed = F.when((intent == "commercial") & F.lower(all_text).rlike(LISTICLE), "comparison")
+    by_intent = F.element_at(F.create_map(*[F.lit(x) for pair in BY_INTENT.items() for x in pair]), intent)
+    return F.coalesce(*named, listed, by_intent, F.when(question_share > ASKED, "guide").otherwise("blog-post"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from webloom.functions.mathx import clamp, js_round
 from webloom.functions.text import content_tokens, stem_all, stem_set, tokens
 from webloom.functions.url import slash_key
-from webloom.operators.similarity import checkpointed, count_phrase
+from webloom.operators.similarity import LOCAL_EDGES, checkpointed, count_phrase
 
 
 def page_edges(pages: DataFrame, follow_only: bool = True) -> DataFrame:
@@ -17,28 +19,53 @@ def page_edges(pages: DataFrame, follow_only: bool = True) -> DataFrame:
     return e.select("src", slash_key(F.col("l.url")).alias("dst")).where("src <> dst").distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 40, damping: float = 0.85, every: int = 5) -> DataFrame:
+def _rank_in_one_task(linked: DataFrame, n: int, iterations: int, damping: float) -> DataFrame:
+    """(node, r) of the nodes with links; all others have the value of ``node`` null."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        parts = [(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches]
+        src, dst = [x for p in parts for x in p[0]], [x for p in parts for x in p[1]]
+        names = sorted({*src, *dst})
+        at = {x: k for k, x in enumerate(names)}
+        s, d = (np.array([at[x] for x in side], np.int64) for side in (src, dst))
+        degree = np.bincount(s, minlength=len(names)).astype(float)
+        r, rest, idle = np.full(len(names), 1.0 / n), 1.0 / n, n - len(names)  # ``rest``: of each node without any link
+        for _ in range(iterations):
+            lost = float(r[degree == 0].sum()) + rest * idle
+            base = (1 - damping) / n + damping * lost / n
+            got = np.bincount(d, weights=r[s] / degree[s], minlength=len(names)) if len(s) else r
+            r, rest = base + damping * got, base
+        yield pa.RecordBatch.from_arrays([pa.array([*names, None], pa.string()), pa.array([*r.tolist(), rest], pa.float64())], ["node", "r"])
+
+    return linked.select(F.col("src").cast("string"), F.col("dst").cast("string")).coalesce(1).mapInArrow(run, "node string, r double")
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 40, damping: float = 0.85, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, page_rank) scaled to 100 for the highest, of ``nodes(node)`` and ``edges(src, dst)``.
 
-    A fixed number of iterations; the mass of nodes without links is spread evenly.  One join and one aggregation per iteration;
-    lineage is cut every few iterations, in the shared checkpoint folder.
+    A fixed number of iterations; the mass of nodes without links is spread evenly.  Up to ``local_edges`` edges go through one task.  More
+    take one join and one aggregation per iteration, after each of which the ranks are checkpointed, so plans stay flat.
     """
     nodes = nodes.select("node").where("node is not null").distinct()
     inside = edges.where("src <> dst").select("src", "dst").distinct().join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    degree = inside.groupBy("src").agg(F.count("*").alias("degree"))
-    n = nodes.count()
+    inside, n = checkpointed(inside), nodes.count()
     if not n:
         return nodes.withColumn("page_rank", F.lit(0.0))
-    linked = checkpointed(inside.join(degree, "src"))
-    state = checkpointed(nodes.join(degree.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("degree").isNull().alias("dangling"), F.lit(1.0 / n).alias("r")))
-    for k in range(1, iterations + 1):
-        lost = state.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0)).alias("lost"))
-        got = linked.join(state.select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") / F.col("degree")).alias("got"))
-        mixed = state.select("node", "dangling").join(got, "node", "left").crossJoin(F.broadcast(lost))  # one row
-        r = (1 - damping) / n + F.lit(damping) * F.col("lost") / n + F.lit(damping) * F.coalesce("got", F.lit(0.0))
-        state = mixed.select("node", "dangling", r.alias("r"))
-        if k % every == 0:
-            state = checkpointed(state)
+    if inside.count() <= local_edges:
+        got = checkpointed(_rank_in_one_task(inside, n, iterations, damping))
+        rest = F.broadcast(got.where("node is null").select(F.col("r").alias("rest")))  # one row
+        own = got.where("node is not null").select(F.col("node").alias("name"), "r")
+        state = nodes.join(own, F.col("node").cast("string") == F.col("name"), "left").crossJoin(rest).select("node", F.coalesce("r", "rest").alias("r"))
+    else:
+        degree = inside.groupBy("src").agg(F.count("*").alias("degree"))
+        linked = checkpointed(inside.join(degree, "src"))
+        state = checkpointed(nodes.join(degree.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("degree").isNull().alias("dangling"), F.lit(1.0 / n).alias("r")))
+        for _ in range(iterations):
+            lost = state.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0)).alias("lost"))
+            got = linked.join(state.select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") / F.col("degree")).alias("got"))
+            mixed = state.select("node", "dangling").join(got, "node", "left").crossJoin(F.broadcast(lost))  # one row
+            r = (1 - damping) / n + F.lit(damping) * F.col("lost") / n + F.lit(damping) * F.coalesce("got", F.lit(0.0))
+            state = checkpointed(mixed.select("node", "dangling", r.alias("r")))
     top = state.agg(F.max("r").alias("top"))
     return state.crossJoin(F.broadcast(top)).select("node", js_round(F.when(F.col("top") > 0, F.col("r") / F.col("top")).otherwise(0.0) * 100, 2).alias("page_rank"))
 

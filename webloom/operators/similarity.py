@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from webloom.functions.text import STOPWORDS, jaccard, stem_set, tokens
+from webloom.functions.text import STOPWORDS, jaccard, stem_set, stems, tokens
+
+#: Edges that one task scans (16 MB), and tokens whose numbers go to the tasks as a table (some 50 MB).
+LOCAL_EDGES, MAX_TOKENS = 1_000_000, 500_000
+#: Fixed value: bits in which simhashes of documents worth comparing differ at most.
+SIMHASH_DISTANCE = 28
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -27,6 +34,28 @@ def token_sets(docs: DataFrame, min_tokens: int = 50) -> DataFrame:
     return docs.where(F.size(tokens(F.col("text"))) >= min_tokens).select("doc_id", stem_set(F.col("text")).alias("tokens"))
 
 
+def _rarest_first(marked: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, n, t): of each set of ``marked(doc_id, tokens)`` its size and all but ceil(threshold * size) - 1 of its tokens, the rarest.
+
+    The numbers of sets that hold a token go to the tasks as a table if they are at most MAX_TOKENS; else they are joined.
+    """
+    long = marked.select("doc_id", F.explode("tokens").alias("t"))
+    df = checkpointed(long.groupBy("t").agg(F.count("*").alias("df")))
+    size = F.size("s")
+    if df.count() > MAX_TOKENS:
+        ordered = long.join(df, "t").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+        listed = ordered.select("doc_id", size.alias("n"), F.explode(F.slice("s", 1, size - F.ceil(size * threshold - 1e-9).cast("int") + 1)).alias("x"))
+        return listed.select("doc_id", "n", F.col("x.t").alias("t"))
+    table = marked.sparkSession.sparkContext.broadcast({r.t: r.df for r in df.toLocalIterator()})  # at most MAX_TOKENS
+
+    @F.pandas_udf("array<string>")
+    def head(tokens: pd.Series) -> pd.Series:
+        many = table.value
+        return tokens.map(lambda ts: sorted(ts, key=lambda t: (many[t], t))[: len(ts) - math.ceil(len(ts) * threshold - 1e-9) + 1])
+
+    return marked.select("doc_id", F.size("tokens").alias("n"), F.explode(head("tokens")).alias("t"))
+
+
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) for a < b with Jaccard >= threshold > 0, exact.
 
@@ -34,11 +63,7 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     agree within the threshold.  Empty sets are equal to each other and similar to nothing else.
     """
     marked = sets.withColumn("tokens", F.when(F.size("tokens") == 0, F.array(F.lit(""))).otherwise(F.col("tokens")))
-    long = marked.select("doc_id", F.explode("tokens").alias("t"))
-    df = long.groupBy("t").agg(F.count("*").alias("df"))
-    ordered = long.join(df, "t").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
-    size = F.size("s")
-    listed = ordered.select("doc_id", size.alias("n"), F.explode(F.slice("s", 1, size - F.ceil(size * threshold - 1e-9).cast("int") + 1)).alias("x")).select("doc_id", "n", F.col("x.t").alias("t"))
+    listed = _rarest_first(marked, threshold)
     near = (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
     pairs = listed.alias("a").join(listed.alias("b"), "t").where((F.col("a.doc_id") < F.col("b.doc_id")) & near).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
     side = lambda x: marked.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"t{x}"))
@@ -46,19 +71,62 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def hamming_distance(a: Column, b: Column) -> Column:
+    """Bits in which two 64-bit hashes differ."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def simhash_pairs(docs: DataFrame, threshold: float, max_distance: int = SIMHASH_DISTANCE) -> DataFrame:
+    """``similar_pairs`` of ``docs(doc_id, text)`` of which the simhashes differ in at most ``max_distance`` bits: the cheaper, not exact
+    mode for many documents."""
+    own = docs.select("doc_id", stems(F.col("text")).alias("w"))
+    hashes = checkpointed(own.select("doc_id", simhash("w").alias("h")))
+    pairs = similar_pairs(own.select("doc_id", F.array_distinct("w").alias("tokens")), threshold)
+    side = lambda x: hashes.select(F.col("doc_id").alias(x), F.col("h").alias(f"h{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(hamming_distance(F.col("ha"), F.col("hb")) <= max_distance).select("a", "b", "similarity")
+
+
 def classes_of(sets: DataFrame) -> DataFrame:
     """``sets`` with ``class``: the least doc_id with the same token set; copies need no pairs among themselves."""
     key = F.sort_array("tokens")
     return sets.join(sets.groupBy(key.alias("k")).agg(F.min("doc_id").alias("class")), F.sort_array("tokens") == F.col("k")).drop("k")
 
 
-def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _scan(edges: DataFrame) -> DataFrame:
+    """(node, leader) of the nodes of at most LOCAL_EDGES edges, by the sequential scan in one task.  Nodes may be structs."""
+    plain = lambda x: tuple(x.values()) if isinstance(x, dict) else x
+
+    def run(batches):  # noqa: ANN001, ANN202
+        earlier: dict = {}
+        kind = None
+        for b in batches:
+            kind = b.schema.field(0).type
+            for x, y in zip(map(plain, b.column(0).to_pylist()), map(plain, b.column(1).to_pylist()), strict=True):
+                earlier.setdefault(x, set())
+                earlier.setdefault(y, set()).add(x)
+        lead: dict = {}
+        for node in sorted(earlier):
+            lead[node] = min((x for x in earlier[node] if lead[x] == x), default=node)
+        if lead:
+            whole = lambda xs: [dict(zip([f.name for f in kind], x, strict=True)) for x in xs] if pa.types.is_struct(kind) else list(xs)
+            yield pa.RecordBatch.from_arrays([pa.array(whole(lead), kind), pa.array(whole(lead.values()), kind)], ["node", "leader"])
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, f"node {kind}, leader {kind}")
+
+
+def leaders(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Greedy leader clustering: ``(node, leader)`` for ``nodes(node)`` and ``edges(a, b)`` in which an earlier ``a`` may claim ``b``.
 
     The sequential scan (each unclaimed node becomes a leader and claims its later neighbours) gives the lexicographically first
-    independent set.  It is computed in rounds: nodes without an undecided earlier neighbour lead, their neighbours are claimed.
+    independent set.  Up to ``local_edges`` edges one task scans them.  More are worked off in rounds: nodes without an undecided earlier
+    neighbour lead, their neighbours are claimed.  Both give the same.
     """
     live, lead = checkpointed(edges.select("a", "b").distinct()), None
+    if live.count() <= local_edges:
+        own = _scan(live)
+        alone = nodes.select("node").distinct().join(live.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_anti")
+        return own.unionByName(alone.select("node", F.col("node").alias("leader")))
     open_nodes = checkpointed(nodes.select("node").distinct())
     all_edges = live
     while not open_nodes.isEmpty():
@@ -103,7 +171,7 @@ def _match(hay: list[str], needle: list[str], start: int) -> int:
 _STOP = frozenset(STOPWORDS)
 
 
-def _count(hay: list[str], needle: list[str]) -> int:
+def phrase_count(hay: list[str], needle: list[str]) -> int:
     if not needle:
         return 0
     n = i = 0
@@ -116,7 +184,7 @@ def _count(hay: list[str], needle: list[str]) -> int:
 @F.pandas_udf(LongType())
 def count_phrase(hay: pd.Series, needle: pd.Series) -> pd.Series:
     """How often a phrase (stemmed content tokens) occurs in a text (stemmed tokens), without overlaps."""
-    return pd.Series([_count(list(h), list(n)) for h, n in zip(hay, needle, strict=True)])
+    return pd.Series([phrase_count(list(h), list(n)) for h, n in zip(hay, needle, strict=True)])
 
 
 def hash64(text: str) -> int:

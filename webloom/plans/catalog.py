@@ -275,7 +275,7 @@ def trend_12m(spark, sf):
 @query(f"""WITH t AS (SELECT doc_id, {T.sql_tokens('text')} AS w, {T.sql_stems('text')} AS s FROM documents)
 SELECT doc_id, len(w)::INT AS n_tokens, len(s)::INT AS n_content, len(list_distinct(s))::INT AS n_stems, md5(array_to_string(s, ' ')) AS stems_md5 FROM t""")
 def tokenize_stats(spark, sf):
-    d = A.table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"), T.stems(F.col("text")).alias("s"))
+    d = A.texts(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"), T.stems(F.col("text")).alias("s"))
     return d.select("doc_id", F.size("w").alias("n_tokens"), F.size("s").alias("n_content"), F.size(F.array_distinct("s")).alias("n_stems"), F.md5(F.array_join("s", " ")).alias("stems_md5"))
 
 
@@ -292,7 +292,7 @@ SELECT doc_id, words, sentences, {r('wps', 1)} AS avg_words, {r('spw', 2)} AS av
 
 @query(_SQL_READABILITY)
 def readability(spark, sf):
-    return content.readability(A.table(spark, sf, "documents"))
+    return content.readability(A.texts(spark, sf, "documents"))
 
 
 _SQL_TERMS = f"""d AS (SELECT doc_id, {T.sql_content('text')} AS w FROM documents),
@@ -303,7 +303,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC,
 
 @query(f"WITH {_SQL_TERMS} SELECT doc_id, term, n, score FROM ranked WHERE k <= 40")
 def doc_terms_topk(spark, sf):
-    return content.terms(A.table(spark, sf, "documents"), 40).drop("rank")
+    return content.terms(A.texts(spark, sf, "documents"), 40).drop("rank")
 
 
 @query(f"""WITH {_SQL_TERMS},
@@ -313,39 +313,68 @@ need AS (SELECT lang, greatest(2, ceil(count(*) * 0.5::DOUBLE)) AS need FROM doc
 t AS (SELECT lang, term, count(*) AS document_frequency, {r('avg(n)', 1)} AS avg_count FROM one JOIN documents USING (doc_id) GROUP BY 1, 2)
 SELECT lang, term, document_frequency, avg_count FROM (SELECT t.*, row_number() OVER (PARTITION BY lang ORDER BY document_frequency DESC, avg_count DESC, term) AS i FROM t JOIN need USING (lang) WHERE document_frequency >= need) WHERE i <= 40""")
 def competitive_terms(spark, sf):
-    return content.competitive_terms(A.table(spark, sf, "documents"), "lang")
+    return content.competitive_terms(A.texts(spark, sf, "documents"), "lang")
 
 
 @query(f"""WITH s AS (SELECT list_distinct({T.sql_stems('text')}) AS t FROM documents), k AS (SELECT t FROM s WHERE len(t) > 0), n AS (SELECT count(*) AS n FROM k), x AS (SELECT unnest(t) AS token FROM k)
 SELECT token, count(*) AS df, {r('ln(max(n)::DOUBLE / count(*))', 6)} AS idf, count(*) >= max(n) * 0.6::DOUBLE AS background FROM x, n GROUP BY token""")
 def idf_background(spark, sf):
-    return content.idf(A.table(spark, sf, "documents")).withColumn("idf", js_round(F.col("idf"), 6))
+    return content.idf(A.texts(spark, sf, "documents")).withColumn("idf", js_round(F.col("idf"), 6))
 
 
 @query(f"""WITH s AS (SELECT doc_id, list_distinct({T.sql_stems('text')}) AS t FROM documents), n AS (SELECT count(*) AS n FROM s), x AS (SELECT doc_id, unnest(t) AS token FROM s), f AS (SELECT token, count(*) AS df FROM x GROUP BY 1),
 e AS (SELECT doc_id, avg((df < n * 0.8::DOUBLE)::INT) AS u FROM x JOIN f USING (token), n GROUP BY doc_id)
 SELECT max(n) AS documents, {r('sum(u) / max(n) * 100', 1)} AS uniqueness FROM e, n""")
 def vocab_uniqueness(spark, sf):
-    return content.vocabulary_uniqueness(A.table(spark, sf, "documents"))
+    return content.vocabulary_uniqueness(A.texts(spark, sf, "documents"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, list_sort(list_distinct({T.sql_stems('text')})) AS t FROM documents WHERE len({T.sql_tokens('text')}) >= 50), c AS (SELECT t, min(doc_id) AS id FROM s GROUP BY t),
-x AS (SELECT id, len(t) AS n, unnest(t) AS token FROM c),
-p AS (SELECT a.id AS a, b.id AS b, count(*) AS o, max(a.n) AS na, max(b.n) AS nb FROM x a JOIN x b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2)
-SELECT a, b, {r('o::DOUBLE / (na + nb - o)', 6)} AS similarity FROM p WHERE o::DOUBLE / (na + nb - o) >= 0.85""")
-def near_dup_pairs(spark, sf):
-    sets = N.classes_of(N.token_sets(A.table(spark, sf, "documents"))).where("doc_id = class").select("doc_id", "tokens")
-    return N.similar_pairs(sets, 0.85).withColumn("similarity", js_round(F.col("similarity"), 6))
+def _sql_pairs(source: str, threshold: float, least: int) -> str:
+    """``c``: ids, token sets and classes of equal sets of ``source(id, text)``; ``p``: similar pairs of classes."""
+    return f"""c AS MATERIALIZED (SELECT id, t, min(id) OVER (PARTITION BY t) AS class FROM (SELECT id, list_sort(list_distinct({T.sql_stems('text')})) AS t FROM ({source}) WHERE len({T.sql_tokens('text')}) >= {least})),
+x AS MATERIALIZED (SELECT DISTINCT class, len(t) AS n, unnest(t) AS token FROM c WHERE id = class),
+p AS MATERIALIZED (SELECT a, b, o::DOUBLE / (na + nb - o) AS similarity FROM (SELECT a.class AS a, b.class AS b, count(*) AS o, max(a.n) AS na, max(b.n) AS nb FROM x a JOIN x b ON a.token = b.token AND a.class < b.class GROUP BY 1, 2) WHERE o::DOUBLE / (na + nb - o) >= {threshold})"""
 
 
-@query()
-def near_dup_clusters(spark, sf):
-    return N.near_dup_clusters(A.table(spark, sf, "documents").select("doc_id", "text"))
+def _sql_clusters(source: str, threshold: float, least: int = 50) -> str:
+    """And ``clusters``: the scan that makes each unclaimed node a leader which claims its later neighbours, node by node.  Needs RECURSIVE."""
+    return f"""{_sql_pairs(source, threshold, least)},
+nodes_in_order AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS i, (SELECT list(a) FROM p WHERE b = id) AS earlier FROM (SELECT a AS id FROM p UNION SELECT b FROM p)),
+scan(i, lead) AS (SELECT 0::BIGINT, [(SELECT min(id) FROM c)][:0] UNION ALL SELECT n.i, CASE WHEN list_has_any(lead, coalesce(earlier, [])) THEN lead ELSE list_append(lead, id) END FROM scan s JOIN nodes_in_order n ON n.i = s.i + 1),
+lead AS MATERIALIZED (SELECT unnest(arg_max(lead, i)) AS id FROM scan),
+led AS (SELECT n.id AS class, CASE WHEN n.id IN (SELECT id FROM lead) THEN n.id ELSE (SELECT min(a) FROM p WHERE b = n.id AND a IN (SELECT id FROM lead)) END AS leader FROM nodes_in_order n),
+member AS MATERIALIZED (SELECT c.id, coalesce(leader, class) AS leader, CASE WHEN coalesce(leader, class) = class THEN 1::DOUBLE ELSE similarity END AS similarity FROM c LEFT JOIN led USING (class) LEFT JOIN p ON a = leader AND b = class),
+clusters AS MATERIALIZED (SELECT id, leader, size, floor(s * 1000 + 0.5::DOUBLE) / 1000 AS similarity FROM member JOIN (SELECT leader, count(*) AS size, max(similarity) FILTER (id <> leader) AS s FROM member GROUP BY leader HAVING count(*) >= 2) USING (leader))"""
 
 
-@query()
+_SQL_DOCS = "SELECT doc_id AS id, text FROM documents"
+
+
+@query(f"""WITH {_sql_pairs(_SQL_DOCS, 0.85, 50)}
+SELECT a, b, {r('similarity', 6)} AS similarity, 'pair' AS kind FROM p UNION ALL SELECT class, id, 1, 'copy' FROM c WHERE id <> class""")
+def near_dup_pairs(spark, sf):
+    """Pairs of class representatives, and the members of the classes."""
+    sets = N.checkpointed(N.classes_of(N.token_sets(A.texts(spark, sf, "documents"))))
+    pairs = N.similar_pairs(sets.where("doc_id = class").select("doc_id", "tokens"), 0.85).select("a", "b", js_round(F.col("similarity"), 6).alias("similarity"), F.lit("pair").alias("kind"))
+    return pairs.unionByName(sets.where("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind")))
+
+
+@query(f"WITH RECURSIVE {_sql_clusters(_SQL_DOCS, 0.85)} SELECT id AS doc_id, leader, size, similarity FROM clusters")
+def near_dup_clusters(spark, sf):
+    return N.near_dup_clusters(A.texts(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query(f"""WITH RECURSIVE {_sql_clusters(_SQL_DOCS, 0.75, 40)},
+d AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, source, {T.sql_content('text')} AS w, list_distinct({T.sql_stems('text')}) AS t FROM documents),
+z AS (SELECT count(*) AS pages, count(*) FILTER (len(w) < 300) AS thin_pages, (SELECT count(*) FROM clusters) AS clustered, (SELECT count(DISTINCT leader) FROM clusters) AS clusters,
+  (SELECT count(*) FROM (SELECT lower(trim(title, ' ')) AS k FROM d GROUP BY 1 HAVING count(*) > 1 AND k <> '')) AS duplicate_titles, (SELECT count(*) FROM (SELECT lower(trim(source, ' ')) AS k FROM d GROUP BY 1 HAVING count(*) > 1 AND k <> '')) AS duplicate_meta_descriptions FROM d),
+xs AS (SELECT doc_id, unnest(t) AS token FROM d), df AS (SELECT token, count(*) AS df FROM xs GROUP BY 1),
+u AS (SELECT doc_id, avg((df < pages * 0.8::DOUBLE)::INT) AS u FROM xs JOIN df USING (token), z GROUP BY 1),
+y AS (SELECT z.*, {r('(SELECT coalesce(sum(u), 0) FROM u) / pages * 100', 1)} AS uniqueness FROM z),
+k AS (SELECT *, {r('least(100, greatest(0, thin_pages::DOUBLE / pages * 45 + clustered::DOUBLE / pages * 50 + duplicate_titles::DOUBLE / pages * 25 + least(35, greatest(0, (80 - uniqueness) * 0.9::DOUBLE)) + CASE WHEN pages > 200 AND (thin_pages > pages * 0.2::DOUBLE OR clustered > pages * 0.2::DOUBLE) THEN 12 ELSE 0 END))', 1)} AS risk_score FROM y)
+SELECT *, CASE WHEN risk_score >= 55 THEN 'do_not_publish' WHEN risk_score >= 28 THEN 'risky' ELSE 'safe' END AS verdict FROM k""")
 def index_risk_summary(spark, sf):
-    d = A.table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text", F.col("source").alias("meta_description"))
+    d = A.texts(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text", F.col("source").alias("meta_description"))
     return content.index_risk(d)
 
 
@@ -353,7 +382,7 @@ def index_risk_summary(spark, sf):
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return read_pages(A.table(spark, sf, "pages").select("url", "html"))
+    return read_pages(A.texts(spark, sf, "pages").select("url", "html"))
 
 
 @query("""WITH p AS (SELECT url, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)
@@ -371,13 +400,13 @@ def page_links(spark, sf):
 SELECT k AS key, count(*) AS n FROM p WHERE k <> '' GROUP BY k HAVING count(*) > 1""")
 def dup_titles(spark, sf):
     title = F.lower(F.trim(F.regexp_replace(F.regexp_extract("html", r"<title>([^<]*)</title>", 1), r"\s+", " ")))
-    return content.duplicate_groups(A.table(spark, sf, "pages").select(title.alias("title")), "title")
+    return content.duplicate_groups(A.texts(spark, sf, "pages").select(title.alias("title")), "title")
 
 
-def _audit(spark: SparkSession, sf: str, duplicates: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The findings and the pages; the SQL of audit_issues, audit_by_rule and health_score has no content comparison."""
+def _audit(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The findings of all rules, and the pages."""
     p = N.checkpointed(_pages(spark, sf))
-    return audit.run_audit(audit.Crawl(p, origin="https://example.com"), duplicates=duplicates), p
+    return audit.run_audit(audit.Crawl(p, origin="https://example.com")), p
 
 
 _SQL_AUDIT = f"""pg AS (SELECT url, strlen(html)::BIGINT AS bytes, regexp_replace(regexp_replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&amp;', '&', 'g'), '&lt;', '<', 'g') AS title,
@@ -385,7 +414,8 @@ _SQL_AUDIT = f"""pg AS (SELECT url, strlen(html)::BIGINT AS bytes, regexp_replac
   replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g'), '&amp;', '&') AS art,
   replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<nav>.*?</nav>|<footer>.*?(</footer>|$)|<!--.*?-->', '', 'g'), '(?s)<script>.*?</script>', '', 'g'), '<[^>]*>', '', 'g'), '&amp;', '&') AS bod FROM pages),
 tx AS (SELECT *, CASE WHEN len({T.sql_tokens('art')}) >= 50 THEN trim(art) ELSE trim(bod) END AS text FROM pg),
-wc AS (SELECT *, len({T.sql_tokens('text')}) AS words, length(title) AS tl FROM tx),
+wc AS MATERIALIZED (SELECT *, len({T.sql_tokens('text')}) AS words, length(title) AS tl FROM tx),
+{_sql_clusters('SELECT url AS id, text FROM wc WHERE words >= 100', 0.85)},
 iss AS (
   SELECT 'canonical.missing' AS rule, 'warning' AS severity, url FROM wc UNION ALL SELECT 'meta_description.missing', 'warning', url FROM wc UNION ALL SELECT 'social.missing_og', 'notice', url FROM wc
   UNION ALL SELECT 'title.missing', 'error', url FROM wc WHERE title = '' UNION ALL SELECT 'title.too_long', 'warning', url FROM wc WHERE tl > 60 UNION ALL SELECT 'title.too_short', 'notice', url FROM wc WHERE tl BETWEEN 1 AND 19
@@ -393,20 +423,21 @@ iss AS (
   UNION ALL SELECT 'content.low_text_ratio', 'notice', url FROM wc WHERE bytes >= 20000 AND words > 0 AND length(text)::DOUBLE / bytes < 0.08 UNION ALL SELECT 'schema.missing', 'notice', url FROM wc WHERE words > 200
   UNION ALL SELECT 'title.duplicate', 'error', url FROM (SELECT url, title, count(*) OVER (PARTITION BY lower(title)) AS n FROM wc) WHERE n > 1 AND title <> ''
   UNION ALL SELECT 'h1.duplicate', 'warning', url FROM (SELECT url, h1, count(*) OVER (PARTITION BY lower(h1)) AS n FROM wc) WHERE n > 1 AND h1 <> ''
+  UNION ALL SELECT 'content.duplicate', 'error', id FROM clusters
   UNION ALL SELECT 'sitemap.missing', 'warning', 'https://example.com')"""
 
 
-@query(f"WITH {_SQL_AUDIT} SELECT rule, severity, url FROM iss")
+@query(f"WITH RECURSIVE {_SQL_AUDIT} SELECT rule, severity, url FROM iss")
 def audit_issues(spark, sf):
     return _audit(spark, sf)[0].select("rule", "severity", "url")
 
 
-@query(f"WITH {_SQL_AUDIT}, w AS (SELECT *, CASE severity WHEN 'error' THEN 10 WHEN 'warning' THEN 3 ELSE 1 END AS k FROM iss) SELECT rule, arg_max(severity, k) AS severity, count(*) AS n FROM w GROUP BY rule")
+@query(f"WITH RECURSIVE {_SQL_AUDIT}, w AS (SELECT *, CASE severity WHEN 'error' THEN 10 WHEN 'warning' THEN 3 ELSE 1 END AS k FROM iss) SELECT rule, arg_max(severity, k) AS severity, count(*) AS n FROM w GROUP BY rule")
 def audit_by_rule(spark, sf):
     return audit.by_rule(_audit(spark, sf)[0])
 
 
-@query(f"""WITH {_SQL_AUDIT}, s AS (SELECT count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'notice') AS n, count(*) FILTER (rule = 'sitemap.missing') AS site, (SELECT count(*) FROM pages) AS p FROM iss)
+@query(f"""WITH RECURSIVE {_SQL_AUDIT}, s AS (SELECT count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'notice') AS n, count(*) FILTER (rule = 'sitemap.missing') AS site, (SELECT count(*) FROM pages) AS p FROM iss)
 SELECT p AS pages, e AS errors, w AS warnings, n AS notices, {r('least(100, greatest(0, exp(-(greatest(0, e * 10 + w * 3 + least(n, greatest(p, 8) * 2.5::DOUBLE) - site * 3) / greatest(p, 8)) / 8.5::DOUBLE) * 100 - site * 4))', 1)} AS health_score FROM s""")
 def health_score(spark, sf):
     return audit.health_score(*_audit(spark, sf))
@@ -414,7 +445,7 @@ def health_score(spark, sf):
 
 @query()
 def audit_actions(spark, sf):
-    return audit.issues_to_actions(*_audit(spark, sf, duplicates=True)).withColumn("score", action_score())
+    return audit.issues_to_actions(*_audit(spark, sf)).withColumn("score", action_score())
 
 
 @query(f"""WITH p AS (SELECT o_orderkey, CASE o_orderpriority[1:1] WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'low' END AS priority, (o_orderkey % 101)::DOUBLE AS impact, CASE o_orderkey % 4 WHEN 0 THEN 'trivial' WHEN 1 THEN 'small' WHEN 2 THEN 'medium' ELSE 'large' END AS effort FROM orders)
@@ -436,14 +467,14 @@ _DROP = ", ".join(f"'{x}'" for x in sorted(U.TRACKING))
 q AS (SELECT page_id, url, x[1] AS base, list_sort(list_filter(string_split(coalesce(x[2], ''), '&'), lambda y: y <> '' AND lower(string_split(y, '=')[1]) NOT IN ({_DROP}))) AS l FROM p)
 SELECT page_id, base || CASE WHEN len(l) > 0 THEN '?' || array_to_string(l, '&') ELSE '' END AS normalized, regexp_replace(regexp_replace(url, '#.*$', ''), '/+(\\?|$)', '\\1') AS slash_key FROM q""")
 def url_normalize(spark, sf):
-    return A.table(spark, sf, "pages").select("page_id", U.normalize_url(F.col("url"), F.lit(None).cast("string")).alias("normalized"), U.slash_key(F.col("url")).alias("slash_key"))
+    return A.texts(spark, sf, "pages").select("page_id", U.normalize_url(F.col("url"), F.lit(None).cast("string")).alias("normalized"), U.slash_key(F.col("url")).alias("slash_key"))
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(lower(url), '^https?://([^/?#:]+)', 1) AS host FROM pages)
 SELECT page_id, host, array_to_string(string_split(regexp_replace(host, '^www\\.', ''), '.')[-2:], '.') AS domain FROM p""")
 def registrable_domain(spark, sf):
     host = U.hostname(F.col("url"))
-    return A.table(spark, sf, "pages").select("page_id", host.alias("host"), U.registrable_domain(host).alias("domain"))
+    return A.texts(spark, sf, "pages").select("page_id", host.alias("host"), U.registrable_domain(host).alias("domain"))
 
 
 @query(f"WITH {A.SQL_GRAPH} SELECT dst AS url, count(*) AS inbound FROM edges GROUP BY dst")
@@ -451,7 +482,7 @@ def inbound_links(spark, sf):
     return A.graph(spark, sf)[1].groupBy(F.col("dst").alias("url")).agg(F.count("*").alias("inbound"))
 
 
-def _sql_pagerank(n: int = 10) -> str:
+def _sql_pagerank(n: int = 40) -> str:
     steps = ["r0 AS (SELECT node, 1::DOUBLE / (SELECT count(*) FROM nodes) AS r FROM nodes)"]
     for k in range(n):
         steps.append(f"""g{k + 1} AS (SELECT dst AS node, sum(r / d) AS g FROM inside JOIN r{k} ON node = src JOIN deg USING (src) GROUP BY dst),
@@ -461,7 +492,7 @@ r{k + 1} AS (SELECT n.node, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + 0.85::
 
 @query(_sql_pagerank())
 def pagerank(spark, sf):
-    return linkgraph.pagerank(*A.graph(spark, sf), iterations=10)
+    return linkgraph.pagerank(*A.graph(spark, sf))
 
 
 @query(f"""WITH {A.SQL_GRAPH}, i AS (SELECT dst AS node, count(*) AS c FROM edges GROUP BY 1), o AS (SELECT src AS node, count(*) AS c FROM edges GROUP BY 1)
@@ -474,7 +505,7 @@ def degree_report(spark, sf):
 
 
 def _crawls(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    p = A.table(spark, sf, "pages").select("page_id", F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), F.length("html").alias("n"))
+    p = A.texts(spark, sf, "pages").select("page_id", F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), F.length("html").alias("n"))
     row = lambda title, words: [F.col("url"), F.lit(200).alias("status"), title.alias("title"), F.lit(None).cast("string").alias("meta_description"), F.lit(True).alias("indexable"), words.alias("word_count"), F.lit(1).alias("depth"), F.lit(3).alias("internal_links_in"), F.lit(0).cast("bigint").alias("simhash")]
     i = F.col("page_id")
     before = p.where(i % 2 == 0).select(*row(F.col("title"), F.col("n")))

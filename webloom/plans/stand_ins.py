@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from webloom.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, dealt to all cores if it is small."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("bigint")
     cents = F.floor(F.col("value") * 100 + 0.5).cast("bigint")
@@ -110,7 +117,7 @@ nodes AS (SELECT DISTINCT k AS node FROM ev WHERE event_type = 'purchase')"""
 
 def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' first lines as keywords."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("keyword"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("keyword"))
 
 
 SQL_LINES = "fl AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS keyword FROM documents)"

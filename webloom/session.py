@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Tables up to this size are dealt to all cores when their files make too few tasks.
+SPREAD_BYTES = 1 << 30
 
 
 def session(app: str = "webloom", **conf: str) -> SparkSession:
@@ -12,3 +15,14 @@ def session(app: str = "webloom", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     return SparkSession.builder.appName(app).config(map=base | conf).getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that few tasks would read, as of one file with one row group, dealt to all cores before work on its texts.
+
+    Only tables of at most SPREAD_BYTES are: larger ones have files enough, and a shuffle of them would cost more than it gives.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = len(df.inputFiles())
+    return df.repartition(cores) if size <= SPREAD_BYTES and files < cores else df
