@@ -172,10 +172,11 @@ def test_robots_and_sitemaps(spark):
 def test_offline_crawl(spark):
     link = lambda u: (u, "t", None, True, False)
     p = spark.createDataFrame([page(A, links=[link(B + "/")]), page(B, links=[link(C), link(A)]), page(C), page("https://e.com/lost")], PAGE)
-    got = crawl(p, [A])
+    got, stopped = crawl(p, [A])
     assert [(r.url, r.depth) for r in got.orderBy("depth").collect()] == [(A, 0), (B, 1), (C, 2)]
     assert [r.url for r in orphans(p.select("url"), got.select("url")).collect()] == ["https://e.com/lost"]
-    assert crawl(p, ["https://nowhere.com/"]).count() == 0
+    none, _ = crawl(p, ["https://nowhere.com/"])
+    assert none.count() == 0
 
 
 def test_filters(spark):

@@ -70,6 +70,26 @@ def test_leaders_equal_the_greedy_scan(spark):
         assert {r.node: r.leader for r in got.collect()} == want
 
 
+def test_leaders_in_rounds_equal_one_task(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5), (4, 6)], "a int, b int")
+    nodes = spark.createDataFrame([(n,) for n in range(1, 9)], "node int")
+    assert {tuple(r) for r in N.leaders(nodes, edges, 0).collect()} == {tuple(r) for r in N.leaders(nodes, edges).collect()}
+
+
+def test_rare_tokens_both_ways(spark, monkeypatch):
+    sets = spark.createDataFrame([(i, [f"t{k}" for k in range(i, i + 20)]) for i in range(6)], "doc_id int, tokens array<string>")
+    one = {tuple(r) for r in N.similar_pairs(sets, 0.8).collect()}
+    monkeypatch.setattr(N, "MAX_TOKENS", 0)
+    assert {tuple(r) for r in N.similar_pairs(sets, 0.8).collect()} == one and {r[:2] for r in one} == {(i, j) for i in range(6) for j in range(i + 1, 6) if j - i <= 2}
+
+
+def test_simhash_mode(spark):
+    base = " ".join(f"alpha{k} beta{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, base), (2, base + " gamma"), (3, " ".join(f"other{k}" for k in range(90)))], "doc_id int, text string")
+    assert [(r.a, r.b) for r in N.simhash_pairs(docs, 0.85).collect()] == [(1, 2)]
+    assert spark.range(1).select(N.hamming_distance(F.lit(5), F.lit(-6)).alias("d")).first().d == 64
+
+
 def test_lexical_clusters(spark):
     rows = [("crm software", 1000, 60.0), ("best crm software", 500, 50.0), ("crm software for startups", 100, 40.0), ("email marketing tools", 800, 55.0), ("best email marketing tools", 300, 45.0), ("invoice template", 50, 30.0)]
     k = spark.createDataFrame([(a, v, 30.0, None, o, "commercial") for a, v, o in rows], "keyword string, volume bigint, difficulty double, cpc double, opportunity double, intent string")

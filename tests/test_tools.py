@@ -48,10 +48,15 @@ def test_site_tools(ctx):
     assert len(ok(ctx, "seo_internal_links", site="shop.org")["nodes"]) == 4
     ok(ctx, "seo_link_opportunities", site="shop.org")
     assert ok(ctx, "seo_next_actions", site="shop.org")["actions"]
+    cut = call(ctx, "seo_crawl_site", url=SITE, max_depth=1, sitemap=[SITE, f"{SITE}lost"])
+    second = json.loads(cut.to_json())["data"]
+    assert crawl["stopped_reason"] == "complete" and second["stopped_reason"] == "max_depth" and cut.warnings and not second["orphans"]
+    assert "index.orphan" not in {i["rule"] for i in second["issues"]} and ok(ctx, "seo_crawl_site", url=SITE, max_pages=2)["stopped_reason"] == "max_pages"
+    assert ok(ctx, "seo_crawl_history", site="hop.org")["crawls"] == []
     second = ok(ctx, "seo_crawl_site", url=SITE, max_depth=1)["crawl_id"]
     diff = ok(ctx, "seo_crawl_diff", from_crawl=crawl["crawl_id"], to_crawl=second)
     assert {(p["kind"], p["url"]) for p in diff["pages"]} >= {("removed", f"{SITE}c")}
-    assert ok(ctx, "seo_crawl_history", site="shop.org")["trend"][0]["crawls"] == 2
+    assert ok(ctx, "seo_crawl_history", site="shop.org")["trend"][0]["crawls"] == 4
     assert call(ctx, "seo_audit_issues", crawl_id=5).error["code"] == "INVALID_INPUT"
 
 
@@ -69,11 +74,28 @@ def test_keyword_tools(ctx):
     assert call(ctx, "seo_keyword_metrics").error["code"] == "INVALID_INPUT"
 
 
+def test_keyword_tools_in_depth(ctx):
+    deep = ok(ctx, "seo_keyword_ideas", seed="crm", strategies=("plain",), engines=["one"], depth=2, save_to_project="ideas")["keywords"]
+    assert {k["keyword"] for k in deep} == {"crm software", "best crm"} and ctx.store.read("keywords").where("project = 'ideas'").count() == 2
+    words = ["notion alternatives", "slack alternatives", "trello alternatives", "asana alternatives"]
+    e = call(ctx, "pseo_build_plan", keywords=words, base_path="/alt", max_pages=2)
+    plan = json.loads(e.to_json())["data"]
+    assert plan["template"] == "{x} alternatives" and plan["hub"][0] == {"slug": "alt", "title": "Alternatives", "h1": "Alternatives", "links_to": 2} and len(e.warnings) == 2
+    assert "entity_name" in {f["field"] for f in plan["data_model"]}
+
+
 def test_performance_tools(ctx):
     assert ok(ctx, "seo_gsc_sites")["sites"] == [{"site": "https://shop.org"}]
     assert ok(ctx, "seo_gsc_performance", end="2026-01-21", filters=[("query", "contains", "nea")])["rows"][0]["query"] == "near"
     got = ok(ctx, "seo_gsc_opportunities", end="2026-01-21")
     assert got["striking"][0]["query"] == "near" and got["rising"]
+    assert set(ok(ctx, "seo_gsc_opportunities", end="2026-01-21", include=["rising"])) == {"rising", "actions"}
+    assert call(ctx, "seo_gsc_opportunities", include=["no"]).error["code"] == "INVALID_INPUT"
+    assert "fewer than" in call(ctx, "seo_gsc_performance", end="2026-01-21", min_impressions=10**9).warnings[0]
+    ok(ctx, "seo_gsc_performance", end="2026-01-21", dimensions=("query", "page"), save_snapshot=True, project="snap")
+    changes = ok(ctx, "seo_rank_changes", project="snap")["changes"]
+    assert [c["impressions"] for c in changes] == sorted((c["impressions"] for c in changes), reverse=True) and changes[0]["url"]
+    assert "Nothing was stored" in call(ctx, "seo_gsc_performance", end="2026-01-21", save_snapshot=True).warnings[0]
 
 
 def test_serp_tools(ctx):
@@ -105,14 +127,82 @@ def test_content_tools(ctx):
     assert ok(ctx, "pseo_check_index_risk", drafts=drafts)["risk"][0]["verdict"] == "do_not_publish"
 
 
+def test_brief_without_result_pages(ctx):
+    e = call(ctx, "seo_content_brief", keyword="what is erp", cluster_keywords=["erp meaning"], questions=["What is ERP?"])
+    b = json.loads(e.to_json())["data"]
+    assert e.warnings and b["plan"][0]["target_words"] == 1500 and b["terms"][0] == {"term": "erp meaning", "document_frequency": 0, "avg_count": 0.0} and b["questions"] == [{"question": "What is ERP?"}]
+    with_pages = ok(ctx, "seo_content_brief", keyword="crm")
+    assert with_pages["format_signals"][0]["analysed"] == 1 and with_pages["format_signals"][0]["common_schema"] == []
+
+
+def test_lookups_are_cached_and_counted(ctx):
+    before = {r["provider"]: r["units"] for r in ok(ctx, "seo_usage")["usage"]}
+    first, spent = ok(ctx, "seo_page_speed"), ctx.budget.spent
+    assert ok(ctx, "seo_page_speed") == first and ctx.budget.spent == spent
+    after = {r["provider"]: r["units"] for r in ok(ctx, "seo_usage")["usage"]}
+    assert after["page_speed"] - before.get("page_speed", 0) in (0, 1) and after["page_speed"] == 1
+
+
+def test_draft_scores(ctx):
+    draft = "# CRM\n\n![CRM screen](x.png)\n\n| crm | b |\n|---|---|\n| c | d |\n\nSee [this](/a) and [that](./b)."
+    got = call(ctx, "seo_content_score", keyword="crm", body=draft, required=["screen", "price"])
+    s = json.loads(got.to_json())["data"]["score"][0]
+    where = {p["location"]: (p["present"], p["applicable"]) for p in s["placements"]}
+    assert where["image_alt"] == (True, True) and where["title"] == (False, False) and where["url"] == (False, False) and where["h1"] == (True, True)
+    assert s["missing"] == ["price"] and s["internal_links"] == 2 and {a["id"].split(".")[1] for a in json.loads(got.to_json())["data"]["actions"]} == {"terms"}
+    page = ok(ctx, "seo_page_optimize", url=f"{SITE}a", keyword="crm")["score"][0]
+    assert all(p["applicable"] for p in page["placements"])
+    spanish = ok(ctx, "seo_content_score", keyword="crm", body="Una frase corta.", language="es")["score"][0]
+    assert spanish["reading_ease"] != ok(ctx, "seo_content_score", keyword="crm", body="Una frase corta.")["score"][0]["reading_ease"]
+
+
+def test_prose_of_markdown():
+    from webloom.operators.content import _prose
+
+    assert _prose("| a | b |\n|---|---|\n| c | **d** |") .split() == ["a", "b", "c", "d"]
+    assert _prose("> 1. *one* `code` ![alt](u) [text](v)\n```\nx\n```\n# Head\n- item ~~old~~ <b>bold</b>") == "one   alt text\nHead\nitem old  bold"
+
+
+def test_command_line():
+    from webloom.plans.cli import parse, settings
+
+    defaults = {"keywords": ("x",), "limit": 10, "url": "", "robots": None}
+    assert parse(["--keywords", "a", "--limit=5", "--url", "7"], defaults) == {"keywords": ["a"], "limit": 5, "url": "7"}
+    assert parse(["--keywords", "a", "--keywords", "b", "--robots"], defaults) == {"keywords": ["a", "b"], "robots": True}
+    with pytest.raises(ToolError) as e:
+        parse(["--keyword", "a"], defaults)
+    assert "--keywords" in e.value.remedy
+    own = settings({"WEBLOOM_YEAR": "2030"}, "export WEBLOOM_STORE='s'\n# c\nWEBLOOM_YEAR=1\nWEBLOOM_BUDGET=3")
+    assert own == {"store": "s", "budget": 3.0, "rows": 100, "year": 2030}
+
+
+def test_failed_tasks(ctx):
+    from webloom.plans.envelope import split_failed
+
+    rows = ctx.spark.createDataFrame([(1, None), (2, "timeout")], "k int, error string")
+    good, notes = split_failed(rows)
+    assert [r.k for r in good.collect()] == [1] and "1 of 2" in notes[0]
+    with pytest.raises(ToolError):
+        split_failed(rows.where("error is not null"))
+    assert split_failed(rows.limit(0))[1] == []
+
+
+def test_store_versions(ctx, tmp_path):
+    store = Store(ctx.spark, str(tmp_path / "v"))
+    for k in range(3):
+        store.set_project(f"p{k}", SITE)
+        assert store.read("projects").count() == k + 1
+    assert len([p for p in (tmp_path / "v" / "projects").iterdir() if p.name.startswith("v")]) == 2
+
+
 def test_meta_tools(ctx):
     assert ok(ctx, "seo_project_set", name="p", site=SITE)["projects"][0]["name"] == "p"
     ok(ctx, "seo_project_set", name="p", site="https://new.org/", competitors=["x"])
     assert [p["site"] for p in ok(ctx, "seo_project_list")["projects"]] == ["https://new.org/"]
     ctx.store.record_usage("one", "t", 3)
-    assert ok(ctx, "seo_usage")["usage"] == [{"provider": "one", "calls": 1, "units": 3}]
+    assert {"provider": "one", "calls": 1, "units": 3} in ok(ctx, "seo_usage")["usage"]
     ok(ctx, "seo_cache_clear")
-    assert len(ok(ctx, "seo_capabilities")["capabilities"]) == 11 and len(TOOLS) == 36
+    assert len(ok(ctx, "seo_capabilities")["capabilities"]) == 10 and len(TOOLS) == 36
     assert call(ctx, "nope").error["code"] == "NOT_FOUND" and call(ctx, "seo_serp", wrong=1).error["code"] == "INVALID_INPUT"
 
 

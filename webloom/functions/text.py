@@ -132,10 +132,6 @@ def truncate(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
 
 
-def title_case(text: Column) -> Column:
-    return F.initcap(text)
-
-
 # DuckDB texts of the same functions
 
 

@@ -222,7 +222,10 @@ def _link_rules(p: DataFrame, html: DataFrame) -> list[DataFrame]:
 
 def _canonical_rules(p: DataFrame, html: DataFrame) -> list[DataFrame]:
     keys = F.array_distinct(F.array("url", "final_url"))
-    by_key = p.select(F.explode(keys).alias("key"), "url", "final_url", "status", "error", "canonical", "norm_canonical", "norm_final", "hreflang").dropDuplicates(["key"])
+    facts = ("url", "final_url", "status", "error", "canonical", "norm_canonical", "norm_final", "hreflang")
+    # the page with the address itself before one that redirects there, then the least url
+    order = F.struct(F.col("key") != F.col("url"), "url", "final_url", "status")
+    by_key = p.select(F.explode(keys).alias("key"), *facts).groupBy("key").agg(F.min_by(F.struct(*facts), order).alias("t")).select("key", "t.*")
     t = by_key.select(F.col("key").alias("canonical"), *[F.col(x).alias(f"t_{x}") for x in ("url", "final_url", "status", "error", "canonical", "norm_canonical", "norm_final")])
     j = html.where("canonical is not null").join(t, "canonical")
     dead = (F.col("t_status") >= 400) | F.col("t_error").isNotNull()

@@ -98,3 +98,24 @@ def build_plan(keywords: DataFrame, template: str, base_path: str, existing: Dat
         out = out.join(existing.select(F.lower("url").alias("known")), F.lower("url_path") == F.col("known"), "left_anti")
     opp = opportunity_columns(F.col("p.volume"), F.col("p.difficulty"), F.col("p.cpc"), F.col("intent"), word_count(F.col("primary_keyword")))["opportunity"]
     return out.select("entity", "primary_keyword", "secondary_keywords", "slug", "url_path", "volume", F.col("p.difficulty").alias("difficulty"), "intent", opp.alias("opportunity"))
+
+
+def plan_notes(plan: DataFrame, entities: int, limit: int, target_words: int) -> list[str]:
+    """What to mind before pages are built from ``plan(volume, ...)`` of a template with ``entities`` entities."""
+    n, known = plan.agg(F.count("*"), F.count("volume")).first()
+    out = [f"{entities} entities fit, but the plan has the {limit} with most demand; publish them first and see that they are indexed."] if entities > limit else []
+    out += ["No search volumes are known, so the order of entities says nothing about demand."] if n and not known else []
+    return out + ([f"{n} pages of {target_words} words each are likely to be thin; check drafts with pseo_check_index_risk first."] if n > 50 and target_words < 500 else [])
+
+
+def data_model(plan: DataFrame) -> DataFrame:
+    """(field): what the pages of ``plan(data_requirements)`` need, each field once."""
+    return plan.select(F.explode("data_requirements").alias("field")).distinct().orderBy("field")
+
+
+def hub_page(plan: DataFrame, template: str, base_path: str) -> DataFrame:
+    """One row: the page that leads to all others of the plan: slug, title, h1, links_to."""
+    from webloom.functions.copy import headline
+
+    name = headline(F.lit(" ".join(w for w in template.split() if w != "{x}")))
+    return plan.agg(F.count("*").alias("links_to")).select(F.lit(base_path.strip("/")).alias("slug"), name.alias("title"), name.alias("h1"), "links_to")

@@ -9,13 +9,21 @@ from webloom.functions.mathx import js_round
 
 
 def rank_changes(ranks: DataFrame, limit: int | None = None) -> DataFrame:
-    """Latest and previous snapshot per keyword and the change (positive: better), in one window."""
+    """Latest and previous snapshot per keyword and the change (positive: better), in one window.
+
+    With ``limit``, the keywords of most impressions and then of the best position.  url, clicks and impressions of the latest
+    snapshot are kept where the table has them.
+    """
     newest = Window.partitionBy("keyword").orderBy(F.desc("checked_at"), F.desc("tie"))
     out = ranks.withColumns({
         "n": F.row_number().over(newest), "previous_position": F.lead("position").over(newest), "previous_checked_at": F.lead("checked_at").over(newest),
     }).where("n = 1")
-    out = out.select("keyword", "position", "checked_at", "previous_position", "previous_checked_at", js_round(F.col("previous_position") - F.col("position"), 1).alias("change"))
-    return out if limit is None else out.orderBy(F.asc_nulls_last("position"), "keyword").limit(limit)
+    more = [c for c in ("url", "clicks", "impressions") if c in ranks.columns]
+    out = out.select("keyword", "position", "checked_at", "previous_position", "previous_checked_at", js_round(F.col("previous_position") - F.col("position"), 1).alias("change"), *more)
+    if limit is None:
+        return out
+    order = [F.desc_nulls_last("impressions")] if "impressions" in more else []
+    return out.orderBy(*order, F.asc_nulls_last("position"), "keyword").limit(limit)
 
 
 def rank_diff(ranks: DataFrame, before: str, after: str) -> DataFrame:

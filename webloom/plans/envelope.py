@@ -65,3 +65,12 @@ class Budget:
         if self.limit is not None and not (self.limit > 0 and self.spent + units <= self.limit):
             raise ToolError("BUDGET_EXCEEDED", f"{units} units are more than the budget leaves.", "Raise the budget or ask for less.")
         self.spent += units
+
+
+def split_failed(results: DataFrame, what: str = "lookup") -> tuple[DataFrame, list[str]]:
+    """Rows of ``results(..., error)`` without an error, and a warning that says how many failed; if all did, their first error is raised."""
+    n, failed, first = results.agg(F.count("*"), F.count("error"), F.min("error")).first()
+    if n and failed == n:
+        raise ToolError("FETCH_FAILED", first, "Try again later.")
+    good = results.where("error is null").drop("error")
+    return good, [f"{failed} of {n} {what}s failed, first: {first}. Totals are a floor."] if failed else []

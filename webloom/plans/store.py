@@ -1,13 +1,13 @@
 """Tables of crawls, pages, findings, keywords, ranks, projects and usage as Parquet under one folder.
 
-Appends add partitions; changes write a new version next to the old one and then swap the names, so a reader sees either.  All paths
-go through Hadoop's file systems.
+A table is a folder of versions, of which the newest marked one holds.  Appends add files to it; changes write a new version and then
+its marker, an empty file made in one step, so a reader sees the old version or the new one.  All paths go through Hadoop's file
+systems.
 """
 
 from __future__ import annotations
 
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,28 +35,35 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+        """The folder of the version that holds."""
+        fs, p = self._fs(f"{self.root}/{table}")
+        marked = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        versions = sorted(int(n.removeprefix("_version.")) for n in marked if n.startswith("_version."))
+        return f"{self.root}/{table}/v{versions[-1] if versions else 0}"
 
     def read(self, table: str) -> DataFrame:
         """The table, empty if nothing was written yet; partition filters are pushed down."""
-        fs, p = self._fs(self.path(table))
+        path = self.path(table)
+        fs, p = self._fs(path)
         if not fs.exists(p):
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+        return self.spark.read.schema(SCHEMAS[table]).parquet(path)
 
     def append(self, table: str, rows: DataFrame) -> None:
         names = [f.name for f in self.spark.createDataFrame([], SCHEMAS[table]).schema]
         rows.select(*names).write.mode("append").partitionBy(*PARTITIONS.get(table, [])).parquet(self.path(table))
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """Write a new version, then swap; a failure before the swap leaves the old one."""
-        new, old = f"{self.path(table)}.{uuid.uuid4().hex}", f"{self.path(table)}.old.{uuid.uuid4().hex}"
-        rows.write.partitionBy(*PARTITIONS.get(table, [])).parquet(new)
-        fs, p = self._fs(self.path(table))
-        if fs.exists(p):
-            fs.rename(p, self._fs(old)[1])
-        fs.rename(self._fs(new)[1], p)
-        fs.delete(self._fs(old)[1], True)
+        """Write a new version and mark it; a failure before the mark leaves the old one.  Versions before the one replaced go."""
+        old = int(self.path(table).rsplit("/v", 1)[-1])
+        new = max(old + 1, time.time_ns())
+        rows.write.partitionBy(*PARTITIONS.get(table, [])).parquet(f"{self.root}/{table}/v{new}")
+        fs, mark = self._fs(f"{self.root}/{table}/_version.{new}")
+        fs.create(mark, False).close()
+        for f in fs.listStatus(self._fs(f"{self.root}/{table}")[1]):
+            version = f.getPath().getName().removeprefix("_version.").removeprefix("v")
+            if version.isdigit() and int(version) < old:
+                fs.delete(f.getPath(), True)
 
     def save_crawl(self, site: str, crawl: audit.Crawl, issues: DataFrame, stopped_reason: str = "complete") -> int:
         """Store a crawl with its pages and findings; returns its id."""
@@ -72,14 +79,16 @@ class Store:
         self.append("crawls", head)
         return crawl_id
 
+    def _crawls_of(self, site: str) -> DataFrame:
+        bare = F.regexp_replace(F.lower("site"), r"^(https?://)?(www\.)?|/+$", "")
+        return self.read("crawls").where(bare == site.lower().removeprefix("https://").removeprefix("http://").removeprefix("www.").rstrip("/"))
+
     def latest_crawl(self, site: str) -> int | None:
         """Id of the newest crawl of a site, with or without www."""
-        bare = F.regexp_replace(F.lower("site"), r"^(https?://)?(www\.)?|/+$", "")
-        want = site.lower().removeprefix("https://").removeprefix("http://").removeprefix("www.").rstrip("/")
-        return self.read("crawls").where(bare == want).agg(F.max_by("crawl_id", "started_at").alias("id")).first().id
+        return self._crawls_of(site).agg(F.max_by("crawl_id", "started_at").alias("id")).first().id
 
     def crawl_history(self, site: str, limit: int = 20) -> DataFrame:
-        return self.read("crawls").where(F.contains("site", F.lit(site))).orderBy(F.desc("started_at")).limit(limit)
+        return self._crawls_of(site).orderBy(F.desc("started_at"), F.desc("crawl_id")).limit(limit)
 
     def page_summaries(self, crawl_id: int) -> DataFrame:
         return self.read("pages").where(F.col("crawl_id") == crawl_id).select("url", "status", "title", "meta_description", "indexable", "word_count", "depth", "internal_links_in", "simhash").orderBy("depth", "url")

@@ -12,6 +12,10 @@ from webloom.functions.url import slash_key
 from webloom.operators.similarity import checkpointed
 
 
+# Conventional paths of sitemaps.
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/wp-sitemap.xml")
+
+
 def parse_robots(text: str, agent: str = "*") -> dict:
     """Rules of the group that fits the agent best, sitemaps and crawl delay.  Consecutive agent lines share a group."""
     groups: list[dict] = []
@@ -108,22 +112,37 @@ def url_filter(urls: DataFrame, include: list[str] | None = None, exclude: list[
     return urls
 
 
-def crawl(pages: DataFrame, seeds: list[str], max_depth: int = 10, max_pages: int = 20_000) -> DataFrame:
+def crawl(pages: DataFrame, seeds: list[str], max_depth: int = 10, max_pages: int = 20_000) -> tuple[DataFrame, str]:
     """Breadth-first waves over a store of page rows: (url, depth) of the pages reached through internal links, at most
-    ``max_pages``, the shallowest and then least urls first."""
+    ``max_pages``, the shallowest and then least urls first; and why it stopped: complete, max_depth or max_pages.
+
+    Of several rows of a page, slashes aside, the least url counts.
+    """
     store = pages.select(slash_key(F.col("url")).alias("key"), "url", F.filter("links", lambda x: x["internal"]).alias("links"))
     frontier = pages.sparkSession.createDataFrame([(s,) for s in seeds], "u string").select(slash_key(F.col("u")).alias("key")).distinct()
-    seen = None
-    for depth in range(max_depth + 1):
-        wave = checkpointed(store.join(frontier, "key").select("key", "url", "links", F.lit(depth).alias("depth")).dropDuplicates(["key"]))
+    seen, depth = None, 0
+    while True:
+        found = store.join(frontier, "key", "left_semi")
+        if depth > max_depth:
+            stopped = "complete" if found.isEmpty() else "max_depth"
+            break
+        wave = checkpointed(found.groupBy("key").agg(F.min_by(F.struct("url", "links"), "url").alias("p")).select("key", "p.url", "p.links", F.lit(depth).alias("depth")))
         if wave.isEmpty():
+            stopped = "complete"
             break
         seen = wave if seen is None else checkpointed(seen.unionByName(wave))
         out = wave.select(F.explode("links").alias("l")).select(slash_key(F.col("l.url")).alias("key")).distinct()
-        frontier = out.join(seen, "key", "left_anti")
+        frontier, depth = out.join(seen, "key", "left_anti"), depth + 1
     if seen is None:
-        return store.limit(0).select("url", F.lit(0).alias("depth"))
-    return seen.select("url", "depth").orderBy("depth", "url").limit(max_pages)
+        return store.limit(0).select("url", F.lit(0).alias("depth")), stopped
+    stopped = "max_pages" if seen.count() > max_pages else stopped
+    return seen.select("url", "depth").orderBy("depth", "url").limit(max_pages), stopped
+
+
+def sitemap_candidates(origin: str, robots: str | None = None) -> list[str]:
+    """Where a site's sitemaps may be: those that its robots text names, else the conventional paths."""
+    named = parse_robots(robots)["sitemaps"] if robots else []
+    return named or [origin.rstrip("/") + path for path in SITEMAP_PATHS]
 
 
 def orphans(sitemap: DataFrame, reached: DataFrame) -> DataFrame:
