@@ -294,6 +294,27 @@ def test_boilerplate_by_host(spark):
     assert htmlmain.extract(df.limit(0)).count() == 0
 
 
+def test_repeats_count_over_all_groups_of_a_host(spark):
+    """Whether a host's pages are in one group or in many, texts are the same: a line that a group has once is repeated in others."""
+    rng = random.Random(4)
+    lines = [" ".join(words(rng, rng.randrange(3, 12))) for _ in range(12)]
+
+    def page(k):
+        own = " ".join(words(rng, rng.randrange(0, 40)))
+        return f"<body><div>{lines[0]}</div><div>{rng.choice(lines)}</div><p>{own}</p><div>{rng.choice(lines)}<p>{' '.join(words(rng, 9))}</div></body>"
+
+    rows = [(k, f"https://a.org/{k}" if k % 3 else None, page(k)) for k in range(60)]
+    rows += [(k, f"https://named.org/{k}", f"<div>{lines[0]}</div><article>{page(k)}</article>") for k in range(60, 80)]
+    rows += [(k, "https://a.org/", f"<article>{lines[1]} {k}</article><article>{lines[0]}</article>") for k in range(80, 90)]
+    rows += rows[:5] + [(90, None, None), (91, "https://a.org/", ""), (92, "https://a.org/", "<p>two words"), (93, "https://named.org/", "<nav>menu</nav>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = lambda n: sorted((r.page_id, r.url or "", r.text, r.n_chars) for r in htmlmain.extract(df, group_pages=n).collect())
+    want = got(10**6)
+    assert len(want) == len(rows) and sum(lines[0] in t for k, _, t, _ in want if k < 60) < 20
+    for n in (40, 7, 1):
+        assert got(n) == want
+
+
 # line dedup
 
 

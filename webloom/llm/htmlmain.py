@@ -11,7 +11,10 @@ go.  On other pages the deepest container with most of the page's weight is the
 the whole body, containers in it that are mostly boilerplate go.
 
 Pages of a host are sorted together in groups of about ``GROUP_PAGES`` pages or ``GROUP_BYTES``; larger hosts are dealt into several by a hash of the page,
-whatever the partitioning, and a repeat is judged among the pages of its group.  So no host, however large, is in one task.
+whatever the partitioning, so no host, however large, is in one task.  A repeat is judged among all pages of the host all the same:
+groups tell each other how many of their pages have a window.  They first exchange fingerprints of ``FINGER`` bits, and then 64-bit hashes and
+numbers of pages of those windows that other groups may have too.  A window that no other group has is known from the group itself.
+That is left out for hosts where no page's main text depends on it, as each names one article.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Numbers, checkpointed, tidy
+from .common import Numbers, checkpointed, mix64, tidy, utf8, word_hashes
 from .urlfilter import host_of
 
 RUN, GROUP_PAGES, GROUP_BYTES, MAX_BROADCAST_BYTES = 5, 1000, 16 << 20, 32 << 20
+#: Bits of a window's hash that groups compare first, inside one of as many buckets as the host has groups.
+FINGER = 28
 #: The share of a page's weight that its main container holds, and the weight a word that a container needs not to be boilerplate.
 HELD, OWN = 0.7, 0.5
 
@@ -159,14 +165,14 @@ class Page:
             stack.append((tag, holder, gone, rank))
         flush()
 
-    def pack(self) -> tuple[str, list[int], list[int]]:
-        """Texts, one to a line, containers of the blocks, and for each container its parent, rank and whether it is the whole page."""
-        return "\n".join(self.texts), self.holder, [(p + 1) << 3 | r << 1 | w for p, r, w in zip(self.parent, self.rank, self.whole, strict=True)]
+    def pack(self) -> tuple[bytes, list[int], list[int]]:
+        """Texts, one to a line and compressed, containers of the blocks, and for each container its parent, rank and whether it is the whole page."""
+        return zstandard.ZstdCompressor(level=1).compress(utf8("\n".join(self.texts))), self.holder, [(p + 1) << 3 | r << 1 | w for p, r, w in zip(self.parent, self.rank, self.whole, strict=True)]
 
     @classmethod
-    def unpack(cls, text: str, holder: list[int], nodes: list[int]) -> Page:
+    def unpack(cls, texts: bytes, holder: list[int], nodes: list[int]) -> Page:
         page = cls(None)
-        page.texts, page.holder = text.split("\n") if holder else [], holder
+        page.texts, page.holder = zstandard.ZstdDecompressor().decompress(texts).decode("utf-8", "surrogatepass").split("\n") if holder else [], holder
         page.parent, page.rank, page.whole = [(x >> 3) - 1 for x in nodes], [x >> 1 & 3 for x in nodes], [bool(x & 1) for x in nodes]
         return page
 
@@ -193,29 +199,77 @@ def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeats(streams: list[list[int]], owner: list[int], run: int) -> list[np.ndarray]:
-    """For each word of each stream the number of distinct pages (``owner``) that have a substring of ``run`` words it stands in.
+class Windows:
+    """The substrings of ``run`` words of a group of pages.  ``rank`` numbers the one that starts at each word, ``found`` is for each
+    number how many distinct pages (``owner``) have it.
 
     Streams are concatenated with a token of its own after each, so no substring spans two.
     """
-    sizes = np.array([len(s) + 1 for s in streams], np.int64)
-    ends = np.cumsum(sizes)
-    tokens = np.concatenate([np.array([*s, -1 - k], np.int64) for k, s in enumerate(streams)]) if streams else np.empty(0, np.int64)
-    pages = np.repeat(np.array(owner, np.int64), sizes)
-    count = np.ones(len(tokens), np.int64)
-    order, rank = suffix_order(tokens, run)
-    if len(order):
-        r, p = rank[order], pages[order]
+
+    def __init__(self, streams: list[list[int]], owner: list[int], run: int) -> None:
+        self.run, self.sizes = run, np.array([len(s) + 1 for s in streams], np.int64)
+        self.tokens = np.concatenate([np.array([*s, -1 - k], np.int64) for k, s in enumerate(streams)]) if streams else np.empty(0, np.int64)
+        pages = np.repeat(np.array(owner, np.int64), self.sizes)
+        order, self.rank = suffix_order(self.tokens, run)
+        r, p = self.rank[order], pages[order]
         by_page = np.lexsort((p, r))  # neighbours in the array that agree, by page
-        r, p, order = r[by_page], p[by_page], order[by_page]
-        fresh = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])])
-        first = np.concatenate([[True], r[1:] != r[:-1]])
-        group = np.cumsum(first) - 1
-        found = np.bincount(group, weights=fresh)[group].astype(np.int64)
-        at, many = order[found > 1], found[found > 1]
-        for k in range(run):
-            np.maximum.at(count, np.minimum(at + k, len(count) - 1), many)
-    return [count[e - n : e - 1] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        r, p = r[by_page], p[by_page]
+        fresh = np.ones(len(r), bool)
+        fresh[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
+        self.found = np.bincount(r[fresh], minlength=1)
+
+    def counts(self) -> list[np.ndarray]:
+        """For each word of each stream the largest ``found`` of what it stands in."""
+        starts = self.found[self.rank]
+        count = starts.copy()
+        for k in range(1, min(self.run, len(count))):
+            np.maximum(count[k:], starts[:-k], out=count[k:])
+        return [count[e - n : e - 1] for e, n in zip(np.cumsum(self.sizes).tolist(), self.sizes.tolist(), strict=True)]
+
+    def listed(self, words: list[str], asks: list[bool], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rank, hash and bucket (of ``parts``) of each substring, and whether a stream that ``asks`` has it; by bucket and fingerprint."""
+        left = np.repeat(np.cumsum(self.sizes), self.sizes) - 1 - np.arange(len(self.tokens))
+        whole = np.flatnonzero(left >= self.run)
+        ranks, first = np.unique(self.rank[whole], return_index=True)
+        at, h = whole[first], word_hashes([utf8(w) for w in words])
+        key = h[self.tokens[at]]
+        for k in range(1, self.run):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + h[self.tokens[at + k]]
+        key = mix64(key)
+        asked = np.zeros(len(self.found), bool)
+        asked[self.rank[whole[np.repeat(np.array(asks, bool), self.sizes)[whole]]]] = True
+        bucket = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        order = np.lexsort((key, _finger(key), bucket))
+        return ranks[order], key[order], bucket[order].astype(np.int64), asked[ranks[order]]
+
+
+def _finger(key: np.ndarray) -> np.ndarray:
+    return (key & np.uint64((1 << FINGER) - 1)).astype(np.int64)
+
+
+def repeats(streams: list[list[int]], owner: list[int], run: int) -> list[np.ndarray]:
+    """For each word of each stream the number of distinct pages (``owner``) that have a substring of ``run`` words it stands in."""
+    return Windows(streams, owner, run).counts()
+
+
+def named(page: Page, size: list[int] | np.ndarray) -> list[int]:
+    """The outermost containers that the page itself calls its article or, if none is, its main part; ``size`` is 0 for those that hold nothing."""
+    n = len(page.parent)
+    top, ranked = max((page.rank[k] for k in range(n) if size[k]), default=0), [0] * n
+    for k in range(1, n):
+        ranked[k] = max(ranked[page.parent[k]], page.rank[k])
+    return [k for k in range(1, n) if top and page.rank[k] == top and size[k] and ranked[page.parent[k]] < top]
+
+
+def asks(page: Page) -> bool:
+    """Whether the main text may depend on what other pages repeat: all but that of a page without content or with one named part."""
+    size = [0] * len(page.parent)
+    for h in page.holder:
+        if h >= 0:
+            size[h] = 1
+    for k in range(len(size) - 1, 0, -1):
+        size[page.parent[k]] |= size[k]
+    return size[0] > 0 and len(named(page, size)) != 1
 
 
 def choose(page: Page, counts: np.ndarray) -> list[str]:
@@ -225,7 +279,7 @@ def choose(page: Page, counts: np.ndarray) -> list[str]:
     if not len(words):
         return []
     weigh = np.add.reduceat(1.0 / (1.0 + np.log2(counts)), np.cumsum(words) - words)
-    size, weight, ranked = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)  # of containers with what is in them
+    size, weight = np.zeros(n), np.zeros(n)  # of containers with what is in them
     for b, h in enumerate(page.holder):
         if h >= 0:
             size[h] += words[b]
@@ -234,12 +288,9 @@ def choose(page: Page, counts: np.ndarray) -> list[str]:
     for k in range(n - 1, 0, -1):
         size[page.parent[k]] += size[k]
         weight[page.parent[k]] += weight[k]
-    for k in range(1, n):
-        ranked[k] = max(ranked[page.parent[k]], page.rank[k])
-    top = max((page.rank[k] for k in range(n) if page.rank[k] and size[k]), default=0)
-    if top:
-        named = [k for k in range(1, n) if page.rank[k] == top and size[k] and ranked[page.parent[k]] < top]
-        roots = {k for k in named if weight[k] >= OWN * size[k]} or set(named)
+    own_parts = named(page, size)
+    if own_parts:
+        roots = {k for k in own_parts if weight[k] >= OWN * size[k]} or set(own_parts)
         drop: set[int] = set()
     else:
         roots = {max((k for k in range(n) if weight[k] >= HELD * weight[0]), default=0)}  # containers come after those around them
@@ -252,21 +303,137 @@ def choose(page: Page, counts: np.ndarray) -> list[str]:
     return [t for t, h in zip(page.texts, page.holder, strict=True) if h >= 0 and inside[h] and h not in drop]
 
 
-def main_texts(pages: list[Page], owner: list[int], run: int = RUN) -> list[str]:
-    """The main text of each page of a group; ``owner`` numbers distinct pages."""
+def windows(pages: list[Page], owner: list[int], run: int) -> tuple[Windows, list[str]]:
+    """The windows of a group of pages, and the words that their tokens number."""
     index: Numbers = Numbers()
     streams = [[index[w] for t in p.texts for w in t.split(" ")] for p in pages]
-    return ["\n\n".join(choose(p, c)) for p, c in zip(pages, repeats(streams, owner, run), strict=True)]
+    return Windows(streams, owner, run), list(index)
+
+
+def main_texts(pages: list[Page], owner: list[int], run: int = RUN) -> list[str]:
+    """The main text of each page of pages that are all of their host; ``owner`` numbers distinct pages."""
+    return ["\n\n".join(choose(p, c)) for p, c in zip(pages, windows(pages, owner, run)[0].counts(), strict=True)]
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 to below 2**32, byte planes compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
 
+#: Of ``n`` windows that a group has in a bucket; a, b and c depend on the step.
+_MESSAGE = "host string, bucket int, part int, n int, a binary, b binary, c binary"
+_ARROW = pa.schema([("host", pa.string()), ("bucket", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
-def _dealt(pages: DataFrame, group_pages: int, group_bytes: int) -> DataFrame:
-    """``pages`` with ``part``: the number of the group of its host."""
+
+def _messages(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(_ARROW), _ARROW, strict=True)], schema=_ARROW)
+
+
+def _rows(table: pa.Table) -> list[tuple]:
+    return list(zip(*(c.to_pylist() for c in table.columns), strict=True))
+
+
+class _Group:
+    """A group of a host's pages, and its windows as ``Windows.listed`` has them, the same in every step."""
+
+    def __init__(self, table: pa.Table, run: int) -> None:
+        self.rows = _rows(table)
+        seen: Numbers = Numbers()
+        self.pages = [Page.unpack(*r[6:]) for r in self.rows]
+        self.windows, words = windows(self.pages, [seen[r[5]] for r in self.rows], run)
+        self.host, self.part, parts = self.rows[0][2:5]
+        self.ranks, self.keys, bucket, self.asked = self.windows.listed(words, [asks(p) for p in self.pages], parts)
+        found, starts, sizes = np.unique(bucket, return_index=True, return_counts=True)
+        self.buckets = {b: slice(lo, lo + n) for b, lo, n in zip(found.tolist(), starts.tolist(), sizes.tolist(), strict=True)}
+
+
+def _whole_hosts(pages: DataFrame, run: int) -> DataFrame:
+    """The main texts of parsed pages of hosts in several groups, with windows counted over all of them."""
+
+    def offer(table: pa.Table) -> pa.Table:  # a: fingerprints, b: which are asked for
+        g = _Group(table, run)
+        fingers = _finger(g.keys)
+        return _messages([(g.host, b, g.part, s.stop - s.start, _packed(np.diff(fingers[s], prepend=0)), np.packbits(g.asked[s]).tobytes(), None) for b, s in g.buckets.items()])
+
+    def shared(table: pa.Table) -> pa.Table:  # a: which of them are asked for and in several groups, if hashes don't tell them apart
+        rows = _rows(table)
+        if len(rows) < 2:
+            return _messages([])
+        fingers = np.concatenate([np.cumsum(_unpacked(r[4])) for r in rows])
+        asked = np.concatenate([np.unpackbits(np.frombuffer(r[5], np.uint8), count=r[3]) for r in rows])
+        _, which, many = np.unique(fingers, return_inverse=True, return_counts=True)
+        hit = ((many > 1) & (np.bincount(which, weights=asked) > 0))[which]
+        ends = np.cumsum([r[3] for r in rows])
+        return _messages([(*r[:4], np.packbits(hit[e - r[3] : e]).tobytes(), None, None) for r, e in zip(rows, ends.tolist(), strict=True) if hit[e - r[3] : e].any()])
+
+    def count(table: pa.Table, told: pa.Table) -> pa.Table:  # of these, a: places in the bucket, b: hashes, c: pages of the group
+        told_rows = _rows(told)
+        if not told_rows:
+            return _messages([])
+        g = _Group(table, run)
+        out = []
+        for _, b, _, n, mask, _, _ in told_rows:
+            s = g.buckets[b]
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=n))
+            out.append((g.host, b, g.part, len(at), _packed(np.diff(at, prepend=0)), g.keys[s][at].astype("<u8").tobytes(), _packed(g.windows.found[g.ranks[s][at]])))
+        return _messages(out)
+
+    def total(table: pa.Table) -> pa.Table:  # a: the places, c: pages of all groups
+        rows = _rows(table)
+        _, which = np.unique(np.concatenate([np.frombuffer(r[5], "<u8") for r in rows]), return_inverse=True)
+        totals = np.bincount(which, weights=np.concatenate([_unpacked(r[6]) for r in rows])).astype(np.int64)[which]
+        ends = np.cumsum([r[3] for r in rows])
+        return _messages([(*r[:5], None, _packed(totals[e - r[3] : e])) for r, e in zip(rows, ends.tolist(), strict=True)])
+
+    def texts(table: pa.Table, totals: pa.Table) -> pa.Table:
+        g = _Group(table, run)
+        for _, b, _, _, places, _, found in _rows(totals):
+            g.windows.found[g.ranks[g.buckets[b]][np.cumsum(_unpacked(places))]] = _unpacked(found)
+        return _texts(g.rows, g.pages, g.windows)
+
+    by_group = pages.groupBy("host", "part")
+    hits = by_group.applyInArrow(offer, _MESSAGE).groupBy("host", "bucket").applyInArrow(shared, _MESSAGE)
+    totals = by_group.cogroup(hits.groupBy("host", "part")).applyInArrow(count, _MESSAGE).groupBy("host", "bucket").applyInArrow(total, _MESSAGE)
+    return by_group.cogroup(totals.groupBy("host", "part")).applyInArrow(texts, "page_id bigint, url string, text string, n_chars bigint")
+
+
+def _texts(rows: list[tuple], pages: list[Page], found: Windows) -> pa.Table:
+    out = ["\n\n".join(choose(p, c)) for p, c in zip(pages, found.counts(), strict=True)]
+    return pa.table([pa.array(c, f.type) for c, f in zip(([r[0] for r in rows], [r[1] for r in rows], out, list(map(len, out))), _OUT, strict=True)], schema=_OUT)
+
+
+def _dealt(pages: DataFrame, group_pages: int, group_bytes: int) -> tuple[DataFrame, bool]:
+    """``pages`` with ``part``, the number of the group of its host, ``parts``, how many it has, and ``whole``: whether counts of all of
+    them matter; and whether there are such hosts."""
     parts = F.greatest(F.ceil(F.count("*") / F.lit(group_pages)), F.ceil(F.sum(F.octet_length("html")) / F.lit(group_bytes)))
     sizes = pages.groupBy("host").agg(parts.cast("int").alias("parts"))
     large = checkpointed(sizes.where("parts > 1"))
     room = large.agg(F.sum(F.octet_length("host") + 64).alias("n")).first().n or 0
-    large = F.broadcast(large) if room <= MAX_BROADCAST_BYTES else large  # else the join is by shuffle
-    return pages.join(large, "host", "left").withColumn("part", F.pmod(F.col("ph"), F.coalesce("parts", F.lit(1))).cast("int"))
+
+    def few(hosts: DataFrame) -> DataFrame:
+        return F.broadcast(hosts) if room <= MAX_BROADCAST_BYTES else hosts  # else the join is by shuffle
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[str] = set()
+        for b in batches:
+            for host, page in zip(b.column(0), b.column(1), strict=True):
+                if (h := host.as_py()) not in known and asks(Page(page.as_py())):
+                    known.add(h)
+                    yield pa.RecordBatch.from_arrays([pa.array([h], pa.string())], ["host"])
+
+    if room:
+        whole = pages.join(few(large), "host", "left_semi").select("host", "html").mapInArrow(tidy(asking), "host string").distinct()
+        large = checkpointed(large.join(whole.withColumn("whole", F.lit(True)), "host", "left"))
+    else:
+        large = large.withColumn("whole", F.lit(False))
+    part = F.pmod(F.col("ph"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = pages.join(few(large), "host", "left").withColumns({"part": part, "whole": F.coalesce("whole", F.lit(False))})
+    return dealt, bool(room) and not large.where("whole").isEmpty()
 
 
 def extract(pages: DataFrame, run: int = RUN, group_pages: int = GROUP_PAGES, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -281,29 +448,32 @@ def extract(pages: DataFrame, run: int = RUN, group_pages: int = GROUP_PAGES, gr
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = [Page(x.as_py()).pack() for x in b.column(5)]
-            cols = [pa.array([p[k] for p in packed], t) for k, t in enumerate((pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], *cols], ["page_id", "url", "host", "part", "ph", "blocks", "holder", "nodes"])
+            packed = [Page(x.as_py()).pack() for x in b.column(6)]
+            cols = [pa.array([p[k] for p in packed], t) for k, t in enumerate((pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], *cols], ["page_id", "url", "host", "part", "parts", "ph", "blocks", "holder", "nodes"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(rows: list[tuple]) -> pa.RecordBatch:
+        def finish(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             seen: Numbers = Numbers()
-            out = main_texts([Page.unpack(*r[5:]) for r in rows], [seen[r[4]] for r in rows], run)
-            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])
+            group = [Page.unpack(*r[6:]) for r in rows]
+            return iter(_texts(rows, group, windows(group, [seen[r[5]] for r in rows], run)[0]).to_batches())
 
         key, rows = None, []
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if r[2:4] != key:
                     if rows:
-                        yield finish(rows)
+                        yield from finish(rows)
                     key, rows = r[2:4], []
                 rows.append(r)
         if rows:
-            yield finish(rows)
+            yield from finish(rows)
+
+    schema = "page_id bigint, url string, host string, part int, parts int, ph bigint, blocks binary, holder array<int>, nodes array<int>"
+    dealt, several = _dealt(keyed, group_pages, group_bytes)
+
+    def parsed(some: DataFrame) -> DataFrame:
+        return some.select("page_id", "url", "host", "part", "parts", "ph", "html").mapInArrow(tidy(parse), schema).repartition("host", "part")
 
-    schema = "page_id bigint, url string, host string, part int, ph bigint, blocks string, holder array<int>, nodes array<int>"
-    parsed = _dealt(keyed, group_pages, group_bytes).select("page_id", "url", "host", "part", "ph", "html").mapInArrow(tidy(parse), schema)
-    dealt = parsed.repartition("host", "part").sortWithinPartitions("host", "part", "ph")
-    return dealt.mapInArrow(tidy(texts), "page_id bigint, url string, text string, n_chars bigint")
+    alone = parsed(dealt.where("not whole")).sortWithinPartitions("host", "part", "ph").mapInArrow(tidy(texts), "page_id bigint, url string, text string, n_chars bigint")
+    return alone.union(_whole_hosts(parsed(dealt.where("whole")), run)) if several else alone
