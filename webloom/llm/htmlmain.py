@@ -25,10 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Numbers, checkpointed, mix64, tidy, utf8, word_hashes
+from .common import Numbers, checkpointed, mix64, tidy, utf8
 from .urlfilter import host_of
 
 RUN, GROUP_PAGES, GROUP_BYTES, MAX_BROADCAST_BYTES = 5, 1000, 16 << 20, 32 << 20
@@ -206,14 +208,17 @@ class Windows:
     Streams are concatenated with a token of its own after each, so no substring spans two.
     """
 
-    def __init__(self, streams: list[list[int]], owner: list[int], run: int) -> None:
+    def __init__(self, streams: list[list[int]] | list[np.ndarray], owner: list[int], run: int) -> None:
         self.run, self.sizes = run, np.array([len(s) + 1 for s in streams], np.int64)
-        self.tokens = np.concatenate([np.array([*s, -1 - k], np.int64) for k, s in enumerate(streams)]) if streams else np.empty(0, np.int64)
+        ends = np.cumsum(self.sizes)
+        self.tokens = np.concatenate([np.asarray(x, np.int64) for k, s in enumerate(streams) for x in (s, [-1 - k])]) if streams else np.empty(0, np.int64)
         pages = np.repeat(np.array(owner, np.int64), self.sizes)
+        self.left = np.repeat(ends, self.sizes) - 1 - np.arange(len(self.tokens))  # words of the stream from each on
         order, self.rank = suffix_order(self.tokens, run)
         r, p = self.rank[order], pages[order]
-        by_page = np.lexsort((p, r))  # neighbours in the array that agree, by page
-        r, p = r[by_page], p[by_page]
+        if (np.diff(owner) < 0).any():  # else the stable order has neighbours in the array that agree by page
+            by_page = np.lexsort((p, r))
+            r, p = r[by_page], p[by_page]
         fresh = np.ones(len(r), bool)
         fresh[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
         self.found = np.bincount(r[fresh], minlength=1)
@@ -226,25 +231,28 @@ class Windows:
             np.maximum(count[k:], starts[:-k], out=count[k:])
         return [count[e - n : e - 1] for e, n in zip(np.cumsum(self.sizes).tolist(), self.sizes.tolist(), strict=True)]
 
-    def listed(self, words: list[str], asks: list[bool], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rank, hash and bucket (of ``parts``) of each substring, and whether a stream that ``asks`` has it; by bucket and fingerprint."""
-        left = np.repeat(np.cumsum(self.sizes), self.sizes) - 1 - np.arange(len(self.tokens))
-        whole = np.flatnonzero(left >= self.run)
-        ranks, first = np.unique(self.rank[whole], return_index=True)
-        at, h = whole[first], word_hashes([utf8(w) for w in words])
+    def listed(self, words: pa.Array, asks: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rank and hash of each substring, and whether a stream that ``asks`` has it; by hash."""
+        whole = np.flatnonzero(self.left >= self.run)
+        place = np.full(len(self.found), -1)
+        place[self.rank[whole]] = whole
+        ranks = np.flatnonzero(place >= 0)
+        at, h = place[ranks], np.array([xxhash.xxh64_intdigest(w) for w in words.cast(pa.large_binary()).to_numpy(zero_copy_only=False)], np.uint64)
         key = h[self.tokens[at]]
         for k in range(1, self.run):
             key = key * np.uint64(0x9E3779B97F4A7C15) + h[self.tokens[at + k]]
         key = mix64(key)
         asked = np.zeros(len(self.found), bool)
         asked[self.rank[whole[np.repeat(np.array(asks, bool), self.sizes)[whole]]]] = True
-        bucket = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        order = np.lexsort((key, _finger(key), bucket))
-        return ranks[order], key[order], bucket[order].astype(np.int64), asked[ranks[order]]
+        order = np.argsort(key)
+        return ranks[order], key[order], asked[ranks[order]]
 
 
-def _finger(key: np.ndarray) -> np.ndarray:
-    return (key & np.uint64((1 << FINGER) - 1)).astype(np.int64)
+def _places(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket, of ``parts`` ranges of hashes, that each hash is in, and its fingerprint: the first bits of where it is there."""
+    many, low = np.uint64(parts), np.uint64(32)
+    bucket = (key >> low) * many + ((key & np.uint64(0xFFFFFFFF)) * many >> low) >> low
+    return bucket.astype(np.int64), (key * many >> np.uint64(64 - FINGER)).astype(np.int64)
 
 
 def repeats(streams: list[list[int]], owner: list[int], run: int) -> list[np.ndarray]:
@@ -303,11 +311,12 @@ def choose(page: Page, counts: np.ndarray) -> list[str]:
     return [t for t, h in zip(page.texts, page.holder, strict=True) if h >= 0 and inside[h] and h not in drop]
 
 
-def windows(pages: list[Page], owner: list[int], run: int) -> tuple[Windows, list[str]]:
+def windows(pages: list[Page], owner: list[int], run: int) -> tuple[Windows, pa.Array]:
     """The windows of a group of pages, and the words that their tokens number."""
-    index: Numbers = Numbers()
-    streams = [[index[w] for t in p.texts for w in t.split(" ")] for p in pages]
-    return Windows(streams, owner, run), list(index)
+    words = pc.split_pattern(pa.array([" ".join(p.texts) or None for p in pages], pa.large_string()), " ")
+    index = words.flatten().dictionary_encode()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+    return Windows(np.split(index.indices.to_numpy(), ends[:-1]) if pages else [], owner, run), index.dictionary
 
 
 def main_texts(pages: list[Page], owner: list[int], run: int = RUN) -> list[str]:
@@ -347,7 +356,8 @@ class _Group:
         self.pages = [Page.unpack(*r[6:]) for r in self.rows]
         self.windows, words = windows(self.pages, [seen[r[5]] for r in self.rows], run)
         self.host, self.part, parts = self.rows[0][2:5]
-        self.ranks, self.keys, bucket, self.asked = self.windows.listed(words, [asks(p) for p in self.pages], parts)
+        self.ranks, self.keys, self.asked = self.windows.listed(words, [asks(p) for p in self.pages])
+        bucket, self.fingers = _places(self.keys, parts)
         found, starts, sizes = np.unique(bucket, return_index=True, return_counts=True)
         self.buckets = {b: slice(lo, lo + n) for b, lo, n in zip(found.tolist(), starts.tolist(), sizes.tolist(), strict=True)}
 
@@ -357,8 +367,7 @@ def _whole_hosts(pages: DataFrame, run: int) -> DataFrame:
 
     def offer(table: pa.Table) -> pa.Table:  # a: fingerprints, b: which are asked for
         g = _Group(table, run)
-        fingers = _finger(g.keys)
-        return _messages([(g.host, b, g.part, s.stop - s.start, _packed(np.diff(fingers[s], prepend=0)), np.packbits(g.asked[s]).tobytes(), None) for b, s in g.buckets.items()])
+        return _messages([(g.host, b, g.part, s.stop - s.start, _packed(np.diff(g.fingers[s], prepend=0)), np.packbits(g.asked[s]).tobytes(), None) for b, s in g.buckets.items()])
 
     def shared(table: pa.Table) -> pa.Table:  # a: which of them are asked for and in several groups, if hashes don't tell them apart
         rows = _rows(table)
