@@ -7,9 +7,11 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -728,3 +730,47 @@ def test_encoding_round_trips_and_is_seeded(spark):
     assert sorted(map(key, rows)) == sorted(map(key, again))
     other = gumbel.encode(docs, gumbel.VOCABULARY, samples=3, seed=1).collect()
     assert sorted(map(key, rows)) != sorted(map(key, other)) and gumbel.encode(empty(spark), gumbel.VOCABULARY).count() == 0
+
+
+def encoder(spark, monkeypatch):
+    """What a Python worker runs for ``encode``: batches of (doc_id, text, key) to batches of samples."""
+    taken, df = [], frame(spark, ["a"])
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: taken.append(run) or self)
+    gumbel.encode(df, gumbel.VOCABULARY)
+    return taken[0]
+
+
+def batch_of(texts):
+    n = pa.array(range(len(texts)), pa.int64())
+    return pa.record_batch([n, pa.array(texts, pa.string()), n], ["doc_id", "text", "key"])
+
+
+def letters(rng, n, most=9):
+    """Words that are mostly distinct."""
+    return ["".join(rng.choices("etaoinsrhldcumfpgwybvk", k=rng.randint(2, most))) for _ in range(n)]
+
+
+def test_encoding_takes_little_memory(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(letters(rng, 400)) for _ in range(500)]
+    run = encoder(spark, monkeypatch)
+    list(run(iter([batch_of(["a"])])))  # the vocabulary is read
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run(iter([batch_of(texts)])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 1000 and peak < 100 * sum(map(len, texts))
+
+
+def test_samples_do_not_depend_on_what_is_drawn_together(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [None, "", "\U0001d54f\u2603", "x" * 300, " ", *(" ".join(letters(rng, rng.randrange(40), 30)) for _ in range(40)), None, "\n\n a"]
+    run = encoder(spark, monkeypatch)
+    want = pa.Table.from_batches(run(iter([batch_of(texts)]))).to_pylist()
+    assert [r["text"] for r in want if r["sample"] == 0] == texts
+    for sizes in ((1, 1, 1), (900, 70, 200), (10**6, 50, 10**6), (10**6, 10**6, 50)):
+        for name, size in zip(("CHUNK_CHARS", "BLOCK_CHARS", "SLICE_CHARS"), sizes, strict=True):
+            monkeypatch.setattr(gumbel, name, size)
+        assert pa.Table.from_batches(run(iter([batch_of(texts)]))).to_pylist() == want

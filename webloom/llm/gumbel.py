@@ -11,8 +11,8 @@ off that path go into the queue, at most as many as samples are still asked for,
 their perturbed values and are distinct.  All draws are functions of the row's key, the sample and the position, so a row gives the
 same samples in any partition.
 
-Drawing is vectorised over the texts of a batch: the lattice falls apart at spaces and line ends, which no piece crosses, so
-each distinct unit is built once.
+Drawing is vectorised over many texts: the lattice falls apart at spaces and line ends, which no piece crosses, so each distinct
+unit of a batch is built once.  Units are built in blocks and texts drawn in slices, so that what either needs on its way stays small.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,7 +37,8 @@ SAMPLES, POWER, OFFSET = 2, 1.5, 100.0
 #: The public vocabulary file of the registered query; a parameter of the operator, never copied into the repository.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
-CHUNK_CHARS = 1_500_000
+#: Characters of texts that share their lattices, of units that are built at once, and of texts that are drawn at once; results don't depend on them.
+CHUNK_CHARS, BLOCK_CHARS, SLICE_CHARS = 1_500_000, 100_000, 250_000
 _U = np.uint64
 #: Units: spaces with the word after them, or a line end, of any length.  No piece crosses these.
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
@@ -147,59 +149,91 @@ class Vocabulary:
 class Lattices:
     """The lattices of distinct units as one graph in arrays.
 
-    A node is a character of a unit; its edges are neighbours in the arrays.  ``to`` is -1 at the end of a unit.
+    A node is a character of a unit; its edges are neighbours in the arrays.  ``to`` is -1 at the end of a unit.  Units come joined, with their lengths.
     """
 
-    def __init__(self, vocab: Vocabulary, units: list[str]) -> None:
-        sizes = np.array([len(u) for u in units], np.int64)
-        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        n = len(code)
+    def __init__(self, vocab: Vocabulary, units: str, sizes: np.ndarray) -> None:
         unit_end = np.cumsum(sizes)
         self.first = unit_end - sizes
-        end = np.repeat(unit_end, sizes)
-        live, state, depth, found = np.arange(n), np.zeros(n, np.int64), 0, []
-        while len(live):
-            state = vocab.step(state, code[live + depth]) if depth else vocab.start(code)
-            ok = state >= 0
-            live, state, depth = live[ok], state[ok], depth + 1
-            piece = vocab.piece_at[state]
-            hit = piece >= 0
-            found.append((live[hit], np.full(int(hit.sum()), depth), piece[hit]))
-            more = live + depth < end[live]
-            live, state = live[more], state[more]
-        self.degree = np.zeros(n, np.int64)
-        for src, _, _ in found:
-            self.degree[src] += 1
-        bare = np.flatnonzero(self.degree == 0)
-        values, inverse = np.unique(code[bare], return_inverse=True)
-        runs = np.array([vocab.run(c) for c in values.tolist()], np.int64)
-        found.append((bare, np.ones(len(bare), np.int64), runs[inverse] if len(bare) else bare))
-        self.degree[bare] = 1
+        blocks = (_block(vocab, units[self.first[lo] : unit_end[hi - 1]], sizes[lo:hi], int(self.first[lo])) for lo, hi in _spans(unit_end, BLOCK_CHARS))
+        degree, piece, to, prob = map(list, zip(*blocks, strict=True))
+        self.degree = _joined(degree)
         self.starts = np.concatenate([[0], np.cumsum(self.degree)])
-        # the longest edges of a node come first: they mostly are the likeliest, so a draw ends soon
-        total, free = int(self.starts[-1]), self.starts[:-1].copy()
-        self.piece, inner = np.empty(total, np.int64), np.empty(total, np.int64)
-        for src, length, piece in found[::-1]:
-            slot = free[src]
-            free[src] += 1
-            self.piece[slot] = piece
-            inner[slot] = src + length
-        self.node = np.repeat(np.arange(n), self.degree)
-        inner[inner == end[self.node]] = n
-        weight = np.where(self.piece >= 0, vocab.log_weight[self.piece], vocab.log_weight.min())
-        mass = np.zeros(n + 1)  # logarithms of the masses to the end of the unit
-        last_first = unit_end[np.argsort(-sizes, kind="stable")]
-        reach = np.searchsorted(np.sort(-sizes), -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
-        for rest, units_there in enumerate(reach.tolist(), 1):
-            own = last_first[:units_there] - rest
-            width = self.degree[own]
-            new = np.cumsum(width) - width
-            e = np.repeat(self.starts[own] - new, width) + np.arange(int(width.sum()))
-            x = weight[e] + mass[inner[e]]
-            top = np.maximum.reduceat(x, new)
-            mass[own] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, width)), new))
-        self.prob = np.minimum(np.exp(weight + mass[inner] - np.repeat(mass[:n], self.degree)), 1.0)
-        self.to = np.where(inner < n, inner, -1)
+        kind = _kind(int(self.starts[-1]))
+        self.starts = self.starts.astype(kind)
+        self.piece, self.to, self.prob = _joined(piece), _joined(to), _joined(prob)
+        self.node = np.repeat(np.arange(len(self.degree), dtype=kind), self.degree)
+
+
+def _kind(n: int) -> type:
+    """The type of numbers up to ``n``."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts in one array; their list is left empty."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
+def _spans(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of items that end at ``ends``, of at most ``most`` each or a single item."""
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _block(vocab: Vocabulary, text: str, sizes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The edges of each node of some units, and of the edges the piece, the node behind, where the first node is ``base``, and the probability."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    n = len(code)
+    unit_end = np.cumsum(sizes)
+    end = np.repeat(unit_end, sizes)
+    live, state, depth, found = np.arange(n), np.zeros(n, np.int64), 0, []
+    while len(live):
+        state = vocab.step(state, code[live + depth]) if depth else vocab.start(code)
+        ok = state >= 0
+        live, state, depth = live[ok], state[ok], depth + 1
+        piece = vocab.piece_at[state]
+        hit = piece >= 0
+        found.append((live[hit], depth, piece[hit]))
+        more = live + depth < end[live]
+        live, state = live[more], state[more]
+    degree = np.zeros(n, np.int32)
+    for src, _, _ in found:
+        degree[src] += 1
+    bare = np.flatnonzero(degree == 0)
+    values, inverse = np.unique(code[bare], return_inverse=True)
+    runs = np.array([vocab.run(c) for c in values.tolist()], np.int64)
+    found.append((bare, 1, runs[inverse] if len(bare) else bare))
+    degree[bare] = 1
+    starts = np.concatenate([[0], np.cumsum(degree)])
+    # the longest edges of a node come first: they mostly are the likeliest, so a draw ends soon
+    total, free = int(starts[-1]), starts[:-1].copy()
+    pieces, inner = np.empty(total, np.int32), np.empty(total, np.int64)
+    for src, length, piece in found[::-1]:
+        slot = free[src]
+        free[src] += 1
+        pieces[slot] = piece
+        inner[slot] = src + length
+    inner[inner == np.repeat(end, degree)] = n
+    weight = np.where(pieces >= 0, vocab.log_weight[pieces], vocab.log_weight.min())
+    mass = np.zeros(n + 1)  # logarithms of the masses to the end of the unit
+    last_first = unit_end[np.argsort(-sizes, kind="stable")]
+    reach = np.searchsorted(np.sort(-sizes), -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
+    for rest, units_there in enumerate(reach.tolist(), 1):
+        own = last_first[:units_there] - rest
+        width = degree[own]
+        new = np.cumsum(width) - width
+        e = np.repeat(starts[own] - new, width) + np.arange(int(width.sum()))
+        x = weight[e] + mass[inner[e]]
+        top = np.maximum.reduceat(x, new)
+        mass[own] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, width)), new))
+    prob = np.minimum(np.exp(weight + mass[inner] - np.repeat(mass[:n], degree)), 1.0)
+    return degree, pieces, np.where(inner < n, inner + base, -1).astype(_kind(base + n)), prob
 
 
 def _uniform(seed: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -226,7 +260,7 @@ def _paths(lat: Lattices, node: np.ndarray, seed: np.ndarray, place: np.ndarray)
         on = at >= 0
         live, at = live[on], at[on]
     start = np.cumsum(steps) - steps
-    edges = np.empty(int(steps.sum()), np.int64)
+    edges = np.empty(int(steps.sum()), lat.starts.dtype)
     for k, (who, edge) in enumerate(found):
         edges[start[who] + k] = edge
     return edges, steps
@@ -242,33 +276,46 @@ class _Search:
         self.samples: list[tuple[np.ndarray, float, float]] = []
 
 
+def lattices(vocab: Vocabulary, texts: list[str]) -> tuple[Lattices, np.ndarray, np.ndarray]:
+    """The lattices of the texts' distinct units, the first nodes of all units in order, and how many units each text has."""
+    units, owners, index = array("q"), [], Numbers()
+    for t in texts:
+        own = _UNIT.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE))
+        units.extend(index[u] for u in own)
+        owners.append(len(own))
+    joined, sizes = "".join(index), np.array([len(u) for u in index], np.int64)
+    del index, own
+    lat = Lattices(vocab, joined, sizes)
+    return lat, lat.first[np.frombuffer(units, np.int64)], np.array(owners, np.int64)
+
+
 def sample(vocab: Vocabulary, texts: list[str], seeds: list[int], k: int) -> tuple[Lattices, list[_Search]]:
+    """Up to k samples of each text, and the lattices that their edges are of."""
+    lat, first, owners = lattices(vocab, texts)
+    return lat, draw(lat, first, owners, seeds, k)
+
+
+def draw(lat: Lattices, first: np.ndarray, owners: np.ndarray, seeds: list[int], k: int) -> list[_Search]:
     """Up to k samples (edges, log probability, perturbed value) of each text; the best entry left in its queue has the next value.
 
+    ``first`` and ``owners`` as ``lattices`` gives them.
     Entries of the queues: (minus the perturbed value, turn, path, position, edges taken there, logarithm of the subset's mass).
     """
-    units, owners, index = [], [], Numbers()
-    for t in texts:
-        own = _UNIT.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE))
-        units += [index[u] for u in own]
-        owners.append(len(own))
-    lat = Lattices(vocab, list(index))
-    first = lat.first[units]
     seed = mix64(np.array(seeds, _U))
     unit_end = np.cumsum(owners)
     unit_start = unit_end - owners
-    edges, counts = _paths(lat, first, np.repeat(seed, owners), np.arange(len(units)) - np.repeat(unit_start, owners))
+    edges, counts = _paths(lat, first, np.repeat(seed, owners), np.arange(len(first)) - np.repeat(unit_start, owners))
     ends = np.concatenate([[0], np.cumsum(counts)])
-    found = [_Search() for _ in texts]
-    top = -np.log(-np.log(_uniform(seed, np.full(len(texts), _TOP))))
+    found = [_Search() for _ in owners]
+    top = -np.log(-np.log(_uniform(seed, np.full(len(owners), _TOP))))
     paths = [edges[ends[a] : ends[b]] for a, b in zip(unit_start.tolist(), unit_end.tolist(), strict=True)]
-    todo = [(n, float(top[n]), 0, 0.0, (), paths[n], 0.0) for n in range(len(texts))]
+    todo = [(n, float(top[n]), 0, 0.0, (), paths[n], 0.0) for n in range(len(owners))]
     for turn in range(k):
         _record(lat, found, todo, seed, turn, k)
         if turn + 1 == k:
             break
         todo = _next(lat, found, seed, turn + 1, first, unit_start, unit_end)
-    return lat, found
+    return found
 
 
 def _next(lat: Lattices, found: list[_Search], seed: np.ndarray, turn: int, first: np.ndarray, unit_start: np.ndarray, unit_end: np.ndarray) -> list[tuple]:
@@ -299,7 +346,7 @@ def _next(lat: Lattices, found: list[_Search], seed: np.ndarray, turn: int, firs
     bound = np.concatenate([[0], np.cumsum(steps)])
     out = []
     for (n, value, parent, at, used, pick, mass), a, size in zip(heads, start.tolist(), sizes, strict=True):
-        path = np.concatenate([parent[:at], [pick], drawn[bound[a] : bound[a + size]]])
+        path = np.concatenate([parent[:at], np.array([pick], parent.dtype), drawn[bound[a] : bound[a + size]]])
         out.append((n, value, at, float(np.log(lat.prob[parent[:at]]).sum()), (*used, pick), path, mass))
     return out
 
@@ -393,19 +440,26 @@ def encode(docs: DataFrame, vocabulary: str, samples: int = SAMPLES, seed: int =
             vocab = _CACHE[digest, power] = Vocabulary(shared.value, power)
         for b in batches:
             ends = np.cumsum(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
-            lo = 0
-            while lo < b.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK_CHARS, side="right")))
-                yield _batch(vocab, list(zip(*(c.slice(lo, hi - lo).to_pylist() for c in b.columns), strict=True)), samples, decoded)
-                lo = hi
+            for lo, hi in _spans(ends, CHUNK_CHARS):
+                yield from _batches(vocab, list(zip(*(c.slice(lo, hi - lo).to_pylist() for c in b.columns), strict=True)), samples, decoded)
 
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"), F.lit(seed))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key")).mapInArrow(tidy(run), _SCHEMA)
 
 
-def _batch(vocab: Vocabulary, rows: list[tuple], samples: int, decoded: bool) -> pa.RecordBatch:
-    full = [r for r in rows if r[1]]
-    lat, found = sample(vocab, [t for _, t, _ in full], [k & (1 << 64) - 1 for _, _, k in full], samples) if full else (None, [])
+def _batches(vocab: Vocabulary, rows: list[tuple], samples: int, decoded: bool) -> Iterator[pa.RecordBatch]:
+    """The samples of rows that share their lattices, slice by slice."""
+    texts = [t for _, t, _ in rows if t]
+    lat, first, owners = lattices(vocab, texts) if texts else (None, np.empty(0, np.int64), np.empty(0, np.int64))
+    bounds, done = np.concatenate([[0], np.cumsum(owners)]), 0
+    for lo, hi in _spans(np.cumsum([len(t or "") for _, t, _ in rows]), SLICE_CHARS):
+        seeds = [k & (1 << 64) - 1 for _, t, k in rows[lo:hi] if t]
+        to = done + len(seeds)
+        yield _batch(vocab, lat, rows[lo:hi], draw(lat, first[bounds[done] : bounds[to]], owners[done:to], seeds, samples) if seeds else [], decoded)
+        done = to
+
+
+def _batch(vocab: Vocabulary, lat: Lattices | None, rows: list[tuple], found: list[_Search], decoded: bool) -> pa.RecordBatch:
     searches = iter(found)
     heads, ids, bare = [], [], []
     for doc_id, text, _ in rows:
