@@ -417,6 +417,34 @@ def test_line_dedup_equals_pairwise_alignment(spark, monkeypatch, first_tried):
     assert [got[k] for k in range(len(texts))] == brute_deletions(texts)
 
 
+def test_line_dedup_reads_no_text_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(linedup, "FIRST_TRIED", 1)
+    cut, calls = linedup.line_table, []
+    monkeypatch.setattr(linedup, "line_table", lambda docs: calls.append(1) or cut(docs))
+    p, q = (["\n".join(f"passage {n} line {k} of it" for k in range(6)) for n in "pq"])
+    texts = [f"{p}\n{q}", *[f"{q}\n{p}"] * 12]
+    got = {r.doc_id: r.n_deleted for r in linedup.report(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(13)] == [0, 6, *[12] * 11] and len(calls) == 1
+
+
+def test_units_of_many_texts_are_those_of_each():
+    rng = random.Random(29)
+    parts = ["a", "bb", " ", "  ", ". ", "! ", "?", ".", "\n", "\0", "\t", "\r", "\x0b", "\u00e9 c d e f", "one two three four", ". a b. "]
+    for _ in range(3000):
+        texts = [None if rng.random() < 0.05 else "".join(rng.choices(parts, k=rng.randrange(14))).encode() for _ in range(rng.randrange(1, 5))]
+        row, keys, spots = linedup._keyed_units(texts)
+        want = []
+        for n, t in enumerate(texts):
+            units = []
+            for line in linedup._marked(t or b"").split(b"\n"):
+                own = list(zip(*linedup._units(line), strict=True))
+                units += [(x.strip(), w, (k == 0) * 2 + (k == len(own) - 1)) for k, (x, w) in enumerate(own)]
+            every = [x for x, _, _ in units]
+            want += [(n, (x, every[:k].count(x)), k << 32 | w << 3 | (every.count(x) == 1) << 2 | ends) for k, (x, w, ends) in enumerate(units)]
+        assert [(r, s) for r, s in zip(row.tolist(), spots.tolist(), strict=True)] == [(n, s) for n, _, s in want]
+        assert len(set(keys.tolist())) == len({x for _, x, _ in want}) == len(set(zip(keys.tolist(), (x for _, x, _ in want), strict=True)))
+
+
 def test_line_dedup_of_odd_rows(spark):
     got = linedup.clean(odd(spark))
     assert got.columns == odd(spark).columns and got.count() == 9

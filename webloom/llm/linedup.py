@@ -18,9 +18,11 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import any_columns, checkpointed, fresh_name, quoted, tidy, utf8
@@ -31,6 +33,8 @@ MIN_BLOCK_WORDS, MIN_PART_WORDS, LEAST_LEFT = 4, 25, 0.2
 SENTENCE_WORDS = 4
 #: Partners of a line left over in the first round of trying others; keys that are broadcast.
 FIRST_TRIED, MAX_BROADCAST_KEYS = 16, 1_000_000
+#: Texts that are cut into units at once, about.
+SLICE_BYTES = 1 << 20
 _OWNER = "struct(doc_id is null as none, doc_id, th)"
 
 
@@ -60,35 +64,67 @@ def _units(line: bytes) -> tuple[list[bytes], list[int]]:
     return out, counts
 
 
-def _keyed_lines(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and spots of the units; the key tells the first, second, ... of equal units apart, and the spot has number, words,
-    whether the unit occurs once, and whether it is the first (2) and the last (1) of its line."""
+def _keyed_units(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of texts, keys and spots of the units of all ``texts``, cut as ``_units`` cuts; the key tells the first, second, ... of equal
+    units of a text apart, and the spot has number, words, whether the unit occurs once, and whether it is the first (2) and the last (1) of its line.
+
+    The parts between line and sentence ends are found in all texts at once.  One of SENTENCE_WORDS words always ends a unit, so only shorter ones are looked at one by one.
+    """
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    found: list[bytes] = []
-    spots: list[int] = []
-    for line in _marked(utf8(text)).split(b"\n"):
-        own, counts = _units(line)
-        if own:
-            at = len(spots)
-            found += own
-            spots += counts
-            spots[at] |= 1 << 60
-            spots[-1] |= 1 << 61
-    found = [x.strip() for x in found]
-    if len(set(found)) == len(found):
-        keys, once = [digest(x, 1) for x in found], np.ones(len(found), np.int64)
-    else:
-        totals, seen, keys = Counter(found), Counter(), []
-        for x in found:
-            seen[x] += 1
-            keys.append(digest(x, seen[x]))
-        once = np.array([totals[x] == 1 for x in found], np.int64)
-    spot = np.array(spots, np.int64)
-    words = np.minimum(spot & (1 << 60) - 1, (1 << 29) - 1)
-    spot = np.arange(len(found)) << 32 | words << 3 | once << 2 | (spot >> 60 & 1) << 1 | spot >> 61
-    return np.array(keys, np.uint64).view(np.int64), spot
+    texts = [t or b"" for t in texts]
+    joined = np.frombuffer(b"\n".join([*texts, b""]), np.uint8).copy()
+    marks = joined == 0
+    marks[1:] |= (joined[1:] == 32) & ((joined[:-1] == 46) | (joined[:-1] == 33) | (joined[:-1] == 63))
+    joined[marks] = 0
+    ends = np.flatnonzero(marks | (joined == 10))
+    spaces = np.flatnonzero(joined == 32)
+    raw = joined.tobytes()
+    starts = np.append(0, ends[:-1] + 1)
+    words = np.diff(np.searchsorted(spaces, ends), prepend=0) + 1
+    last = joined[ends] == 10
+    first = np.append(True, last[:-1])
+    whole = first & last
+    closed, lost, units_end = np.ones(len(ends), bool), np.zeros(len(ends), bool), ends.copy()
+    at, held, before = 0, 0, -2
+    short = np.flatnonzero((words < SENTENCE_WORDS) & ~whole)
+    for k, n, starts_line, ends_line in zip(short.tolist(), words[short].tolist(), first[short].tolist(), last[short].tolist(), strict=True):
+        if k != before + 1 or starts_line or not held:
+            at, held = k, 0
+        held, before = held + n, k
+        if held >= SENTENCE_WORDS:
+            held = 0
+        elif not ends_line:
+            closed[k] = False
+        elif not raw[starts[at] : ends[k]].strip(b" \t\x0b\x0c\r\0"):  # goes with the unit before, if the line has one
+            lost[k] = True
+            if not first[at]:
+                units_end[at - 1] = ends[k]
+    close = np.flatnonzero(closed)
+    units_start = starts[np.append(0, close[:-1] + 1)]
+    total = np.cumsum(words)[close]
+    words = np.diff(total, prepend=0)
+    found = [raw[x:y].strip() for x, y in zip(units_start.tolist(), units_end[close].tolist(), strict=True)]
+    keep = ~lost[close] & ~(whole[close] & (np.fromiter(map(len, found), np.int64, len(found)) == 0))
+    found = list(compress(found, keep.tolist()))
+    close, words = close[keep], words[keep]
+    row = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), ends[close], "right")
+    line = np.cumsum(first)[close]
+    opens = np.diff(line, prepend=-1) != 0
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    keys, once = [digest(x, 1) for x in found], [1] * len(found)
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if len(set(keys[lo:hi])) < hi - lo:
+            at_of: dict[int, list[int]] = defaultdict(list)
+            for k, key in enumerate(keys[lo:hi], lo):
+                at_of[key].append(k)
+            for same in at_of.values():
+                if len(same) > 1:
+                    for n, k in enumerate(same, 1):
+                        keys[k], once[k] = digest(found[k], n), 0
+    spot = np.arange(len(found)) - bounds[row] << 32 | np.minimum(words, (1 << 29) - 1) << 3 | np.array(once, np.int64) << 2 | opens << 1 | np.append(opens[1:], True)[: len(found)]
+    return row, np.array(keys, np.uint64).view(np.int64), spot
 
 
 def _spot(spot: str) -> dict[str, Column]:
@@ -102,14 +138,16 @@ def line_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                found = [_keyed_lines(t.as_py()) for t in part.column(2)]
-                row = pa.array(np.repeat(np.arange(len(found)), [len(keys) for keys, _ in found]))
-                keys, spots = (pa.array(np.concatenate([own[k] for own in found])) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), keys, spots], [n for n, _ in names])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(
+            texts = b.column(2).to_pylist()
+            slices = np.cumsum([len(t or b"") for t in texts]) // SLICE_BYTES
+            bounds = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(texts)]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if hi > lo:
+                    row, keys, spots = _keyed_units(texts[lo:hi])
+                    at = pa.array(row + lo)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(keys), pa.array(spots)], [n for n, _ in names])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(
         tidy(run), "doc_id bigint, th bigint, key bigint, spot bigint"
     )
 
@@ -190,6 +228,11 @@ def _runs(positions: Iterable[int], size_at: dict[int, tuple[int, int]], least:
     return kept
 
 
+def _values(column: pa.Array) -> list:
+    """``to_pylist``, faster for numbers without nulls."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
 _OPEN = "array<struct<pos:int,key:bigint,words:int,once:boolean,ends:int,df:bigint,taken:boolean,partner_id:bigint>>"
 _OPEN_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64()), ("words", pa.int32()), ("once", pa.bool_()), ("ends", pa.int32()), ("df", pa.int64()), ("taken", pa.bool_()), ("partner_id", pa.int64())]))
 
@@ -202,18 +245,22 @@ def deletions(docs: DataFrame, least: tuple[int, int] = (MIN_BLOCK_WORDS, MIN_PA
     lines = line_table(docs).withColumn("owner", F.expr(_OWNER))
     firsts = lines.groupBy("key").agg(F.min(F.struct("owner", "spot")).alias("first"), F.count("*").alias("n"), F.max("owner").alias("last")).where("first.owner <> last")
     firsts = checkpointed(firsts.select("key", F.col("first.owner").alias("hub"), F.col("first.spot").alias("hub_spot"), F.col("n").alias("df")))
-    matched = lines.join(firsts, "key").where("owner <> hub")
+    shared = lines.join(firsts, "key").where("owner <> hub")
+    shared = checkpointed(shared.select("doc_id", "th", "key", "spot", F.xxhash64("hub").alias("partner"), F.col("hub.doc_id").alias("partner_id"), "hub_spot", "df"))
     mine, theirs = _spot("spot"), _spot("hub_spot")
-    matched = matched.select("doc_id", "th", mine["pos"].alias("pos"), F.xxhash64("hub").alias("partner"), F.col("hub.doc_id").alias("partner_id"), theirs["pos"].alias("hub_pos"), "df", (mine["once"] & theirs["once"]).alias("both"), mine["words"].alias("words"), "key", mine["once"].alias("once"), mine["ends"].alias("ends"))
+    matched = shared.select("doc_id", "th", mine["pos"].alias("pos"), "partner", "partner_id", theirs["pos"].alias("hub_pos"), "df", (mine["once"] & theirs["once"]).alias("both"), mine["words"].alias("words"), "key", mine["once"].alias("once"), mine["ends"].alias("ends"))
     schema = (("doc_id", pa.int64()), ("th", pa.int64()), ("gone", pa.list_(pa.int32())), ("partners", pa.list_(pa.int64())), ("open", _OPEN_TYPE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def decide(key: tuple, rows: list[tuple]) -> tuple | None:
             ids = {r[3]: r[4] for r in rows}
             at = {r[2]: r for r in rows}
-            taken = aligned([(r[2], r[3], r[5], r[6], r[7], r[8]) for r in at.values()])
             size_at = {p: (r[8], r[11]) for p, r in at.items()}
-            if any(p not in taken for p in _runs(at, size_at, least)):  # else no further line can go
+            most = _runs(at, size_at, least)
+            if not most:
+                return None
+            taken = aligned([(r[2], r[3], r[5], r[6], r[7], r[8]) for r in at.values()])
+            if any(p not in taken for p in most):  # else no further line can go
                 rest = [{"pos": p, "key": r[9], "words": r[8], "once": r[10], "ends": r[11], "df": r[6], "taken": p in taken, "partner_id": ids.get(taken.get(p))} for p, r in sorted(at.items())]
                 return (*key, None, None, rest)
             gone = _runs(taken, size_at, least)
@@ -222,7 +269,7 @@ def deletions(docs: DataFrame, least: tuple[int, int] = (MIN_BLOCK_WORDS, MIN_PA
         key, rows = None, []
         for b in batches:
             done = []
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for r in zip(*map(_values, b.columns), strict=True):
                 if r[:2] != key:
                     if rows and (x := decide(key, rows)):
                         done.append(x)
@@ -237,7 +284,8 @@ def deletions(docs: DataFrame, least: tuple[int, int] = (MIN_BLOCK_WORDS, MIN_PA
     mine = first.where("open is not null").select("doc_id", "th", F.explode("open").alias("x")).select("doc_id", "th", "x.*")
     if mine.isEmpty():
         return settled
-    return settled.unionByName(_settle(docs, checkpointed(mine.withColumn("owner", F.expr(_OWNER))), least))
+    held = shared.select("key", F.expr(_OWNER).alias("partner"), "spot").unionByName(firsts.select("key", F.col("hub").alias("partner"), F.col("hub_spot").alias("spot")))
+    return settled.unionByName(_settle(held, checkpointed(mine.withColumn("owner", F.expr(_OWNER))), least))
 
 
 def _keyed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -245,26 +293,25 @@ def _keyed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys, on, "left_semi")
 
 
-def _settle(docs: DataFrame, mine: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The deletions of documents with lines left over, ``mine`` being their lines that an earlier document has.
+def _settle(held: DataFrame, mine: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The deletions of documents with lines left over, ``mine`` being their lines that an earlier document has and ``held`` all lines that several have.
 
     A line left over goes if any earlier document that has it aligns it, with all the lines that the two share.  Those documents are
     tried in rounds, a few of each line first and
     eight times as many in the next, chosen by hash; only lines that are still left come to the next round, the last of which
-    has all the others.  Whole documents are read only of the partners of a round.
+    has all the others.  Of ``held`` only the lines of a round's partners are taken; no text is read again.
     """
     left = mine.where(~F.col("taken")).select("owner", "pos", "key", "df")
-    lines = line_table(docs).withColumn("partner", F.expr(_OWNER))
-    holders = checkpointed(_keyed(lines, left.select("key").distinct(), ["key"]).select("key", "partner").distinct())
-    keys, own = checkpointed(mine.select("key").distinct()), docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    holders = checkpointed(_keyed(held, left.select("key").distinct(), ["key"]).select("key", "partner").distinct())
+    keys = checkpointed(mine.select("key").distinct())
     most, tried, found = left.agg(F.max("df").alias("n")).first().n, 0, None
     share = F.pmod(F.xxhash64("partner"), F.lit(1 << 31)) / F.lit(1 << 31) * F.col("df")
     while True:
         upto = tried * 8 or FIRST_TRIED
         pairs = checkpointed(left.join(holders, "key").where(F.col("partner") < F.col("owner")).where((share >= tried) & (share < upto)).select("owner", "partner").distinct())
         partners = pairs.select("partner").distinct()
-        read = _keyed(own.withColumn("partner", F.expr(_OWNER.replace("th)", "xxhash64(text) as th)"))), partners, ["partner"])
-        theirs = _keyed(line_table(read), keys, ["key"]).select("key", F.expr(_OWNER).alias("partner"), _spot("spot")["pos"].alias("other"), _spot("spot")["once"].alias("other_once")).dropDuplicates(["key", "partner"])
+        theirs = _keyed(_keyed(held, partners, ["partner"]), keys, ["key"]).dropDuplicates(["key", "partner"])
+        theirs = theirs.select("key", "partner", _spot("spot")["pos"].alias("other"), _spot("spot")["once"].alias("other_once"))
         points = pairs.join(mine.select("owner", "key", "pos", "once"), "owner").join(theirs, ["key", "partner"])
         points = points.select("owner", "partner", "pos", "other", (F.col("once") & F.col("other_once")).alias("both"))
         new = checkpointed(points.groupBy("owner", "partner").applyInArrow(_align, points.select("owner", "partner", "pos").schema))
@@ -312,6 +359,17 @@ def _without(text: str, gone: list[int]) -> str:
     return b"\n".join(out).decode("utf-8", "surrogatepass")
 
 
+def _cut(texts: pa.Array, gone: pa.Array) -> tuple[pa.Array, list[str], list[str], pa.Array]:
+    """Which texts lose units, these before and after, and all texts after."""
+    at = np.flatnonzero(pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False))
+    mask = np.zeros(len(texts), bool)
+    mask[at] = True
+    old = texts.take(pa.array(at)).to_pylist()
+    new = [_without(t, g) for t, g in zip(old, gone.take(pa.array(at)).to_pylist(), strict=True)]
+    mask = pa.array(mask)
+    return mask, old, new, pc.replace_with_mask(texts, mask, pa.array(new, texts.type)) if new else texts
+
+
 def _joined(docs: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The columns of ``docs`` and then two: units to delete and partners."""
     found = deletions(docs, least)
@@ -333,16 +391,14 @@ def clean(docs: DataFrame, least: tuple[int, int] = (MIN_BLOCK_WORDS, MIN_PART_W
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = b.column(len(names)).to_pylist()
             cols = dict(zip(names, b.columns, strict=False))
-            if any(gone):
-                old = cols["text"].to_pylist()
-                texts = [_without(t, g) if g else t for t, g in zip(old, gone, strict=True)]
-                cols["text"] = pa.array(texts, b.column(at).type)
+            mask, old, new, left = _cut(cols["text"], b.column(len(names)))
+            if new:
+                cols["text"] = left
                 if "n_chars" in cols:
-                    cols["n_chars"] = pa.array([len(t) if g else n for t, g, n in zip(texts, gone, cols["n_chars"].to_pylist(), strict=True)], cols["n_chars"].type)
-                keep = pa.array([not g or len(new.split()) >= max(1, least_left * len(t.split())) for t, new, g in zip(old, texts, gone, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays(list(cols.values()), names).filter(keep)
+                    cols["n_chars"] = pc.replace_with_mask(cols["n_chars"], mask, pa.array([len(t) for t in new], cols["n_chars"].type))
+                kept = pa.array([len(n.split()) >= max(1, least_left * len(t.split())) for t, n in zip(old, new, strict=True)])
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names).filter(pc.replace_with_mask(pc.invert(mask), mask, kept))
             else:
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names)
 
@@ -352,17 +408,18 @@ def clean(docs: DataFrame, least: tuple[int, int] = (MIN_BLOCK_WORDS, MIN_PART_W
 def report(docs: DataFrame, least: tuple[int, int] = (MIN_BLOCK_WORDS, MIN_PART_WORDS)) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, n_deleted, deleted (numbers of units, which are lines or sentences of them, from 0),
     partners (earlier doc_ids), n_chars_left and clean_text.  Null text: no lines, and null clean_text.  Other cases: as ``clean``."""
-    kinds = (("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_deleted", pa.int64()), ("deleted", pa.list_(pa.int32())), ("partners", pa.list_(pa.int64())), ("n_chars_left", pa.int64()), ("clean_text", pa.string()))
+    kinds = ("doc_id", "n_lines", "n_deleted", "deleted", "partners", "n_chars_left", "clean_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for d, t, gone, partners in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                left = _without(t, gone) if gone else t
-                rows.append((d, t.count("\n") + 1 if t is not None else 0, len(gone or ()), gone or [], partners or [], len(left or ""), left))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+            ids, texts, gone, partners = b.columns
+            left = _cut(texts, gone)[3]
+            numbers = pc.add(pc.count_substring(texts, "\n"), 1), pc.list_value_length(gone), pc.utf8_length(left)
+            n_lines, n_deleted, n_chars = (pc.fill_null(x, 0).cast(pa.int64()) for x in numbers)
+            yield pa.RecordBatch.from_arrays([ids, n_lines, n_deleted, gone, partners, n_chars, left], kinds)
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _joined(own, least).mapInArrow(
+    lists = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("gone", "array<int>"), ("partners", "array<bigint>"))]
+    return _joined(own, least).select("doc_id", "text", *lists).mapInArrow(
         tidy(run), "doc_id bigint, n_lines bigint, n_deleted bigint, deleted array<int>, partners array<bigint>, n_chars_left bigint, clean_text string"
     )
