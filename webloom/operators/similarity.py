@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import math
 import tempfile
+import zlib
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from webloom.functions.text import STOPWORDS, jaccard, stem_set, stems, tokens
+from webloom.functions.text import STOPWORDS, stems
+from webloom.functions.words import stems_of, tokens as tokens_of
 
-#: Edges that one task scans (16 MB), and tokens whose numbers go to the tasks as a table (some 50 MB).
-LOCAL_EDGES, MAX_TOKENS = 1_000_000, 500_000
+#: Edges that one task scans (16 MB), and the buckets of tokens whose numbers go to the tasks as a table (512 KB).
+LOCAL_EDGES, MAX_TOKENS = 1_000_000, 1 << 16
+#: Parts of a set beyond those that may differ, and the threshold from which sets are compared by parts.
+SLACK, LEAST_PARTS = 1.1, 0.6
 #: Fixed value: bits in which simhashes of documents worth comparing differ at most.
 SIMHASH_DISTANCE = 28
 
@@ -29,46 +36,167 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def token_sets(docs: DataFrame, min_tokens: int = 50) -> DataFrame:
-    """(doc_id, tokens) of stemmed content tokens for documents of enough raw tokens."""
-    return docs.where(F.size(tokens(F.col("text"))) >= min_tokens).select("doc_id", stem_set(F.col("text")).alias("tokens"))
+def _packed(words: list[str]) -> bytes:
+    return zlib.compress("\0".join(words).encode("utf-8", "surrogatepass"), 1)
 
 
-def _rarest_first(marked: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, n, t): of each set of ``marked(doc_id, tokens)`` its size and all but ceil(threshold * size) - 1 of its tokens, the rarest.
+def _unpacked(n: int, packed: bytes) -> list[bytes]:
+    return zlib.decompress(packed).split(b"\0") if n else []
 
-    The numbers of sets that hold a token go to the tasks as a table if they are at most MAX_TOKENS; else they are joined.
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser, element by element."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return _mixed(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
+
+
+def packed_sets(docs: DataFrame, min_tokens: int = 50) -> DataFrame:
+    """(doc_id, class, row, n, words) of documents of at least ``min_tokens`` raw tokens, materialised.
+
+    ``words``: the sorted stems, compressed; ``n`` their number; ``class``: the least doc_id with the same; ``row``: a number of its own.
+    """
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            at, n, key, packed = [], [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                if len(raw := tokens_of(text)) >= min_tokens:
+                    words = sorted(set(stems_of(raw)))
+                    at.append(i), n.append(len(words)), packed.append(_packed(words)), key.append(hashlib.md5(packed[-1]).digest())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(key, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "n", "key", "words"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = checkpointed(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n int, key binary, words binary"))
+    classes = own.groupBy("key").agg(F.min("doc_id").alias("class"))
+    return checkpointed(own.join(classes, "key").select("doc_id", "class", F.monotonically_increasing_id().alias("row"), "n", "words"))
+
+
+def _weights(sets: DataFrame) -> np.ndarray:
+    """How rare tokens are, by bucket of their hashes: a whole number for each of at most MAX_TOKENS buckets, so that sums are exact."""
+    size = max(1, MAX_TOKENS)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for n, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total += np.bincount((_hashes(_unpacked(n, packed)) % np.uint64(size)).astype(np.int64), minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "n"])
+
+    many = np.ones(size, np.int64)
+    for r in sets.select("n", "words").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():  # at most MAX_TOKENS
+        many[r.k] = r.n
+    return np.maximum(1, np.floor(16 * np.log2(2 * many.max() / many))).astype(np.int64)
+
+
+def _first(n: int, bounds: list[int], threshold: float) -> list[tuple[int, int, int]]:
+    """For each scheme that a set of ``n`` tokens takes part in: its number, its parts, and how many of their values are listed."""
+    share, most = (1 - threshold) / (1 + threshold), int(n / threshold + 1e-9)
+    out = []
+    for q in range(bisect.bisect(bounds, n) - 1, bisect.bisect(bounds, most)):
+        top = bounds[q + 1] - 1
+        differ = int(share * (n + min(top, most)) + 1e-9)
+        out.append((q, int(SLACK * share * 2 * top + 1e-9) + 1, differ + 1))
+    return out
+
+
+def _listed(sets: DataFrame, threshold: float) -> DataFrame:
+    """(k, row): the values under which sets are looked for.
+
+    Sets of similarity t differ in at most (1 - t) / (1 + t) of the sum of their sizes, D tokens.  Tokens are dealt into more than D parts
+    by their hashes, so similar sets agree in all but D whole parts, and share one of the first D + 1 in any order of the parts' values;
+    rare values come first.  A value is a set of several tokens, so that few other sets have it.  The number of parts must be the same
+    for both: there is a scheme for each range of the larger size, and a set takes part in those of its own and larger partners' ranges.
+    For thresholds under LEAST_PARTS, parts would hold less than two tokens, and values are single tokens.
     """
-    long = marked.select("doc_id", F.explode("tokens").alias("t"))
-    df = checkpointed(long.groupBy("t").agg(F.count("*").alias("df")))
-    size = F.size("s")
-    if df.count() > MAX_TOKENS:
-        ordered = long.join(df, "t").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
-        listed = ordered.select("doc_id", size.alias("n"), F.explode(F.slice("s", 1, size - F.ceil(size * threshold - 1e-9).cast("int") + 1)).alias("x"))
-        return listed.select("doc_id", "n", F.col("x.t").alias("t"))
-    table = marked.sparkSession.sparkContext.broadcast({r.t: r.df for r in df.toLocalIterator()})  # at most MAX_TOKENS
+    weights = sets.sparkSession.sparkContext.broadcast(_weights(sets))
+    bounds = [1]
+    while bounds[-1] < 1 << 31:
+        bounds.append(max(bounds[-1] + 1, bounds[-1] * 3 // 2))
+
+    def values(n: int, packed: bytes) -> list[np.ndarray]:
+        if not n:
+            return [np.zeros(1, np.uint64)]
+        h = _hashes(_unpacked(n, packed))
+        rare = weights.value[(h % np.uint64(len(weights.value))).astype(np.int64)]
+        if threshold < LEAST_PARTS:
+            return [h[np.lexsort((h, -rare))][: n - math.ceil(n * threshold - 1e-9) + 1]]
+        out = []
+        for q, parts, first in _first(n, bounds, threshold):
+            part = (_mixed(h + np.uint64(q)) % np.uint64(parts)).astype(np.int64)
+            rank = np.bincount(part, rare, parts).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            at = np.flatnonzero(np.diff(part[order], prepend=-1))
+            whole = np.zeros(parts, np.uint64)
+            whole[part[order][at]] = np.add.reduceat(h[order], at)
+            best = np.lexsort((whole, np.arange(parts), -rank))[:first]
+            out.append(_mixed(whole[best] + _mixed(best.astype(np.uint64) + np.uint64(q << 32))))
+        return out
 
-    @F.pandas_udf("array<string>")
-    def head(tokens: pd.Series) -> pd.Series:
-        many = table.value
-        return tokens.map(lambda ts: sorted(ts, key=lambda t: (many[t], t))[: len(ts) - math.ceil(len(ts) * threshold - 1e-9) + 1])
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            rows, many, keys = b.column(0).to_numpy(), [], []
+            for n, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                own = values(n, packed)
+                many.append(sum(map(len, own)))
+                keys.extend(own)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(rows, many))], ["k", "row"])
 
-    return marked.select("doc_id", F.size("tokens").alias("n"), F.explode(head("tokens")).alias("t"))
+    return sets.select("row", "n", "words").mapInArrow(run, "k bigint, row bigint")
+
+
+def _verified(pairs: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs(x, y) of rows of ``ids(row, doc_id, n, words)`` at least as similar as ``threshold``."""
+    side = lambda x: ids.select(F.col("row").alias(x), F.struct("doc_id", "n", "words").alias(f"s{x}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").select(F.col("sx.n"), F.col("sx.words"), F.col("sy.n").alias("m"), F.col("sy.words").alias("other"), F.least("sx.doc_id", "sy.doc_id").alias("a"), F.greatest("sx.doc_id", "sy.doc_id").alias("b"))
+    kind = ids.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            at, sims = [], []
+            for i, (n, x, m, y) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)):
+                shared = len(set(_unpacked(n, x)).intersection(_unpacked(m, y)))
+                if (s := shared / (n + m - shared) if n + m else 1.0) >= threshold:
+                    at.append(i), sims.append(s)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(4).take(at), b.column(5).take(at), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
+
+    return both.where("a < b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+
+
+def _similar(sets: DataFrame, threshold: float) -> DataFrame:
+    """``similar_pairs`` of materialised ``sets(row, doc_id, n, words)``."""
+    listed = _listed(sets, threshold)
+    pairs = listed.select("k", F.col("row").alias("x")).join(listed.select("k", F.col("row").alias("y")), "k").where("x < y").select("x", "y").distinct()
+    return _verified(pairs, sets, threshold)
 
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) for a < b with Jaccard >= threshold > 0, exact.
+    """(a, b, similarity) for a < b of ``sets(doc_id, tokens)`` with Jaccard >= threshold > 0, exact.
 
-    Each set lists its rarest tokens only: all but ceil(threshold * size) - 1, one of which similar sets must share.  Lengths must
-    agree within the threshold.  Empty sets are equal to each other and similar to nothing else.
+    Empty sets are equal to each other and similar to nothing else.
     """
-    marked = sets.withColumn("tokens", F.when(F.size("tokens") == 0, F.array(F.lit(""))).otherwise(F.col("tokens")))
-    listed = _rarest_first(marked, threshold)
-    near = (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
-    pairs = listed.alias("a").join(listed.alias("b"), "t").where((F.col("a.doc_id") < F.col("b.doc_id")) & near).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
-    side = lambda x: marked.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"t{x}"))
-    sim = jaccard(F.col("ta"), F.col("tb"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            words = [sorted(set(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, words), pa.int32()), pa.array(map(_packed, words), pa.binary())], ["doc_id", "n", "words"])
+
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    packed = sets.select("doc_id", "tokens").where("tokens is not null").mapInArrow(run, f"doc_id {kind}, n int, words binary")
+    return _similar(checkpointed(packed.withColumn("row", F.monotonically_increasing_id())), threshold)
+
+
+def class_pairs(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The representatives of ``packed_sets``, and their similar pairs; copies need no pairs among themselves."""
+    reps = sets.where("doc_id = class")
+    return reps, _similar(reps, threshold)
 
 
 def hamming_distance(a: Column, b: Column) -> Column:
@@ -86,12 +214,6 @@ def simhash_pairs(docs: DataFrame, threshold: float, max_distance: int = SIMHASH
     return pairs.join(side("a"), "a").join(side("b"), "b").where(hamming_distance(F.col("ha"), F.col("hb")) <= max_distance).select("a", "b", "similarity")
 
 
-def classes_of(sets: DataFrame) -> DataFrame:
-    """``sets`` with ``class``: the least doc_id with the same token set; copies need no pairs among themselves."""
-    key = F.sort_array("tokens")
-    return sets.join(sets.groupBy(key.alias("k")).agg(F.min("doc_id").alias("class")), F.sort_array("tokens") == F.col("k")).drop("k")
-
-
 def _scan(edges: DataFrame) -> DataFrame:
     """(node, leader) of the nodes of at most LOCAL_EDGES edges, by the sequential scan in one task.  Nodes may be structs."""
     plain = lambda x: tuple(x.values()) if isinstance(x, dict) else x
@@ -144,9 +266,9 @@ def leaders(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES)
 
 def near_dup_clusters(docs: DataFrame, threshold: float = 0.85, min_tokens: int = 50) -> DataFrame:
     """(doc_id, leader, size, similarity) of clusters of two or more, in order of doc_id; similarity: the highest with the leader."""
-    sets = checkpointed(classes_of(token_sets(docs, min_tokens)))
-    reps = sets.where("doc_id = class").select("doc_id", "tokens")
-    pairs = checkpointed(similar_pairs(reps, threshold))
+    sets = packed_sets(docs, min_tokens)
+    reps, pairs = class_pairs(sets, threshold)
+    pairs = checkpointed(pairs)
     led = leaders(reps.select(F.col("doc_id").alias("node")), pairs.select("a", "b"))
     sims = led.join(pairs, (F.col("leader") == F.col("a")) & (F.col("node") == F.col("b")), "left").select(F.col("node").alias("class"), "leader", F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
     members = sets.select("doc_id", "class").join(sims, "class")
@@ -198,8 +320,6 @@ def hash64(text: str) -> int:
 @F.pandas_udf(LongType())
 def simhash(words: pd.Series) -> pd.Series:
     """64-bit simhash of stemmed tokens: 3-word shingles, or tokens of shorter texts; signed."""
-    import numpy as np
-
     out, seen = [], {}
     for w in words:
         w = list(w)

@@ -354,8 +354,8 @@ _SQL_DOCS = "SELECT doc_id AS id, text FROM documents"
 SELECT a, b, {r('similarity', 6)} AS similarity, 'pair' AS kind FROM p UNION ALL SELECT class, id, 1, 'copy' FROM c WHERE id <> class""")
 def near_dup_pairs(spark, sf):
     """Pairs of class representatives, and the members of the classes."""
-    sets = N.checkpointed(N.classes_of(N.token_sets(A.texts(spark, sf, "documents"))))
-    pairs = N.similar_pairs(sets.where("doc_id = class").select("doc_id", "tokens"), 0.85).select("a", "b", js_round(F.col("similarity"), 6).alias("similarity"), F.lit("pair").alias("kind"))
+    sets = N.packed_sets(A.texts(spark, sf, "documents"))
+    pairs = N.class_pairs(sets, 0.85)[1].select("a", "b", js_round(F.col("similarity"), 6).alias("similarity"), F.lit("pair").alias("kind"))
     return pairs.unionByName(sets.where("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind")))
 
 
