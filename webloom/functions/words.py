@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from webloom.functions.text import _MARKED, _PLAIN, STOPWORDS
 
@@ -57,3 +64,70 @@ _STEMS = _Stems()
 def stems_of(words: list[str]) -> list[str]:
     """Stems of the content tokens among ``words``, in order."""
     return [s for s in map(_STEMS.__getitem__, words) if s is not None]
+
+
+#: Distinct tokens that a task counts before it passes them on (some 20 MB).
+MAX_COUNTED = 200_000
+_VOWELS, _SILENT, _LETTERS = re.compile("[aeiouy]{1,2}"), re.compile("(?:[^laeiouy]es|ed|[^laeiouy]e)$"), re.compile("[^a-z]")
+
+
+class _Syllables(_Stems):
+    """A bounded cache of the syllables of (token, whether it is Spanish), as of ``text.syllables``."""
+
+    def __missing__(self, key: tuple[str, bool]) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        w = _LETTERS.sub("", key[0])
+        n = len(w) and 1
+        if len(w) > 3:
+            n = max(1, len(_VOWELS.findall(w if key[1] else _SILENT.sub("", w).removeprefix("y"))))
+        self[key] = n
+        return n
+
+
+_SYLLABLES = _Syllables()
+
+
+@F.pandas_udf(StructType([*[StructField(c, IntegerType()) for c in ("n_tokens", "n_content", "n_stems")], StructField("stems_md5", StringType())]))
+def token_stats(text: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t in text:
+        own = stems_of(words := tokens(t))
+        rows.append((len(words), len(own), len(set(own)), hashlib.md5(" ".join(own).encode()).hexdigest()))
+    return pd.DataFrame(rows, columns=["n_tokens", "n_content", "n_stems", "stems_md5"])
+
+
+@F.pandas_udf(StructType([StructField(c, IntegerType()) for c in ("words", "sentences", "long_sentences", "syl")]))
+def sentence_stats(parts: pd.Series, spanish: pd.Series) -> pd.DataFrame:
+    """Of the sentences of a text: tokens, sentences, those of more than 30 tokens, and syllables."""
+    rows = []
+    for ss, es in zip(parts, spanish, strict=True):
+        words = [tokens(x) for x in ss]
+        rows.append((sum(map(len, words)), len(words), sum(len(w) > 30 for w in words), sum(_SYLLABLES[x, bool(es)] for w in words for x in w)))
+    return pd.DataFrame(rows, columns=["words", "sentences", "long_sentences", "syl"])
+
+
+@F.pandas_udf(IntegerType())
+def content_size(text: pd.Series) -> pd.Series:
+    """Content tokens of a text."""
+    return pd.Series([len(stems_of(tokens(t))) for t in text], dtype="int32")
+
+
+def token_numbers(docs: DataFrame) -> DataFrame:
+    """(token, n): documents of ``docs(text)`` that have a stem, counted where they are; of those with any stem under null, of all under ""."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        rows = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["token", "n"])
+        many: Counter = Counter()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                own = set(stems_of(tokens(text)))
+                many.update(own)
+                many[""] += 1
+                many[None] += bool(own)
+                if len(many) > MAX_COUNTED:
+                    yield rows(many)
+                    many.clear()
+        yield rows(many)
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))

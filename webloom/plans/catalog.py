@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webloom.functions import text as T, url as U
 from webloom.functions.mathx import js_round, sql_ctr, sql_round
+from webloom.functions.words import token_stats
 from webloom.operators import audit, content, crawldiff, insights, keywords as K, linkgraph, programmatic as P, ranks as R, serp as S, similarity as N, visibility as V
 from webloom.operators.actions import action_score
 from webloom.plans import stand_ins as A
@@ -275,8 +276,7 @@ def trend_12m(spark, sf):
 @query(f"""WITH t AS (SELECT doc_id, {T.sql_tokens('text')} AS w, {T.sql_stems('text')} AS s FROM documents)
 SELECT doc_id, len(w)::INT AS n_tokens, len(s)::INT AS n_content, len(list_distinct(s))::INT AS n_stems, md5(array_to_string(s, ' ')) AS stems_md5 FROM t""")
 def tokenize_stats(spark, sf):
-    d = A.texts(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"), T.stems(F.col("text")).alias("s"))
-    return d.select("doc_id", F.size("w").alias("n_tokens"), F.size("s").alias("n_content"), F.size(F.array_distinct("s")).alias("n_stems"), F.md5(F.array_join("s", " ")).alias("stems_md5"))
+    return A.texts(spark, sf, "documents").select("doc_id", token_stats(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 _SQL_READABILITY = f"""WITH d AS (
